@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 
 OUT = "query_id long, vec_id long, score long"
 #: Queries of a block, candidates of a block, blocks of a run.
-QUERIES, ROWS, RUN = 2048, 4096, 16
+QUERIES, ROWS, RUN = 1024, 2048, 32
+#: Surviving pairs that are scored at once.
+SLAB = 1 << 15
 #: Vectors (least hash first) on which the rotation is fitted.
 SAMPLE = 4096
 
@@ -106,8 +108,14 @@ def search(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k
             least = floor[live] - slack[live]
         at, col = np.nonzero((bound >= least[:, None]) & (bound > -np.inf))
         own = q_ids[live[at]] != block_ids[col]
-        at, col = live[at[own]], col[own]
-        got = np.einsum("ij,ij->i", q[at], block[col])
+        at, col = at[own], col[own]
+        if dense:
+            got = bound[at, col].astype(np.int64)
+        elif len(at) > bound.size // 16:  # for so many pairs one product is less work; below 2^53 it is exact
+            got = np.matmul(qf[live], block.astype(float).T, out=bound)[at, col].astype(np.int64)
+        else:
+            got = np.concatenate([np.empty(0, np.int64), *(np.einsum("ij,ij->i", q[live[at[i : i + SLAB]]], block[col[i : i + SLAB]]) for i in range(0, len(at), SLAB))])
+        at = live[at]
         best = got >= floor[at]
         at, col, got = at[best], col[best], got[best]
         row, score, ids = _best(np.concatenate((row, at)), np.concatenate((score, got)), np.concatenate((ids, block_ids[col])), len(q), k)
