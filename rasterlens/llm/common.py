@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -44,6 +45,9 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._rasterlens_path = path
+    del df
+    gc.collect()  # shuffle files of plans that nothing refers to any more can go now
+    spark._jvm.System.gc()
     return out
 
 

@@ -24,6 +24,7 @@ doc_id is the least; extra columns stay as they are; an empty table gives an emp
 from __future__ import annotations
 
 import itertools
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,8 +39,10 @@ _MOST = (1 << (LANE_BITS - 1)) - 1
 LONG = 400
 _ONES = sum(1 << (LANE_BITS * i) for i in range(LANES))
 _PUNCT = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\t\r\x0b\x0c"
+#: Fingerprints (least hash first) on which the choice of blocks is fitted.
+SAMPLE = 4096
 #: Relative cost of a filed row and of a compared pair.
-_ROW, _PAIR = 30.0, 1.0
+_ROW, _PAIR = 20.0, 1.0
 
 
 def line_words(line: Column) -> Column:
@@ -78,15 +81,25 @@ def simhashed(docs: DataFrame) -> DataFrame:
     return counted.withColumn("least", least).select("doc_id", "rk", "pos", "h", F.coalesce("long_fp", fp).alias("fp"))
 
 
-def block_masks(n: int) -> list[int]:
-    """Bit masks of which any two fingerprints within ``DISTANCE`` bits agree on one."""
+def _blocks(b: int) -> list[int]:
+    edge = [BITS * i // b for i in range(b + 1)]
+    return [sum(1 << i for i in range(edge[j], edge[j + 1])) for j in range(b)]
+
+
+def block_masks(n: int, sample: list[int] = ()) -> list[int]:
+    """Bit masks of which any two fingerprints within ``DISTANCE`` bits agree on one.
+
+    The choice of least cost for ``n`` fingerprints; how often two agree by chance on a
+    mask is seen on a bounded sample (bits of texts in one language are not independent).
+    """
+    pairs = len(sample) * (len(sample) - 1) / 2
     best = None
     for r in range(1, 6):
-        b = DISTANCE + r
-        edge = [BITS * i // b for i in range(b + 1)]
-        blocks = [sum(1 << i for i in range(edge[j], edge[j + 1])) for j in range(b)]
-        masks = [sum(c) for c in itertools.combinations(blocks, r)]
-        cost = len(masks) * n * _ROW + sum(n * n / 2.0 ** (m.bit_count() + 1) for m in masks) * _PAIR
+        masks = [sum(c) for c in itertools.combinations(_blocks(DISTANCE + r), r)]
+        cost = len(masks) * n * _ROW
+        for m in masks:
+            seen = sum(c * (c - 1) / 2 for c in Counter(f & m for f in sample).values()) / pairs if pairs else 0.0
+            cost += max(seen, 2.0 ** -m.bit_count()) * n * n / 2 * _PAIR
         if best is None or cost < best[0]:
             best = (cost, masks)
     return best[1]
@@ -109,12 +122,32 @@ def similar(a: str, b: str) -> Column:
     return F.when(long, close(_as_symbols(F.col(a)), _as_symbols(F.col(b)))).otherwise(close(F.col(a), F.col(b)))
 
 
+def _member(ids: DataFrame, bits: int = 20) -> Column:
+    """A set of ids (column ``rk``) as an array of ``2^bits`` bits, whatever their number."""
+    at = F.xxhash64("rk").bitwiseAND(F.lit((1 << bits) - 1))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
+    found = ids.select(F.shiftright(at, 6).alias("w"), one.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    dense = ids.sparkSession.range(0, 1 << (bits - 6), 1, 1).join(found, F.col("id") == F.col("w"), "left").select(F.struct("id", F.coalesce("b", F.lit(0).cast("long")).alias("b")).alias("s"))
+    return dense.groupBy().agg(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["b"]).alias("a")).scalar()
+
+
+def _in_set(bits: Column, rk: Column) -> Column:
+    at = F.xxhash64(rk).bitwiseAND(F.lit((1 << 20) - 1))
+    word = F.get(bits, F.shiftright(at, 6).cast("int"))
+    return F.call_function("shiftright", word, at.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
 def _texts(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """``h, norm`` of the lines at ``places`` (h, rk, pos): only their documents are read on."""
-    by_doc = places.groupBy("rk").agg(F.collect_list(F.struct("pos", "h")).alias("at")).withColumnRenamed("rk", "rk_")
-    rows = docs.select(_row_key(docs).alias("rk"), "text").join(by_doc, F.col("rk") == F.col("rk_"))
-    at = rows.select(F.split("text", "\n").alias("lines"), F.explode("at").alias("at"), "rk")
-    return at.select(F.col("at.h").alias("h"), F.array_join(line_words(F.get("lines", F.col("at.pos"))), " ").alias("norm")).dropDuplicates(["h"])
+    """``h, norm`` of the lines at ``places`` (h, rk, pos): only their documents are shuffled.
+
+    The bit array says no only where a document has no place; the join decides.
+    """
+    by_doc = written(places.groupBy("rk").agg(F.collect_set(F.struct("pos", "h")).alias("at")), "line-places")
+    maybe = docs.select(_row_key(docs).alias("rk"), F.col("text").alias("t"), _member(by_doc.select("rk")).alias("set")).where(_in_set(F.col("set"), F.col("rk"))).select("rk", "t")
+    rows = maybe.join(by_doc.withColumnRenamed("rk", "rk_"), F.col("rk") == F.col("rk_"))
+    # lines are taken out before they are exploded: no row repeats a text
+    taken = let(F.split("t", "\n"), lambda x: F.transform("at", lambda a: F.struct(a["h"].alias("h"), F.array_join(line_words(F.get(x, a["pos"])), " ").alias("norm"))))
+    return rows.select(F.explode(taken).alias("l")).select("l.h", "l.norm").dropDuplicates(["h"])
 
 
 def _verified(docs: DataFrame, pairs: DataFrame, uniq: DataFrame) -> DataFrame:
@@ -130,9 +163,9 @@ def _verified(docs: DataFrame, pairs: DataFrame, uniq: DataFrame) -> DataFrame:
 
 
 def _filed(rows: DataFrame, masks: list[int]) -> DataFrame:
-    """Each row once for each choice of blocks: ``c`` the choice, ``k`` the bits there."""
-    keys = F.array(*(F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(masks)))
-    return rows.withColumn("x", F.explode(keys)).select(*rows.columns, "x.c", "x.k")
+    """Each row once for each mask: ``k`` stands for the mask and the bits there."""
+    keys = F.array(*(F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)))
+    return rows.withColumn("k", F.explode(keys))
 
 
 def _within(a: str, b: str) -> Column:
@@ -141,19 +174,21 @@ def _within(a: str, b: str) -> Column:
 
 def linked(docs: DataFrame, uniq: DataFrame) -> DataFrame:
     """``node, label`` of the distinct lines that have links; ``uniq``: h, fp, n, first."""
-    masks = block_masks(uniq.count())
+    sample = [r["fp"] for r in uniq.select("fp").distinct().orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()]
+    masks = block_masks(uniq.count(), sample)
     links = lambda df: df.where("ok").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    # 1. every line against the most frequent line of each of its buckets
-    filed = _filed(uniq.select("h", "fp", "n"), masks)
-    lead = filed.groupBy("c", "k").agg(F.max(F.struct("n", "h", "fp")).alias("lead"), F.count("*").alias("size")).where("size > 1").select(F.col("c").alias("lc"), F.col("k").alias("lk"), F.col("lead.h").alias("lh"), F.col("lead.fp").alias("lfp"))
-    star = filed.join(lead, (F.col("c") == F.col("lc")) & (F.col("k") == F.col("lk")) & (F.col("h") != F.col("lh")) & _within("fp", "lfp")).select(F.col("lh").alias("a"), F.col("h").alias("b")).distinct()
+    # 1. every line against the most frequent line of each of its buckets (thirds of the
+    #    bits; no link depends on them, they keep dense groups out of the next step)
+    filed = _filed(uniq.select("h", "fp", "n"), _blocks(3))
+    lead = filed.groupBy("k").agg(F.max(F.struct("n", "h", "fp")).alias("lead"), F.count("*").alias("size")).where("size > 1").select(F.col("k").alias("lk"), F.col("lead.h").alias("lh"), F.col("lead.fp").alias("lfp"))
+    star = filed.join(lead, (F.col("k") == F.col("lk")) & (F.col("h") != F.col("lh")) & _within("fp", "lfp")).select(F.col("lh").alias("a"), F.col("h").alias("b")).distinct()
     first = links(_verified(docs, written(star, "line-pairs"), uniq))
     label = components(first)
     # 2. what is still apart, one line for each fingerprint of a group
     now = written(uniq.join(label, F.col("h") == F.col("node"), "left").select("h", "fp", F.coalesce("label", "h").alias("g")), "line-labels")
     one = _filed(now.groupBy("fp", "g").agg(F.min("h").alias("h")), masks)
     other = one.select(*(F.col(c).alias(f"{c}2") for c in one.columns))
-    apart = one.join(other, (F.col("c") == F.col("c2")) & (F.col("k") == F.col("k2")) & (F.col("h") < F.col("h2")) & (F.col("g") != F.col("g2")) & _within("fp", "fp2")).select(F.col("h").alias("a"), F.col("h2").alias("b")).distinct()
+    apart = one.join(other, (F.col("k") == F.col("k2")) & (F.col("h") < F.col("h2")) & (F.col("g") != F.col("g2")) & _within("fp", "fp2")).select(F.col("h").alias("a"), F.col("h2").alias("b")).distinct()
     second = _verified(docs, written(apart, "line-pairs"), uniq)
     # 3. where those two differ too much, all lines of both fingerprints and groups
     a, b = (now.select(F.col("h").alias(f"h{x}"), F.col("fp").alias(f"fp{x}"), F.col("g").alias(f"g{x}")) for x in "ab")
@@ -184,7 +219,10 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame, counts: bool = False) -> DataFrame:
     """``docs`` with every removed line cut out of ``text``; ``counts`` adds n_lines, n_removed."""
     gone = written(removed_lines(docs), "line-gone")
-    rows = docs.select(*docs.columns, _row_key(docs).alias("__rk")).join(gone, F.col("__rk") == F.col("gone_rk"), "left")
+    rows = docs.select(*docs.columns, _row_key(docs).alias("__rk"), _member(gone.select(F.col("gone_rk").alias("rk"))).alias("__set")).withColumn("__maybe", _in_set(F.col("__set"), F.col("__rk"))).drop("__set")
+    # documents outside the set lose nothing and are not shuffled
+    rest = rows.where(~F.col("__maybe")).withColumn("gone", F.lit(None).cast("array<int>")).select(*docs.columns, "gone")
+    rows = rows.where("__maybe").join(gone, F.col("__rk") == F.col("gone_rk"), "left").select(*docs.columns, "gone").unionByName(rest)
     lines = F.split("text", "\n")
     stays = let(lines, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("gone")), lambda i: F.get(x, i)), "\n"))
     out = {c: F.col(c) for c in docs.columns} | {"text": F.when(F.col("gone").isNull(), F.col("text")).otherwise(stays)}
