@@ -54,22 +54,26 @@ def _row_key(docs: DataFrame) -> Column:
     return F.xxhash64(docs["doc_id"].cast("long"), docs["text"])
 
 
-def _bit_by_bit(hashes: Column) -> Column:
+def _bit_by_bit(words: Column) -> Column:
     """SimHash without lanes, for lines of any length."""
-    one = lambda b: F.aggregate(hashes, F.lit(0).cast("long"), lambda s, h: s + F.shiftrightunsigned(h, b).bitwiseAND(F.lit(1)))
-    return F.aggregate(
-        F.array(*(F.when(2 * one(b) > F.size(hashes), F.lit(1 << b)).otherwise(F.lit(0).cast("long")) for b in range(BITS))), F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x)
-    )
+
+    def bits(hashes: Column) -> Column:
+        one = lambda b: F.aggregate(hashes, F.lit(0).cast("long"), lambda s, h: s + F.call_function("shiftrightunsigned", h, b).bitwiseAND(F.lit(1)))
+        set_ = F.transform(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda b: F.when(2 * one(b) > F.size(hashes), F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))
+        return F.aggregate(set_, F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x))
+
+    return let(F.transform(words, lambda w: F.xxhash64(w)), bits)
 
 
 def simhashed(docs: DataFrame) -> DataFrame:
     """``doc_id, rk, pos, h, fp`` of every line with words. ``h`` hashes the normal form."""
-    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_key(docs).alias("rk"), F.monotonically_increasing_id().alias("rid"), F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    words = lines.select("doc_id", "rk", "rid", "pos", line_words(F.col("line")).alias("w")).where(F.size("w") > 0)
-    keyed = words.select("doc_id", "rk", "rid", "pos", F.xxhash64(F.array_join("w", " ")).alias("h"), "w")
+    # whatever stands beside a generator is computed for each row that it yields: so it
+    # is computed in a projection before, and the words of a line inside the generator
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_key(docs).alias("rk"), F.monotonically_increasing_id().alias("rid"), F.col("text").alias("t"))
+    words = rows.select("doc_id", "rk", "rid", F.posexplode(F.transform(F.split("t", "\n"), line_words)).alias("pos", "w")).where(F.size("w") > 0)
     fits = F.size("w") <= _MOST
-    long_fp = F.when(~fits, _bit_by_bit(F.transform("w", lambda x: F.xxhash64(x))))
-    cut = keyed.select("doc_id", "rk", "rid", "pos", "h", long_fp.alias("long_fp"), F.explode(F.when(fits, F.col("w")).otherwise(F.array(F.lit("")))).alias("word"))
+    keyed = words.select("doc_id", "rk", "rid", "pos", F.xxhash64(F.array_join("w", " ")).alias("h"), F.when(~fits, _bit_by_bit(F.col("w"))).alias("long_fp"), F.when(fits, F.col("w")).otherwise(F.array(F.lit(""))).alias("w"))
+    cut = keyed.select("doc_id", "rk", "rid", "pos", "h", "long_fp", F.explode("w").alias("word"))
     x = F.xxhash64("word")
     sums = [F.sum(F.shiftrightunsigned(x, k).bitwiseAND(F.lit(_ONES))).alias(f"s{k}") for k in range(LANE_BITS)]
     counted = cut.groupBy("rid", "pos", "doc_id", "rk", "h", "long_fp").agg(F.count("*").alias("n"), *sums)
