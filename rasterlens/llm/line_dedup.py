@@ -1,7 +1,7 @@
 """Fuzzy line dedup: SimHash of normalised lines, pigeonhole blocks, edit similarity, groups.
 
 Lines are normalised (lower case, ASCII punctuation and white space to single spaces).
-Two lines link if their normal forms are equal, or if their 60-bit SimHashes of words
+Two lines link if their normal forms are equal, or if their 60-bit SimHashes of distinct words
 differ in at most three bits and their edit similarity is at least 0.8 (on characters;
 on words, one symbol a word, beyond ``LONG`` characters). Of each connected group the
 first occurrence (least doc_id, then line number) is kept, everywhere in the corpus.
@@ -71,8 +71,9 @@ def simhashed(docs: DataFrame) -> DataFrame:
     # is computed in a projection before, and the words of a line inside the generator
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_key(docs).alias("rk"), F.monotonically_increasing_id().alias("rid"), F.col("text").alias("t"))
     words = rows.select("doc_id", "rk", "rid", F.posexplode(F.transform(F.split("t", "\n"), line_words)).alias("pos", "w")).where(F.size("w") > 0)
+    words = words.select("doc_id", "rk", "rid", "pos", F.xxhash64(F.array_join("w", " ")).alias("h"), F.array_distinct("w").alias("w"))
     fits = F.size("w") <= _MOST
-    keyed = words.select("doc_id", "rk", "rid", "pos", F.xxhash64(F.array_join("w", " ")).alias("h"), F.when(~fits, _bit_by_bit(F.col("w"))).alias("long_fp"), F.when(fits, F.col("w")).otherwise(F.array(F.lit(""))).alias("w"))
+    keyed = words.select("doc_id", "rk", "rid", "pos", "h", F.when(~fits, _bit_by_bit(F.col("w"))).alias("long_fp"), F.when(fits, F.col("w")).otherwise(F.array(F.lit(""))).alias("w"))
     cut = keyed.select("doc_id", "rk", "rid", "pos", "h", "long_fp", F.explode("w").alias("word"))
     x = F.xxhash64("word")
     sums = [F.sum(F.shiftrightunsigned(x, k).bitwiseAND(F.lit(_ONES))).alias(f"s{k}") for k in range(LANE_BITS)]
