@@ -1,6 +1,440 @@
-"""Queries over the given tables and their SQL, gathered from the operator modules."""
+"""Queries over the given tables and their SQL for DuckDB, side by side."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from rasterlens.functions import geometry as g
+from rasterlens.functions import text as t
+from rasterlens.operators import kernels, linking, rasters
+from rasterlens.sources.tables import SQL, endpoints, files, objects, raster_pixels, read, schedule
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+P90 = 0.9
+K3 = {(dy, dx): (1.0 if (dy, dx) == (0, 0) else 0.5 if 0 in (dy, dx) else 0.25) for dy in (-1, 0, 1) for dx in (-1, 0, 1)}
+LINES = {
+    0: {(0, -1): 1.0, (0, 0): 1.0, (0, 1): 1.0, (-1, 0): -1.5, (1, 0): -1.5},
+    45: {(-1, 1): 1.0, (0, 0): 1.0, (1, -1): 1.0, (-1, -1): -1.5, (1, 1): -1.5},
+    90: {(-1, 0): 1.0, (0, 0): 1.0, (1, 0): 1.0, (0, -1): -1.5, (0, 1): -1.5},
+    135: {(-1, -1): 1.0, (0, 0): 1.0, (1, 1): 1.0, (-1, 1): -1.5, (1, -1): -1.5},
+}
+
+
+def query(*ctes: str, sql: str | None = None):
+    """Register a query and, with ``sql``, its oracle over the named inputs."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = ("WITH RECURSIVE " if "RECURSIVE" in ctes else "WITH ") * bool(ctes) + ",\n".join(SQL.get(c, c) for c in ctes if c != "RECURSIVE") + "\n" + sql
+        return f
+
+    return add
+
+
+def _normal(spark: SparkSession, sf: str) -> DataFrame:
+    return objects(spark, sf).withColumn("norm", t.normal_category(F.col("category")))
+
+
+@query(sql="""SELECT p_partkey, array_to_string(list_filter(string_split(replace(lower(trim(replace(p_type, ' ', '  '))), ' ', '_'), '_'), lambda q: q <> ''), '_') AS norm FROM part""")
+def normalize_category(spark, sf):
+    raw = F.concat(F.lit(" \t"), F.replace(F.col("p_type"), F.lit(" "), F.lit("  ")), F.lit("\n "))
+    return read(spark, sf, "part").select("p_partkey", t.normal_category(raw).alias("norm"))
+
+
+@query("O", "N", sql="SELECT count(*) FILTER (category = 'Silver box') AS n_exact, count(*) FILTER (norm = 'silver_box') AS n_norm, count(*) FILTER (norm IN ('scratch', 'pit', 'stain')) AS n_defects FROM n")
+def exact_vs_normalized(spark, sf):
+    return _normal(spark, sf).agg(F.count_if(F.col("category") == "Silver box").alias("n_exact"), F.count_if(F.col("norm") == "silver_box").alias("n_norm"), F.count_if(F.col("norm").isin("scratch", "pit", "stain")).alias("n_defects"))
+
+
+@query("O", "N", sql="SELECT image_id, pos, category FROM n WHERE norm IS DISTINCT FROM 'the_avoided_area'")
+def drop_category(spark, sf):
+    return _normal(spark, sf).where(~F.col("norm").eqNullSafe("the_avoided_area")).select("image_id", "pos", "category")
+
+
+@query("O", "N", sql="SELECT image_id, bool_or(norm = 'the_avoided_area') AS has_avoided FROM n GROUP BY image_id")
+def has_category_audit(spark, sf):
+    return _normal(spark, sf).groupBy("image_id").agg(F.bool_or(F.col("norm") == "the_avoided_area").alias("has_avoided"))
+
+
+_RULES = """SELECT image_id, pos, CASE WHEN len >= 40 THEN 'long' ELSE 'short' END AS grp, CASE WHEN len < 12 THEN 'path_length_below_minimum' WHEN len >= 40 THEN 'long_candidate_passed'
+  WHEN aspect < 3 THEN 'short_aspect_below_minimum' WHEN lin < 0.30 THEN 'short_linearity_below_minimum' ELSE 'short_candidate_passed' END AS reason FROM (SELECT image_id, pos, CAST(x0 AS DOUBLE) AS len, tax * 100 AS aspect, discount * 10 AS lin FROM o)"""
+
+
+@query("O", sql=f"SELECT image_id, pos, reason LIKE '%passed' AS kept, CASE WHEN reason = 'path_length_below_minimum' THEN 'rejected' ELSE grp END AS length_group, reason FROM ({_RULES})")
+def candidate_rules(spark, sf):
+    v = g.candidate(F.col("x0").cast("double"), F.col("tax") * 100, F.col("discount") * 10)
+    return objects(spark, sf).select("image_id", "pos", *(c.alias(k) for k, c in v.items()))
+
+
+@query("O", sql="SELECT image_id, pos, true AS kept, CASE WHEN x0 >= 40 THEN 'long' ELSE 'short' END AS length_group, 'filter_disabled' AS reason FROM o")
+def candidate_rules_disabled(spark, sf):
+    v = g.candidate(F.col("x0").cast("double"), F.col("tax"), F.col("discount"), enabled=False)
+    return objects(spark, sf).select("image_id", "pos", *(c.alias(k) for k, c in v.items()))
+
+
+@query(sql="SELECT page_id, 'P' || page_id || regexp_extract(url, '(\\.[^./]+)$', 1) AS new_name FROM pages")
+def new_name_suffix(spark, sf):
+    return read(spark, sf, "pages").select("page_id", t.renamed(F.concat(F.lit("P"), F.col("page_id")), F.col("url")).alias("new_name"))
+
+
+_STEM = "lpad(CAST(p_partkey % 1000 AS VARCHAR), 3, '0') || CASE WHEN p_partkey % 7 = 0 THEN '' ELSE '_aug_r' || lpad(CAST((p_partkey * 10) % 400 AS VARCHAR), 3, '0') || CASE p_partkey % 4 WHEN 1 THEN '_vflip' WHEN 2 THEN '_hflip' WHEN 3 THEN '_flip' ELSE '' END END"
+
+
+@query(sql=f"""SELECT p_partkey, nullif(regexp_extract(s, pat, 1), '') AS source, CAST(nullif(regexp_extract(s, pat, 2), '') AS INT) AS angle, nullif(regexp_extract(s, pat, 3), '') AS flip,
+  CAST(nullif(regexp_extract(s, pat, 2), '') AS INT) <= 360 AND CAST(nullif(regexp_extract(s, pat, 2), '') AS INT) % 20 = 0 AS valid
+  FROM (SELECT p_partkey, {_STEM} AS s, '^(\\d{{3}})_aug_r(\\d{{3}})(?:_(vflip|hflip))?$' AS pat FROM part)""")
+def augmentation_parse(spark, sf):
+    k = F.col("p_partkey")
+    flip = F.when(k % 4 == 1, "_vflip").when(k % 4 == 2, "_hflip").when(k % 4 == 3, "_flip").otherwise("")
+    stem = F.concat(F.format_string("%03d", k % 1000), F.when(k % 7 == 0, "").otherwise(F.concat(F.lit("_aug_r"), F.format_string("%03d", (k * 10) % 400), flip)))
+    return read(spark, sf, "part").select("p_partkey", *(c.alias(n) for n, c in t.augmentation(stem).items()))
+
+
+@query(sql="""SELECT p_partkey, angle, flip, printf('%03d', p_partkey % 1000) || printf('_aug_r%03d', angle) || coalesce('_' || flip, '') || '.png' AS name FROM part, (
+  SELECT 0 AS angle, f AS flip FROM (VALUES ('vflip'), ('hflip')) a(f) UNION ALL SELECT CAST(r AS INT), f FROM range(20, 361, 20) b(r), (VALUES (NULL), ('vflip'), ('hflip')) c(f))""")
+def augmentation_plan(spark, sf):
+    turns = F.flatten(F.transform(F.sequence(F.lit(20), F.lit(360), F.lit(20)), lambda a: F.transform(F.array(F.lit(None).cast("string"), F.lit("vflip"), F.lit("hflip")), lambda f: F.struct(a.alias("angle"), f.alias("flip")))))
+    flips = F.transform(F.array(F.lit("vflip"), F.lit("hflip")), lambda f: F.struct(F.lit(0).alias("angle"), f.alias("flip")))
+    rows = read(spark, sf, "part").select("p_partkey", F.explode(F.concat(flips, turns)).alias("v")).select("p_partkey", "v.angle", "v.flip")
+    return rows.withColumn("name", t.augmented_name(F.format_string("%03d", F.col("p_partkey") % 1000), F.col("angle"), F.col("flip"), F.lit(".png")))
+
+
+@query("O", sql="""SELECT image_id, pos, a AS angle, round(CASE WHEN a IN (0, 360) THEN x0 WHEN a = 180 THEN 63 - x0 ELSE cos(radians(a)) * (x0 - 32.0) + sin(radians(a)) * (y0 - 32.0) + 32.0 END, 6) AS rx,
+  round(63 - CASE WHEN a IN (0, 360) THEN y0 WHEN a = 180 THEN 63 - y0 ELSE -sin(radians(a)) * (x0 - 32.0) + cos(radians(a)) * (y0 - 32.0) + 32.0 END, 6) AS ry FROM o, (VALUES (0), (20), (180), (360)) v(a)""")
+def rotate_flip_points(spark, sf):
+    rows = objects(spark, sf).withColumn("angle", F.explode(F.array(*map(F.lit, (0, 20, 180, 360)))))
+    rx, ry = g.rotated(F.col("x0"), F.col("y0"), F.col("angle"), F.lit(64), F.lit(64))
+    rx, ry = g.flipped(rx, ry, F.lit("vflip"), F.lit(64), F.lit(64))
+    return rows.select("image_id", "pos", "angle", F.round(rx, 6).alias("rx"), F.round(ry, 6).alias("ry"))
+
+
+@query("O", sql="SELECT image_id, pos, greatest(least(x0 + w, 39), 0) AS x1, greatest(least(y0 - h, 39), 0) AS y1 FROM o")
+def vertex_clip(spark, sf):
+    return objects(spark, sf).select("image_id", "pos", g.clipped(F.col("x0") + F.col("w"), F.lit(40)).alias("x1"), g.clipped(F.col("y0") - F.col("h"), F.lit(40)).alias("y1"))
+
+
+@query("O", sql="SELECT image_id, pos, x0 + CAST(round_even(31.5 - (x0 + w / 2.0), 0) AS INT) AS x1, y0 + CAST(round_even(31.5 - (y0 + h / 2.0), 0) AS INT) AS y1 FROM o")
+def translate_center(spark, sf):
+    dx, dy = g.centring(F.lit(64), F.col("x0") + F.col("w") / F.lit(2.0)), g.centring(F.lit(64), F.col("y0") + F.col("h") / F.lit(2.0))
+    return objects(spark, sf).select("image_id", "pos", (F.col("x0") + dx).alias("x1"), (F.col("y0") + dy).alias("y1"))
+
+
+@query("O", "N", sql="""SELECT image_id, pos, CASE norm WHEN 'scratch' THEN greatest(5, least(10, CAST(round_even(x0 * 0.35::DOUBLE, 0) AS INT))) WHEN 'pit' THEN greatest(2, least(7, CAST(round_even(x0 * 0.18::DOUBLE, 0) AS INT))) ELSE greatest(3, least(10, CAST(round_even(x0 * 0.10::DOUBLE, 0) AS INT))) END AS px,
+  CASE WHEN greatest(9, least(15, CAST(round_even(x0 * 0.75::DOUBLE, 0) AS INT))) % 2 = 0 THEN least(15, 1 + greatest(9, least(15, CAST(round_even(x0 * 0.75::DOUBLE, 0) AS INT)))) ELSE greatest(9, least(15, CAST(round_even(x0 * 0.75::DOUBLE, 0) AS INT))) END AS patch FROM n""")
+def expansion_pixels(spark, sf):
+    return _normal(spark, sf).select("image_id", "pos", g.expansion(F.col("norm"), F.col("x0")).alias("px"), g.patch_size(F.col("x0")).alias("patch"))
+
+
+@query(sql="SELECT o_orderkey, CAST(make_date(2024, month(o_orderdate), day(o_orderdate)) AS VARCHAR) AS ends FROM orders")
+def schedule_parse(spark, sf):
+    m, d = F.month("o_orderdate"), F.dayofmonth("o_orderdate")
+    md = F.concat(m, F.lit("."), d)
+    raw = F.when(F.col("o_orderkey") % 3 == 0, md).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit(" 1.1-"), md)).otherwise(F.concat(m, F.lit(".1-"), d))
+    return read(spark, sf, "orders").select("o_orderkey", t.schedule_date(raw, 2024).cast("string").alias("ends"))
+
+
+@query(sql="SELECT event_id, props AS raw, json_keys(props)[1] AS first_key, len(json_keys(props)) AS n_keys FROM events")
+def json_extract(spark, sf):
+    keys = F.json_object_keys("props")
+    return read(spark, sf, "events").select("event_id", F.col("props").alias("raw"), F.get(keys, F.lit(0)).alias("first_key"), F.size(keys).cast("long").alias("n_keys"))
+
+
+@query(sql="SELECT p_partkey, CASE WHEN p_size < 3 THEN 3 WHEN p_size % 2 = 0 THEN p_size + 1 ELSE p_size END AS k FROM part")
+def odd_kernel(spark, sf):
+    return read(spark, sf, "part").select("p_partkey", g.odd_kernel(F.col("p_size")).alias("k"))
+
+
+@query("F", sql="SELECT f.doc_id, f.stem || f.suffix AS image, CASE WHEN l.doc_id IS NOT NULL THEN f.stem || '.json' END AS json FROM f LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON f.doc_id = l.doc_id")
+def pair_left(spark, sf):
+    js = read(spark, sf, "labels").select(F.col("doc_id").alias("j")).distinct()
+    f = files(spark, sf).join(js, F.col("doc_id") == F.col("j"), "left")
+    return f.select("doc_id", F.concat("stem", "suffix").alias("image"), F.when(F.col("j").isNotNull(), F.concat("stem", F.lit(".json"))).alias("json"))
+
+
+@query("F", sql="SELECT doc_id, stem || suffix AS image FROM f WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)")
+def pair_anti(spark, sf):
+    return files(spark, sf).join(read(spark, sf, "labels").select("doc_id"), "doc_id", "left_anti").select("doc_id", F.concat("stem", "suffix").alias("image"))
+
+
+@query(sql="""SELECT coalesce(a.name, b.name) AS name, CASE WHEN a.name IS NULL THEN 'right' WHEN b.name IS NULL THEN 'left' ELSE 'both' END AS side FROM
+  (SELECT DISTINCT p_type AS name FROM part WHERE p_partkey % 3 = 0) a FULL JOIN (SELECT DISTINCT p_type AS name FROM part WHERE p_partkey % 5 = 0) b ON a.name = b.name""")
+def run_compare(spark, sf):
+    p = read(spark, sf, "part")
+    a, b = p.where("p_partkey % 3 = 0").select(F.col("p_type").alias("a")).distinct(), p.where("p_partkey % 5 = 0").select(F.col("p_type").alias("b")).distinct()
+    side = F.when(F.col("a").isNull(), "right").when(F.col("b").isNull(), "left").otherwise("both")
+    return a.join(b, F.col("a") == F.col("b"), "full").select(F.coalesce("a", "b").alias("name"), side.alias("side"))
+
+
+@query("O", "N", sql="""SELECT s.image_id, f.folder, count(*) AS n_kept, count(*) FILTER (norm = 'the_avoided_area') AS n_copied FROM n s JOIN (SELECT n_nationkey AS folder FROM nation) f ON s.image_id % 25 = f.folder OR norm = 'the_avoided_area' AND (s.image_id + 1) % 25 = f.folder
+  GROUP BY ALL""")
+def copy_objects(spark, sf):
+    n = _normal(spark, sf)
+    own = F.array((F.col("image_id") % 25).cast("int"))
+    more = F.when(F.col("norm") == "the_avoided_area", F.array(((F.col("image_id") + 1) % 25).cast("int"))).otherwise(F.array().cast("array<int>"))
+    asked = n.select("image_id", "norm", F.explode(F.array_distinct(F.concat(own, more))).alias("folder"))
+    met = asked.join(F.broadcast(read(spark, sf, "nation").limit(1000).select(F.col("n_nationkey").alias("folder"))), "folder")
+    return met.groupBy("image_id", "folder").agg(F.count("*").alias("n_kept"), F.count_if(F.col("norm") == "the_avoided_area").alias("n_copied"))
+
+
+@query("F", sql="""SELECT folder, mtime % 50 AS stem_key, arg_min(suffix, CASE lower(suffix) WHEN '.bmp' THEN 1 WHEN '.jpg' THEN 3 WHEN '.png' THEN 4 ELSE 7 END) AS suffix FROM f GROUP BY ALL""")
+def suffix_precedence(spark, sf):
+    rank = F.array_position(F.array(*map(F.lit, t.IMAGE_SUFFIXES)), F.lower("suffix"))
+    return files(spark, sf).groupBy("folder", (F.col("mtime") % 50).alias("stem_key")).agg(F.min_by("suffix", rank).alias("suffix"))
+
+
+@query("F", sql="SELECT folder, stem || suffix AS old_name, printf('%04d', row_number() OVER (PARTITION BY folder ORDER BY mtime, lower(stem)) + 9) || suffix AS new_name FROM f")
+def rename_plan(spark, sf):
+    n = F.row_number().over(Window.partitionBy("folder").orderBy("mtime", F.lower("stem"))) + 9
+    return files(spark, sf).select("folder", F.concat("stem", "suffix").alias("old_name"), F.concat(F.format_string("%04d", n), F.col("suffix")).alias("new_name"))
+
+
+@query(sql="SELECT DISTINCT p_size + 25 AS target FROM part WHERE p_partkey % 2 = 0 AND p_size + 25 IN (SELECT p_size FROM part) AND p_size + 25 NOT IN (SELECT p_size FROM part WHERE p_partkey % 4 = 0)")
+def rename_conflicts(spark, sf):
+    p = read(spark, sf, "part")
+    plan = p.where("p_partkey % 2 = 0").select((F.col("p_size") + 25).alias("target")).distinct()
+    there, own = p.select(F.col("p_size").alias("target")), p.where("p_partkey % 4 = 0").select(F.col("p_size").alias("target"))
+    return plan.join(there, "target", "left_semi").join(own, "target", "left_anti")
+
+
+@query(sql="SELECT printf('%03d', coalesce(max(s_suppkey % 500) FILTER (s_suppkey % 3 <> 0), 0) + 1) AS next_run FROM supplier")
+def next_run_number(spark, sf):
+    name = F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("old_"), F.col("s_suppkey"))).otherwise((F.col("s_suppkey") % 500).cast("string"))
+    digits = read(spark, sf, "supplier").select(name.alias("name")).where(F.regexp_like("name", F.lit("^[0-9]+$")))
+    return digits.agg(F.format_string("%03d", F.coalesce(F.max(F.col("name").cast("long")), F.lit(0).cast("long")) + 1).alias("next_run"))
+
+
+@query("O", "N", sql="SELECT image_id, pos, norm, CAST(row_number() OVER (PARTITION BY image_id, norm ORDER BY pos) AS INT) AS ordinal FROM n")
+def object_ordinal(spark, sf):
+    return _normal(spark, sf).select("image_id", "pos", "norm", F.row_number().over(Window.partitionBy("image_id", "norm").orderBy("pos")).alias("ordinal"))
+
+
+@query("O", "N", sql="SELECT image_id, bit_or(CASE norm WHEN 'scratch' THEN 1 WHEN 'pit' THEN 2 WHEN 'stain' THEN 4 ELSE 0 END) AS bits FROM n GROUP BY image_id")
+def category_bits(spark, sf):
+    bit = F.when(F.col("norm") == "scratch", 1).when(F.col("norm") == "pit", 2).when(F.col("norm") == "stain", 4).otherwise(0)
+    return _normal(spark, sf).groupBy("image_id").agg(F.bit_or(bit).alias("bits"))
+
+
+@query("O", "N", sql="SELECT norm, count(*) AS n, count(DISTINCT image_id) AS images, count(*) >= 3 AS enough FROM n GROUP BY norm")
+def run_counters(spark, sf):
+    return _normal(spark, sf).groupBy("norm").agg(F.count("*").alias("n"), F.count_distinct("image_id").alias("images"), (F.count("*") >= 3).alias("enough"))
+
+
+@query("P", sql="SELECT image_id, round(quantile_cont(v, 0.9), 9) AS p90 FROM p GROUP BY image_id")
+def masked_percentile(spark, sf):
+    return raster_pixels(spark, sf).groupBy("image_id").agg(F.round(F.percentile("v", P90), 9).alias("p90"))
+
+
+_MASK = "m AS (SELECT p.image_id, y, x, v, t FROM p JOIN (SELECT image_id, quantile_cont(v, 0.7) AS t FROM p GROUP BY image_id) q USING (image_id) WHERE v >= t)"
+_LABELS = """l AS (SELECT image_id, y, x, y * 1000000 + x AS label FROM m UNION SELECT b.image_id, b.y, b.x, l.label FROM l JOIN m b ON b.image_id = l.image_id AND abs(b.y - l.y) <= 1 AND abs(b.x - l.x) <= 1 AND b.y * 1000000 + b.x > l.label),
+c AS (SELECT image_id, y, x, min(label) AS label FROM l GROUP BY ALL)"""
+
+
+def _mask(spark: SparkSession, sf: str, p: float = 0.7) -> DataFrame:
+    return rasters.threshold_by_percentile(raster_pixels(spark, sf), p).where("v >= t")
+
+
+def _labelled(spark: SparkSession, sf: str) -> DataFrame:
+    return kernels.labelled(read(spark, sf, "embeddings"), "vec_id", "embedding", 8, 0.7)
+
+
+@query("RECURSIVE", "P", """q AS (SELECT image_id, quantile_cont(v, 0.9) AS hi FROM p GROUP BY image_id), m AS (SELECT p.image_id, y, x, v, hi FROM p JOIN q USING (image_id) WHERE hi > 1e-12 AND v >= hi * 0.4),
+l AS (SELECT image_id, y, x FROM m WHERE v >= hi UNION SELECT b.image_id, b.y, b.x FROM l JOIN m b ON b.image_id = l.image_id AND abs(b.y - l.y) <= 1 AND abs(b.x - l.x) <= 1)""",
+       sql="SELECT image_id, count(*) AS kept, CAST(sum((y * 8 + x) * (y * 8 + x)) AS BIGINT) AS sum_sq FROM l GROUP BY image_id")
+def hysteresis(spark, sf):
+    return kernels.hysteresis_counts(read(spark, sf, "embeddings"), "vec_id", "embedding", 8, P90, 0.4)
+
+
+@query("P", _MASK, sql="SELECT image_id, count(*) AS n, CAST(sum(y * 8 + x) AS BIGINT) AS s FROM m a WHERE (SELECT count(*) FROM m b WHERE b.image_id = a.image_id AND abs(b.y - a.y) + abs(b.x - a.x) <= 1) = 5 GROUP BY image_id")
+def erode_mask(spark, sf):
+    return rasters.eroded(_mask(spark, sf), [(0, 1), (1, 0), (0, -1), (-1, 0)]).groupBy("image_id").agg(F.count("*").alias("n"), F.sum(F.col("y") * 8 + F.col("x")).alias("s"))
+
+
+@query("P", _MASK, sql="SELECT image_id, count(*) AS n, CAST(sum(y * 8 + x) AS BIGINT) AS s FROM (SELECT DISTINCT p.image_id, p.y, p.x FROM p JOIN m ON m.image_id = p.image_id AND abs(m.y - p.y) + abs(m.x - p.x) <= 1) GROUP BY image_id")
+def dilate_mask(spark, sf):
+    return rasters.dilated(_mask(spark, sf), [(0, 1), (1, 0), (0, -1), (-1, 0)], 8, 8).groupBy("image_id").agg(F.count("*").alias("n"), F.sum(F.col("y") * 8 + F.col("x")).alias("s"))
+
+
+@query("P", _MASK, "k AS (SELECT a.image_id, a.y, a.x, count(b.image_id) AS n FROM m a LEFT JOIN m b ON b.image_id = a.image_id AND abs(b.y - a.y) <= 1 AND abs(b.x - a.x) <= 1 AND (b.y, b.x) <> (a.y, a.x) GROUP BY ALL)",
+       sql="SELECT image_id, count(*) FILTER (n = 1) AS endpoints, count(*) FILTER (n >= 3) AS branches, count(*) AS n FROM k GROUP BY image_id")
+def neighbour_topology(spark, sf):
+    k = rasters.neighbour_counts(_mask(spark, sf))
+    return k.groupBy("image_id").agg(F.count_if(F.col("n") == 1).alias("endpoints"), F.count_if(F.col("n") >= 3).alias("branches"), F.count("*").alias("n"))
+
+
+@query("RECURSIVE", "P", _MASK, _LABELS, sql="SELECT image_id, CAST(label AS BIGINT) AS label, count(*) AS area, min(x) AS bx, min(y) AS by_, max(x) - min(x) + 1 AS bw, max(y) - min(y) + 1 AS bh, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy FROM c GROUP BY image_id, label HAVING count(*) >= 2")
+def component_stats(spark, sf):
+    c = _labelled(spark, sf).groupBy("image_id", "label").agg(F.count("*").alias("area"), F.min("x").alias("bx"), F.min("y").alias("by_"), (F.max("x") - F.min("x") + 1).alias("bw"), (F.max("y") - F.min("y") + 1).alias("bh"), F.round(F.avg("x"), 6).alias("cx"), F.round(F.avg("y"), 6).alias("cy"))
+    return c.where("area >= 2")
+
+
+@query("RECURSIVE", "P", _MASK, _LABELS, """a AS (SELECT image_id, label, count(*) AS n, var_pop(x) AS cxx, var_pop(y) AS cyy, covar_pop(x, y) AS cxy FROM c GROUP BY image_id, label),
+d AS (SELECT *, sqrt((cxx - cyy) * (cxx - cyy) + 4 * cxy * cxy) AS root FROM a)""",
+       sql="SELECT image_id, CAST(label AS BIGINT) AS label, n, CASE WHEN n < 2 OR (cxx + cyy + root) / 2 <= 1e-12 THEN 0 ELSE round(greatest(least(root / ((cxx + cyy + root) / 2), 1), 0), 6) END AS linearity FROM d")
+def pca_orientation(spark, sf):
+    return rasters.principal_axis(_labelled(spark, sf), ["image_id", "label"]).select("image_id", "label", "n", F.round("linearity", 6).alias("linearity"))
+
+
+@query("P", _MASK, sql="""SELECT a.image_id, round(1 + coalesce(sum(CASE WHEN b.image_id IS NULL THEN 0 WHEN a.y <> b.y AND a.x <> b.x THEN sqrt(2) ELSE 1 END), 0), 6) AS length FROM m a LEFT JOIN m b ON b.image_id = a.image_id AND abs(b.y - a.y) <= 1 AND abs(b.x - a.x) <= 1 AND (b.y > a.y OR b.y = a.y AND b.x > a.x) GROUP BY a.image_id""")
+def skeleton_length(spark, sf):
+    return rasters.skeleton_length(_mask(spark, sf)).select("image_id", F.round("length", 6).alias("length"))
+
+
+@query("P", sql="""SELECT a.image_id, a.y, a.x, round(a.v - sum(w * b.v) / sum(w), 6) AS corrected FROM p a, (VALUES (-1), (0), (1)) d(dy), (VALUES (-1), (0), (1)) e(dx), (SELECT 0 z) zz JOIN p b ON b.image_id = a.image_id AND b.y = CASE WHEN a.y + dy < 0 THEN 1 WHEN a.y + dy > 7 THEN 6 ELSE a.y + dy END AND b.x = CASE WHEN a.x + dx < 0 THEN 1 WHEN a.x + dx > 7 THEN 6 ELSE a.x + dx END, LATERAL (SELECT CASE WHEN dy = 0 AND dx = 0 THEN 1.0::DOUBLE WHEN dy = 0 OR dx = 0 THEN 0.5 ELSE 0.25 END AS w) u GROUP BY a.image_id, a.y, a.x, a.v""")
+def masked_background(spark, sf):
+    p = raster_pixels(spark, sf)
+    return p.join(rasters.weighted_background(p, K3, 8, 8), rasters.KEYS).select(*rasters.KEYS, F.round(F.col("v") - F.col("b"), 6).alias("corrected"))
+
+
+_TAPS = ", ".join(f"({a}, {dy}, {dx}, {w}::DOUBLE)" for a, k in LINES.items() for (dy, dx), w in k.items())
+
+
+@query("P", f"s AS (SELECT a.image_id, a.y, a.x, k.a AS angle, abs(sum(b.v * k.w)) AS s FROM p a, (VALUES {_TAPS}) k(a, dy, dx, w), p b WHERE b.image_id = a.image_id AND b.y = a.y + k.dy AND b.x = a.x + k.dx GROUP BY ALL)",
+       sql="SELECT image_id, y, x, round(s, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY image_id, y, x ORDER BY s DESC, angle) AS r FROM s WHERE s > 1e-9) WHERE r = 1")
+def argmax_direction(spark, sf):
+    return rasters.best_direction(raster_pixels(spark, sf), LINES).select(*rasters.KEYS, F.round("score", 4).alias("score"))
+
+
+@query("RECURSIVE", "P", _MASK, _LABELS, sql="SELECT image_id, CAST(label AS BIGINT) AS label, round(avg(v), 6) AS mean_v, round(max(v), 6) AS max_v, round(avg(CASE WHEN v >= t * 1.5 THEN 1.0 ELSE 0.0 END), 6) AS strong FROM c JOIN m USING (image_id, y, x) GROUP BY image_id, label")
+def response_stats(spark, sf):
+    c = _labelled(spark, sf).join(_mask(spark, sf), rasters.KEYS)
+    return c.groupBy("image_id", "label").agg(F.round(F.avg("v"), 6).alias("mean_v"), F.round(F.max("v"), 6).alias("max_v"), F.round(F.avg(F.when(F.col("v") >= F.col("t") * 1.5, 1.0).otherwise(0.0)), 6).alias("strong"))
+
+
+@query("O", sql="SELECT image_id, count(*) AS n_union, count(*) FILTER (k % 2 = 1) AS n_evenodd FROM (SELECT image_id, x, y, count(*) AS k FROM o, range(0, 14) a(i), range(0, 10) b(j), LATERAL (SELECT x0 + i AS x, y0 + j AS y) c WHERE i < w AND j < h GROUP BY ALL) GROUP BY image_id")
+def mask_union_vs_evenodd(spark, sf):
+    span = lambda a, n: F.sequence(F.col(a), F.col(a) + F.col(n) - 1)
+    px = objects(spark, sf).select("image_id", F.explode(span("x0", "w")).alias("x"), "y0", "h").select("image_id", "x", F.explode(span("y0", "h")).alias("y"))
+    return px.groupBy("image_id", "x", "y").agg(F.count("*").alias("k")).groupBy("image_id").agg(F.count("*").alias("n_union"), F.count_if(F.col("k") % 2 == 1).alias("n_evenodd"))
+
+
+_PAIRS = "g AS (SELECT a.image_id, a.id AS a_id, b.id AS b_id, a.component_id AS a_comp, b.component_id AS b_comp, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by_, a.tx AS atx, a.ty AS aty, b.tx AS btx, b.ty AS bty, sqrt((b.x - a.x) * (b.x - a.x) + (b.y - a.y) * (b.y - a.y)) AS gap FROM e a JOIN e b ON a.image_id = b.image_id AND b.id > a.id AND a.component_id <> b.component_id WHERE gap <= 20)"
+
+
+@query("E", _PAIRS, sql="SELECT image_id, a_id, b_id, round(gap, 6) AS gap FROM g")
+def grid_distance_join(spark, sf):
+    return linking.grid_pairs(endpoints(spark, sf), 20.0).select(F.col("a.image_id").alias("image_id"), F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"), F.round("gap", 6).alias("gap"))
+
+
+_LINKS = """u AS (SELECT *, (bx - ax) / gap AS ux, (by_ - ay) / gap AS uy FROM g WHERE gap > 1e-9),
+k AS (SELECT *, degrees(acos(greatest(least(abs(atx * btx + aty * bty), 1.0), -1.0))) AS turn, degrees(acos(least(abs(atx * ux + aty * uy), 1.0))) AS ca, degrees(acos(least(abs(btx * ux + bty * uy), 1.0))) AS cb, greatest(abs(gap * (ux * aty - uy * atx)), abs(gap * (ux * bty - uy * btx))) AS offset_px FROM u),
+s AS (SELECT image_id, a_id, b_id, a_comp, b_comp, round(gap, 6) AS gap, round(turn, 6) AS turn, round(offset_px, 6) AS offset_px, round(gap / 20 + turn / 60 + greatest(ca, cb) / 75 + offset_px / 15, 6) AS score FROM k WHERE turn <= 60 AND ca <= 75 AND cb <= 75 AND offset_px <= 15)"""
+
+
+@query("E", _PAIRS, _LINKS, sql="SELECT * FROM s")
+def link_scores(spark, sf):
+    return linking.scores(linking.grid_pairs(endpoints(spark, sf), 20.0), 20.0)
+
+
+@query("E", _PAIRS, """n AS (SELECT a_id, b_id, ax, ay, bx, by_, greatest(CAST(ceil(gap) AS INT) + 1, 2) AS n FROM g),
+q AS (SELECT a_id, b_id, list_sort(list_distinct(list_transform(range(0, n), lambda i: {'x': CAST(round_even(ax + (bx - ax) * i / (n - 1.0::DOUBLE), 0) AS BIGINT), 'y': CAST(round_even(ay + (by_ - ay) * i / (n - 1.0::DOUBLE), 0) AS BIGINT)}))) AS pts FROM n)""",
+       sql="SELECT a_id, b_id, len(pts) - 2 AS n_inner, array_to_string(list_transform(pts[2:-2], lambda p: p.x || ':' || p.y), ';') AS inner_points FROM q WHERE len(pts) > 2")
+def gap_samples(spark, sf):
+    pairs = linking.grid_pairs(endpoints(spark, sf), 20.0).withColumn("n", F.greatest(F.ceil("gap").cast("int") + 1, F.lit(2)))
+    along = lambda c: lambda i: F.bround(F.col(f"a.{c}") + (F.col(f"b.{c}") - F.col(f"a.{c}")) * i / (F.col("n") - F.lit(1.0)), 0).cast("long")
+    pts = F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct(along("x")(i).alias("x"), along("y")(i).alias("y")))))
+    got = pairs.select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"), pts.alias("pts")).where(F.size("pts") > 2)
+    inner = F.transform(F.slice("pts", F.lit(2), F.size("pts") - 2), lambda p: F.concat(p["x"], F.lit(":"), p["y"]))
+    return got.select("a_id", "b_id", (F.size("pts") - 2).cast("long").alias("n_inner"), F.array_join(inner, ";").alias("inner_points"))
+
+
+@query("E", _PAIRS, _LINKS, "r AS (SELECT image_id, a_id, b_id, score, i AS e, row_number() OVER (PARTITION BY image_id, i ORDER BY score, a_id, b_id) AS r FROM (SELECT *, unnest([a_id, b_id]) AS i FROM s))",
+       sql="SELECT image_id, a_id, b_id, score FROM r WHERE r = 1 GROUP BY ALL HAVING count(*) = 2")
+def mutual_best(spark, sf):
+    return linking.mutual_best(link_scores(spark, sf)).select("image_id", "a_id", "b_id", "score")
+
+
+@query()
+def selected_links(spark, sf):
+    return linking.forest(linking.mutual_best(link_scores(spark, sf)))
+
+
+@query("F", sql="SELECT folder, stem, CASE (rn - 1) // 3 WHEN 0 THEN 'Pit' WHEN 1 THEN 'Scratch' ELSE 'Stain' END AS grp FROM (SELECT folder, stem, row_number() OVER (PARTITION BY folder ORDER BY md5('7|' || stem), stem) AS rn FROM f) WHERE rn <= 9")
+def group_sample(spark, sf):
+    rn = F.row_number().over(Window.partitionBy("folder").orderBy(F.md5(F.concat(F.lit("7|"), F.col("stem"))), "stem"))
+    some = files(spark, sf).select("folder", "stem", rn.alias("rn")).where("rn <= 9")
+    return some.select("folder", "stem", F.when(F.col("rn") <= 3, "Pit").when(F.col("rn") <= 6, "Scratch").otherwise("Stain").alias("grp"))
+
+
+@query("O", sql="SELECT image_id, (dense - 1) // 4 AS cycle, (dense - 1) % 4 AS slot FROM (SELECT image_id, row_number() OVER (ORDER BY image_id) AS dense FROM (SELECT DISTINCT image_id % 500 AS image_id FROM o))")
+def bag_cycles(spark, sf):
+    ids = objects(spark, sf).select((F.col("image_id") % 500).alias("image_id")).distinct()
+    n = F.row_number().over(Window.orderBy("image_id")).cast("long") - 1
+    return ids.select("image_id", F.floor(n / 4).alias("cycle"), (n % 4).alias("slot"))
+
+
+@query("O", "N", """b AS (SELECT image_id, pos, norm, w * h AS area, greatest(0, least(x0 + w, 40) - greatest(x0, 8)) * greatest(0, least(y0 + h, 40) - greatest(y0, 8)) AS inside FROM n)""",
+       sql="SELECT image_id, pos, CASE norm WHEN 'pit' THEN inside = area WHEN 'scratch' THEN 3 * inside >= area ELSE 2 * inside >= area END AS fits FROM b")
+def placement_area_rule(spark, sf):
+    over = lambda a, n: F.greatest(F.lit(0), F.least(F.col(a) + F.col(n), F.lit(40)) - F.greatest(F.col(a), F.lit(8)))
+    area, inside = F.col("w") * F.col("h"), over("x0", "w") * over("y0", "h")
+    fits = F.when(F.col("norm") == "pit", inside == area).when(F.col("norm") == "scratch", 3 * inside >= area).otherwise(2 * inside >= area)
+    return _normal(spark, sf).select("image_id", "pos", fits.alias("fits"))
+
+
+@query("P", "d AS (SELECT *, CAST(least(abs(y - 3), 3) AS DOUBLE) AS d FROM p)", sql="SELECT image_id, y, x, CAST(round_even((v * 100 + 128) * (1 - greatest(0.0, least(1.0, 0.3 + 0.5 * (1 - d / 3)))) + 255 * greatest(0.0, least(1.0, 0.3 + 0.5 * (1 - d / 3))), 0) AS INT) AS white FROM d")
+def whiten_blend(spark, sf):
+    d = F.least(F.abs(F.col("y") - 3), F.lit(3)).cast("double")
+    a = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 0.3 + 0.5 * (1 - d / 3)))
+    return raster_pixels(spark, sf).select(*rasters.KEYS, F.bround((F.col("v") * 100 + 128) * (1 - a) + 255 * a, 0).cast("int").alias("white"))
+
+
+@query("P", sql="SELECT a.image_id, a.y, a.x, round(CASE WHEN a.y BETWEEN 1 AND 6 AND a.x BETWEEN 1 AND 6 THEN b.v ELSE a.v END, 6) AS v FROM p a JOIN p b ON b.image_id = a.image_id AND b.y = (a.y + 2) % 3 AND b.x = (a.x + 2) % 3")
+def tile_fill(spark, sf):
+    p = raster_pixels(spark, sf)
+    patch = p.where("y < 3 and x < 3").select("image_id", F.col("y").alias("py"), F.col("x").alias("px"), F.col("v").alias("pv"))
+    m = p.withColumn("py", (F.col("y") + 2) % 3).withColumn("px", (F.col("x") + 2) % 3).join(patch, ["image_id", "py", "px"])
+    return m.select(*rasters.KEYS, F.round(F.when(F.col("y").between(1, 6) & F.col("x").between(1, 6), F.col("pv")).otherwise(F.col("v")), 6).alias("v"))
+
+
+@query("O", "N", sql="SELECT image_id, pos, CASE WHEN norm <> 'scratch' AND x0 <= 24 AND w <= 16 THEN 'telea' WHEN norm = 'scratch' AND x0 * 4 >= 96 AND w > 5 THEN 'skeleton_patches' WHEN norm = 'scratch' AND w <= 5 THEN 'thin_scratch_donor' ELSE 'donor' END AS route FROM (SELECT * FROM n WHERE norm IN ('scratch', 'pit', 'stain'))")
+def repair_dispatch(spark, sf):
+    n = _normal(spark, sf).where(F.col("norm").isin("scratch", "pit", "stain"))
+    side = F.when(F.col("norm") == "scratch", F.col("x0") * 4).otherwise(F.col("x0"))
+    return n.select("image_id", "pos", g.repair_route(F.col("norm"), side, F.col("w")).alias("route"))
+
+
+@query("P", "s AS (SELECT image_id, y, x, round((v - 0.1) * (v - 0.1), 9) AS mse FROM p)", sql="SELECT image_id, CAST(r AS INT) AS rank, y, x, mse FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY mse, y, x) AS r FROM s) WHERE r <= 3")
+def topk_donors(spark, sf):
+    s = raster_pixels(spark, sf).withColumn("mse", F.round((F.col("v") - 0.1) * (F.col("v") - 0.1), 9))
+    return rasters.ranked(s, ["image_id"], [F.col("mse"), F.col("y"), F.col("x")], 3).select("image_id", "rank", "y", "x", "mse")
+
+
+@query("T", "l AS (SELECT max(make_date(2024, CAST(split_part(b, '.', 1) AS INT), CAST(split_part(b, '.', 2) AS INT))) AS last FROM t WHERE row <= 3)",
+       sql="SELECT a, month(d) || '.' || day(d) AS b FROM l, LATERAL (SELECT CAST(unnest(generate_series(last + INTERVAL 1 DAY, last + INTERVAL 5 DAY, INTERVAL 1 DAY)) AS DATE) AS d) x, (VALUES ('first'), ('second'), ('third')) v(a)")
+def schedule_gapfill(spark, sf):
+    last = schedule(spark, sf).where("row <= 3").agg(F.max(t.schedule_date(F.col("b"), 2024)).alias("last"))
+    days = last.select(F.explode(F.sequence(F.date_add("last", 1), F.date_add("last", 5))).alias("d"))
+    rows = days.select("d", F.explode(F.array(F.lit("first"), F.lit("second"), F.lit("third"))).alias("a"))
+    return rows.select("a", F.concat(F.month("d"), F.lit("."), F.dayofmonth("d")).alias("b"))
+
+
+@query("T", sql="SELECT CAST(row AS INT) AS row, CASE WHEN trim(coalesce(a, '')) = '' THEN NULL WHEN trim(coalesce(d, '')) = '' AND d_fill IS DISTINCT FROM 255 THEN 'fill' WHEN trim(coalesce(d, '')) <> '' AND d_fill = 255 THEN 'clear' END AS action FROM t")
+def schedule_status(spark, sf):
+    return schedule(spark, sf).select("row", t.status_action(F.col("a"), F.col("d"), F.col("d_fill")).alias("action"))
+
+
+@query(sql="SELECT doc_id, lang || chr(9) || replace(replace(replace(text, chr(9), '\\t'), chr(13), '\\r'), chr(10), '\\n') AS line FROM documents")
+def defect_log(spark, sf):
+    return read(spark, sf, "documents").select("doc_id", F.concat_ws("\t", t.log_field(F.col("lang")), t.log_field(F.col("text"))).alias("line"))
+
+
+@query("RECURSIVE", "P", _MASK, _LABELS, sql="SELECT image_id, CAST(label AS BIGINT) AS label, string_agg(x || ':' || y, ';' ORDER BY y, x) AS coordinates FROM c GROUP BY image_id, label")
+def feature_csv_row(spark, sf):
+    pts = F.array_sort(F.collect_list(F.struct("y", "x")))
+    return _labelled(spark, sf).groupBy("image_id", "label").agg(F.array_join(F.transform(pts, lambda p: F.concat(p["x"], F.lit(":"), p["y"])), ";").alias("coordinates"))
+
+
+@query("P", sql="SELECT image_id, round(sum((x - 3.5::DOUBLE) * v) / 336, 6) + 0 AS bx, round(sum((y - 3.5::DOUBLE) * v) / 336, 6) + 0 AS by_, round(avg(v), 6) AS mean_v FROM p GROUP BY image_id")
+def plane_fit(spark, sf):
+    slope = lambda c: F.round(F.sum((F.col(c) - 3.5) * F.col("v")) / 336, 6) + F.lit(0.0)  # noqa: E731  normal equations on a full 8 x 8 grid
+    return raster_pixels(spark, sf).groupBy("image_id").agg(slope("x").alias("bx"), slope("y").alias("by_"), F.round(F.avg("v"), 6).alias("mean_v"))
+
+
+@query()
+def detection_pipeline(spark, sf):
+    from rasterlens.plans.detection import detect_vectors
+
+    return detect_vectors(read(spark, sf, "embeddings"), "vec_id", "embedding", 8)
