@@ -16,8 +16,10 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -30,58 +32,57 @@ from rasterlens.llm.common import Recent, tokenizer_path
 #: Words whose encoding a worker keeps in each of two generations.
 CACHE_WORDS = 250_000
 _NONE = 1 << 62
+_IDS, _SHOWN = itemgetter(0), itemgetter(1)
 OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
-class PairTree:
-    """Segment tree whose root is the leftmost adjacent pair of lowest rank."""
+def tree_of(keys: list[int]) -> list[int]:
+    """Segment tree of minima: ``tree[1]`` is the least key, leaves start at ``len(tree) // 2``."""
+    size = 1 << max(0, (len(keys) - 1).bit_length())
+    tree = [_NONE] * size + keys + [_NONE] * (size - len(keys))
+    for i in range(size - 1, 0, -1):
+        a, b = tree[2 * i], tree[2 * i + 1]
+        tree[i] = a if a < b else b
+    return tree
 
-    def __init__(self, keys: list[int]):
-        self.size = 1 << max(0, (len(keys) - 1).bit_length())
-        self.node = [_NONE] * self.size + keys + [_NONE] * (self.size - len(keys))
-        for i in range(self.size - 1, 0, -1):
-            self.node[i] = min(self.node[2 * i], self.node[2 * i + 1])
 
-    def put(self, at: int, key: int) -> None:
-        node, i = self.node, at + self.size
-        node[i] = key
+def put(tree: list[int], at: int, key: int) -> None:
+    """Set one leaf, and the minima above it as far as they change."""
+    i = at + len(tree) // 2
+    tree[i] = key
+    while i > 1:
+        other = tree[i ^ 1]
+        low = key if key < other else other
         i >>= 1
-        while i:
-            low = min(node[2 * i], node[2 * i + 1])
-            if node[i] == low:
-                break
-            node[i] = low
-            i >>= 1
+        if tree[i] == low:
+            return
+        tree[i] = key = low
 
 
 def merge(symbols: list[int], pairs: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
-    """Ids after all merges. ``pairs``: (left, right) -> (rank, merged id)."""
+    """Ids after all merges. ``pairs``: (left, right) -> (rank << 32, merged id)."""
     n = len(symbols)
     if n < 2:
         return symbols
     ids, after, before = list(symbols), list(range(1, n + 1)), list(range(-1, n - 1))
-
-    def key(i: int) -> int:
-        if i < 0 or after[i] >= n:
-            return _NONE
-        found = pairs.get((ids[i], ids[after[i]]))
-        return _NONE if found is None else found[0] << 32 | i
-
-    tree = PairTree([key(i) for i in range(n - 1)])
-    while (top := tree.node[1]) != _NONE:
+    get, none = pairs.get, (_NONE, 0)
+    # a leaf is (rank, position) of the pair that starts there: the root is leftmost among equals
+    tree = tree_of([get(p, none)[0] | i for i, p in enumerate(zip(symbols, symbols[1:], strict=False))])
+    while (top := tree[1]) < _NONE:
         i = top & 0xFFFFFFFF
         j = after[i]
-        ids[i] = pairs[ids[i], ids[j]][1]
-        after[i] = after[j]
-        if after[j] < n:
-            before[after[j]] = i
-        after[j] = n
+        ids[i] = new = pairs[ids[i], ids[j]][1]
+        after[i] = k = after[j]
         if j < n - 1:
-            tree.put(j, _NONE)
-        if i < n - 1:
-            tree.put(i, key(i))
-        if before[i] >= 0:
-            tree.put(before[i], key(before[i]))
+            put(tree, j, _NONE)
+        if k < n:
+            before[k] = i
+            put(tree, i, get((new, ids[k]), none)[0] | i)
+        else:
+            put(tree, i, _NONE)
+        b = before[i]
+        if b >= 0:
+            put(tree, b, get((ids[b], new), none)[0] | b)
     out, i = [], 0
     while i < n:
         out.append(ids[i])
@@ -99,6 +100,10 @@ def byte_symbols() -> dict[int, str]:
     return names
 
 
+#: Text of ASCII and Latin letters only (no other code points, no separator controls) and its
+#: word pattern: the same words as WORDS finds, by ranges instead of Unicode properties.
+PLAIN = re.compile("[^\\x00-\\x1b\\x20-\\x7fà-öø-ɏ]")
+PLAIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ɏ]+|[0-9]|[^\\s0-9a-zà-öø-ɏ]+")
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
 
@@ -130,7 +135,7 @@ class WordBpe:
         self.pairs = {}
         for rank, pair in enumerate(model["merges"]):
             left, right = pair if isinstance(pair, list) else pair.split(" ")
-            self.pairs[vocab[left], vocab[right]] = (rank, vocab[left + right])
+            self.pairs[vocab[left], vocab[right]] = (rank << 32, vocab[left + right])
         names = byte_symbols()
         self.inner = [vocab[names[b]] for b in range(256)]
         self.final = [vocab[names[b] + self.end] for b in range(256)]
@@ -148,8 +153,11 @@ class WordBpe:
         return text.lower()
 
     def words(self, text: str) -> list[str]:
-        if text.isascii() or not _later().search(text):
-            return WORDS.findall(self.normal(text))
+        low = self.normal(text)
+        if not PLAIN.search(low):
+            return PLAIN_WORDS.findall(low)
+        if not _later().search(text):
+            return WORDS.findall(low)
         from tokenizers import Tokenizer
 
         own = Tokenizer.from_file(self.path)
@@ -221,8 +229,8 @@ def digests(docs: DataFrame, path: str | None = None, ids: bool = False) -> Data
             raw, texts = [], []
             for text in b.column(1).to_pylist():
                 got = bpe.pieces(text or "")
-                raw.append(b"".join([p[0] for p in got]))
-                texts.append(hashlib.sha256(" ".join([p[1] for p in got]).encode()).hexdigest())
+                raw.append(b"".join(map(_IDS, got)))
+                texts.append(hashlib.sha256(" ".join(map(_SHOWN, got)).encode()).hexdigest())
             cols = {
                 "doc_id": b.column(0),
                 "n_tokens": pa.array([len(x) // 4 for x in raw], pa.int64()),
