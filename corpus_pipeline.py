@@ -31,7 +31,7 @@ def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document once at least; documents of small sources as often as their weight asks."""
-    return mixing.mixed(docs).select(*docs.columns)
+    return mixing.mixed(docs, marks=False)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

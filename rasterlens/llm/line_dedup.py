@@ -224,12 +224,13 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 def deduplicated(docs: DataFrame, counts: bool = False) -> DataFrame:
     """``docs`` with every removed line cut out of ``text``; ``counts`` adds n_lines, n_removed."""
     gone = written(removed_lines(docs), "line-gone")
-    rows = docs.select(*docs.columns, _row_key(docs).alias("__rk"), _member(gone.select(F.col("gone_rk").alias("rk"))).alias("__set")).withColumn("__maybe", _in_set(F.col("__set"), F.col("__rk"))).drop("__set")
+    member = _member(gone.select(F.col("gone_rk").alias("rk")))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), _row_key(docs).alias("rk"), member.alias("set")).withColumn("maybe", _in_set(F.col("set"), F.col("rk"))).drop("set")
     # documents outside the set lose nothing and are not shuffled
-    rest = rows.where(~F.col("__maybe")).withColumn("gone", F.lit(None).cast("array<int>")).select(*docs.columns, "gone")
-    rows = rows.where("__maybe").join(gone, F.col("__rk") == F.col("gone_rk"), "left").select(*docs.columns, "gone").unionByName(rest)
-    lines = F.split("text", "\n")
+    rest = rows.where(~F.col("maybe")).select("row", F.lit(None).cast("array<int>").alias("gone"))
+    rows = rows.where("maybe").join(gone, F.col("rk") == F.col("gone_rk"), "left").select("row", "gone").unionByName(rest)
+    lines = F.split(F.col("row.text"), "\n")
     stays = let(lines, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("gone")), lambda i: F.get(x, i)), "\n"))
-    out = {c: F.col(c) for c in docs.columns} | {"text": F.when(F.col("gone").isNull(), F.col("text")).otherwise(stays)}
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(stays)
     more = [F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed")] if counts else []
-    return rows.select(*(v.alias(k) for k, v in out.items()), *more)
+    return rows.select(*((text if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns), *more)

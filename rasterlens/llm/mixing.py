@@ -132,16 +132,18 @@ def plan(docs: DataFrame, seed: int = SEED, **how) -> DataFrame:
     return written(out.select("psource", "blocks", "passes", F.col("bkey").alias("edge_key"), F.col("eb").alias("edge_block"), "edge_doc"), "mix")
 
 
-def mixed(docs: DataFrame, seed: int = SEED, **how) -> DataFrame:
+def mixed(docs: DataFrame, seed: int = SEED, marks: bool = True, **how) -> DataFrame:
     """Every row as often as the mixture takes it, with ``pass, block, block_key, doc_key``.
 
-    Sorting by ``(pass, block_key, doc_key)`` runs through the mixture as block permutations.
+    Without ``marks`` the rows have the columns of ``docs`` alone. Sorting by ``(pass, block_key, doc_key)`` runs through the mixture as block permutations.
     """
-    marks = F.broadcast(plan(docs, seed, **how))
+    by_source = F.broadcast(plan(docs, seed, **how))
     m = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("source").cast("string").alias("src"))
-    m = m.join(marks, F.col("src").eqNullSafe(F.col("psource"))).withColumn("block", F.pmod(key(seed, "block", F.col("id")), "blocks"))
+    m = m.join(by_source, F.col("src").eqNullSafe(F.col("psource"))).withColumn("block", F.pmod(key(seed, "block", F.col("id")), "blocks"))
     last = key(seed, "order", F.col("passes"), F.col("psource"), F.col("block"))
     in_last = F.when(F.col("edge_key").isNull(), F.lit(False)).otherwise((last < F.col("edge_key")) | ((F.col("block") == F.col("edge_block")) & F.coalesce(key(seed, "doc", F.col("passes"), F.col("id")) <= F.col("edge_doc"), F.lit(False))))
     times = F.col("passes") + in_last.cast("long")
     m = m.withColumn("times", times).where("times > 0").withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
+    if not marks:
+        return m.select("row.*")
     return m.select("row.*", "pass", "block", key(seed, "order", F.col("pass"), F.col("psource"), F.col("block")).alias("block_key"), key(seed, "doc", F.col("pass"), F.col("id")).alias("doc_key"))

@@ -83,7 +83,8 @@ def widened(x: np.ndarray) -> np.ndarray:
 def labelled(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, max_chars: int = MAX_CHARS) -> tuple[np.ndarray, np.ndarray]:
     """Statistics and labels of the bounded sample (least hash first)."""
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("i")).agg(F.min("quality").cast("double").alias("q")).orderBy(F.xxhash64("i"), "i").limit(most)
-    rows = docs.where(F.length("text") <= max_chars).join(F.broadcast(known), docs["doc_id"].cast("long") == F.col("i")).select("i", "text", "q")
+    texts = docs.select(F.col("doc_id").cast("long").alias("d"), F.col("text").cast("string").alias("text")).where(F.length("text") <= max_chars)
+    rows = texts.join(F.broadcast(known), F.col("d") == F.col("i")).select("i", "text", "q")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -148,7 +148,8 @@ def labelled(docs: DataFrame, labels: DataFrame, per_class: int = MAX_PER_CLASS,
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("i")).agg(F.max("toxic").cast("int").alias("toxic")).where(~held_out(F.col("i")))
     picked = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("i"), "i").limit(per_class) for k in (0, 1)]
     # both limits bound what is broadcast
-    rows = docs.where(F.length("text") <= max_chars).join(F.broadcast(picked[0].union(picked[1])), docs["doc_id"].cast("long") == F.col("i")).select("i", "text", "toxic").distinct().toArrow()
+    texts = docs.select(F.col("doc_id").cast("long").alias("d"), F.col("text").cast("string").alias("text")).where(F.length("text") <= max_chars)
+    rows = texts.join(F.broadcast(picked[0].union(picked[1])), F.col("d") == F.col("i")).select("i", "text", "toxic").distinct().toArrow()
     rows = rows.sort_by([("i", "ascending"), ("text", "ascending")])
     return rows.column("text").to_pylist(), rows.column("toxic").to_pylist()
 
