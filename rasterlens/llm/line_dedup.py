@@ -99,7 +99,7 @@ def block_masks(n: int, sample: list[int] = ()) -> list[int]:
     """
     pairs = len(sample) * (len(sample) - 1) / 2
     best = None
-    for r in range(1, 6):
+    for r in range(2, 7):  # single blocks of 15 bits are too few for any large corpus
         masks = [sum(c) for c in itertools.combinations(_blocks(DISTANCE + r), r)]
         cost = len(masks) * n * _ROW
         for m in masks:
