@@ -19,8 +19,9 @@ the share of that class (0 without labels); extra columns are left out.
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -86,7 +87,7 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
-def train(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int = 7) -> Model:
+def train(texts: Iterable, toxic: list[int], epochs: int = EPOCHS, seed: int = 7) -> Model:
     """Embeddings and softmax, jointly; deterministic for given rows in a given order."""
     y = np.asarray(toxic, np.int64)
     if not len(y) or y.min() == y.max():
@@ -94,12 +95,19 @@ def train(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int =
     vocab: dict[str, int] = {}
     rows = []
     for t in texts:
-        ids = np.fromiter((vocab.setdefault(w, len(vocab)) for w in words(t)), np.int64)
+        t = t.as_py() if isinstance(t, pa.Scalar) else t
+        ids = np.fromiter((vocab.setdefault(w, len(vocab)) for w in words(t)), np.int32)
         ids, count = np.unique(ids, return_counts=True)
-        rows.append((ids, damped(count)))
-    subs = [np.array(subwords(w)) for w in vocab] or [np.zeros(1, np.int64)]
-    lens = np.array([len(s) for s in subs])
-    flat, starts = np.concatenate(subs), np.concatenate(([0], np.cumsum(lens)[:-1]))
+        rows.append((ids, damped(count).astype(np.float32)))
+    # buckets of all words in one flat array of 16 bits each: the driver holds little
+    buckets, lens = array("H"), np.zeros(max(1, len(vocab)), np.int32)
+    for i, w in enumerate(vocab):
+        got = subwords(w)
+        buckets.extend(got)
+        lens[i] = len(got)
+    del vocab, texts
+    flat = np.frombuffer(buckets, np.uint16) if len(buckets) else np.zeros(1, np.uint16)
+    starts = np.concatenate(([0], np.cumsum(lens, dtype=np.int64)[:-1]))
     rng = np.random.default_rng(seed)
     epochs = max(epochs, -(-LEAST_STEPS * BATCH // len(y)))  # a small sample is seen more often
     table = rng.normal(0, 0.1, (BUCKETS, DIM))
@@ -143,19 +151,26 @@ def train(texts: list[str], toxic: list[int], epochs: int = EPOCHS, seed: int =
     return Model(table @ line, float(bias[1] - bias[0]))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, per_class: int = MAX_PER_CLASS, max_chars: int = MAX_CHARS) -> tuple[list[str], list[int]]:
-    """The bounded training sample: at most ``per_class`` rows of each class, none held out."""
+def labelled(docs: DataFrame, labels: DataFrame, per_class: int = MAX_PER_CLASS, max_chars: int = MAX_CHARS) -> DataFrame:
+    """``i, text, toxic``: the bounded sample, at most ``per_class`` ids of each class, none held out."""
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("i")).agg(F.max("toxic").cast("int").alias("toxic")).where(~held_out(F.col("i")))
     picked = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("i"), "i").limit(per_class) for k in (0, 1)]
     # both limits bound what is broadcast
     texts = docs.select(F.col("doc_id").cast("long").alias("d"), F.col("text").cast("string").alias("text")).where(F.length("text") <= max_chars)
-    rows = texts.join(F.broadcast(picked[0].union(picked[1])), F.col("d") == F.col("i")).select("i", "text", "toxic").distinct().toArrow()
-    rows = rows.sort_by([("i", "ascending"), ("text", "ascending")])
-    return rows.column("text").to_pylist(), rows.column("toxic").to_pylist()
+    return texts.join(F.broadcast(picked[0].union(picked[1])), F.col("d") == F.col("i")).select("i", "text", "toxic").distinct()
 
 
 def fit(docs: DataFrame, labels: DataFrame, **how) -> Model:
-    return train(*labelled(docs, labels, **how))
+    """A model trained in one task on the bounded sample; the driver gets its weights only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        schema = pa.schema([("i", pa.int64()), ("text", pa.string()), ("toxic", pa.int32())])
+        rows = pa.Table.from_batches([pa.RecordBatch.from_arrays(b.columns, schema=schema) for b in batches], schema).sort_by([("i", "ascending"), ("text", "ascending")])
+        model = train(rows.column("text"), rows.column("toxic").to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([model.weight.astype("<f8").tobytes()], pa.binary()), pa.array([model.bias])], names=["weight", "bias"])
+
+    got = labelled(docs, labels, **how).coalesce(1).mapInArrow(run, "weight binary, bias double").first()
+    return Model(np.frombuffer(bytes(got["weight"]), "<f8"), got["bias"]) if got else train([], [])
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
