@@ -129,7 +129,7 @@ def test_toxicity_learns_misspellings():
     y = [i % 3 == 0 for i in range(600)]
     model = toxicity.train([text(b) for b in y], [int(b) for b in y], epochs=5)
     assert model.score("the ing mmoronz on es ti " * 3 + text(False)) > model.score(text(False)) + 0.2
-    assert 0 <= model.score("") <= 1 and toxicity.train([], []).score("any") == 0.0
+    assert 0 <= model.score("") <= 1 and toxicity.train([], []).score("any") < 1e-9
 
 
 def test_toxicity_never_sees_held_out(spark):
