@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterlens.llm.common import Recent
+from rasterlens.llm.common import Recent, give_back
 
 BUCKETS, DIM, LOW, HIGH = 1 << 16, 8, 3, 5
 MAX_PER_CLASS, MAX_CHARS = 5000, 20_000
@@ -37,7 +37,7 @@ EPOCHS, LEAST_STEPS, BATCH, RATE, DECAY, EPS = 10, 500, 128, 0.05, 0.1, 1e-6
 THRESHOLD = 0.3
 #: N-grams without weight that every mean holds besides its own: short texts lean on the bias.
 PRIOR = 500.0
-_CACHE = 250_000
+_CACHE = 100_000
 OUT = "doc_id long, held_out boolean, score double, predicted int"
 
 
@@ -167,6 +167,8 @@ def fit(docs: DataFrame, labels: DataFrame, **how) -> Model:
         schema = pa.schema([("i", pa.int64()), ("text", pa.string()), ("toxic", pa.int32())])
         rows = pa.Table.from_batches([pa.RecordBatch.from_arrays(b.columns, schema=schema) for b in batches], schema).sort_by([("i", "ascending"), ("text", "ascending")])
         model = train(rows.column("text"), rows.column("toxic").to_pylist())
+        del rows
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array([model.weight.astype("<f8").tobytes()], pa.binary()), pa.array([model.bias])], names=["weight", "bias"])
 
     got = labelled(docs, labels, **how).coalesce(1).mapInArrow(run, "weight binary, bias double").first()
@@ -195,5 +197,6 @@ def clean(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield b.filter(pa.array([shared.value.score(t) < threshold for t in b.column(at).to_pylist()], pa.bool_()))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
