@@ -31,6 +31,8 @@ from rasterlens.llm.common import Recent, tokenizer_path
 
 #: Words whose encoding a worker keeps in each of two generations.
 CACHE_WORDS = 250_000
+#: Texts whose ids a worker holds at once.
+SLICE = 1000
 _NONE = 1 << 62
 _IDS, _SHOWN = itemgetter(0), itemgetter(1)
 OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -225,7 +227,7 @@ def digests(docs: DataFrame, path: str | None = None, ids: bool = False) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
-        for b in batches:
+        for b in (whole.slice(lo, SLICE) for whole in batches for lo in range(0, whole.num_rows, SLICE)):
             raw, texts = [], []
             for text in b.column(1).to_pylist():
                 got = bpe.pieces(text or "")
