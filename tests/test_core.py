@@ -24,7 +24,7 @@ def _same(a: pd.DataFrame, b: pd.DataFrame) -> bool:
     cols = sorted(a.columns)
     if cols != sorted(b.columns) or len(a) != len(b):
         return False
-    show = lambda v: "null" if v is None or v is pd.NaT or (isinstance(v, float) and math.isnan(v)) else str(v) if isinstance(v, (str, bool, np.bool_)) else f"{float(v):.5f}"
+    show = lambda v: "null" if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and math.isnan(v)) else str(v) if isinstance(v, (str, bool, np.bool_)) else f"{float(v):.5f}"
     sort = lambda d: sorted(tuple(show(v) for v in r) for r in d[cols].itertuples(index=False))
     return sort(a) == sort(b)
 
