@@ -6,8 +6,8 @@ differ in at most three bits and their edit similarity is at least 0.8 (on chara
 on words, one symbol a word, beyond ``LONG`` characters). Of each connected group the
 first occurrence (least doc_id, then line number) is kept, everywhere in the corpus.
 
-DataFrame functions only. Words are summed with codegen: 15 sums hold 60 counters in
-four lanes each. Distinct lines are filed under every choice of r of b blocks with
+DataFrame functions only. Words are summed with codegen: 9 sums hold 60 counters in
+up to seven lanes each. Distinct lines are filed under every choice of r of b blocks with
 b - r = 3, so that lines within three bits share a key; b grows with the number of lines
 so that keys stay selective, which changes the cost and never the links. Within a bucket
 every line is first held against the bucket's most frequent line only; once those links
@@ -32,13 +32,14 @@ from pyspark.sql import functions as F
 from rasterlens.llm.common import let, written
 from rasterlens.llm.components import components
 
-BITS, LANES, LANE_BITS, DISTANCE, SIMILARITY = 60, 4, 15, 3, 0.8
-#: Words of a line that the lanes can count; longer lines are counted bit by bit.
-_MOST = (1 << (LANE_BITS - 1)) - 1
+BITS, LANES, LANE_BITS, DISTANCE, SIMILARITY = 60, 7, 9, 3, 0.8
+#: Distinct words of a line that the lanes can count; longer lines have wider lanes.
+_MOST = (1 << LANE_BITS) - 1
 #: Characters of the longer line beyond which edits are counted in words.
 LONG = 400
 _ONES = sum(1 << (LANE_BITS * i) for i in range(LANES))
-_PUNCT = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\t\r\x0b\x0c"
+#: ASCII punctuation and white space, which part words.
+_PARTS = r"[\t\x0b\x0c\r -/:-@\[-`{-~]+"
 #: Fingerprints (least hash first) on which the choice of blocks is fitted.
 SAMPLE = 4096
 #: Relative cost of a filed row and of a compared pair.
@@ -47,22 +48,28 @@ _ROW, _PAIR = 20.0, 1.0
 
 def line_words(line: Column) -> Column:
     """Words of the normal form of a line."""
-    return F.filter(F.split(F.translate(F.lower(line), _PUNCT, " " * len(_PUNCT)), " "), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(line), _PARTS), "")
 
 
 def _row_key(docs: DataFrame) -> Column:
     return F.xxhash64(docs["doc_id"].cast("long"), docs["text"])
 
 
-def _bit_by_bit(words: Column) -> Column:
-    """SimHash without lanes, for lines of any length."""
+def _wide(words: Column) -> Column:
+    """SimHash with two lanes of 30 bits a sum, for lines of any length."""
+    half = BITS // 2
+    ones = F.lit(1 | 1 << half)
+    zero = F.struct(*(F.lit(0).cast("long").alias(f"s{k}") for k in range(half)))
+    add = lambda s, h: F.struct(*((s[f"s{k}"] + F.call_function("shiftrightunsigned", h, F.lit(k)).bitwiseAND(ones)).alias(f"s{k}") for k in range(half)))
 
-    def bits(hashes: Column) -> Column:
-        one = lambda b: F.aggregate(hashes, F.lit(0).cast("long"), lambda s, h: s + F.call_function("shiftrightunsigned", h, b).bitwiseAND(F.lit(1)))
-        set_ = F.transform(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda b: F.when(2 * one(b) > F.size(hashes), F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long")))
-        return F.aggregate(set_, F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x))
+    def bits(s: Column) -> Column:
+        fp = F.lit(0).cast("long")
+        for k in range(half):
+            for at, n in ((k, s[f"s{k}"].bitwiseAND(F.lit((1 << half) - 1))), (k + half, F.call_function("shiftrightunsigned", s[f"s{k}"], F.lit(half)))):
+                fp = fp.bitwiseOR(F.when(2 * n > F.size(words), F.lit(1 << at)).otherwise(F.lit(0).cast("long")))
+        return fp
 
-    return let(F.transform(words, lambda w: F.xxhash64(w)), bits)
+    return F.aggregate(F.transform(words, lambda w: F.xxhash64(w)), zero, add, bits)
 
 
 def simhashed(docs: DataFrame) -> DataFrame:
@@ -73,7 +80,7 @@ def simhashed(docs: DataFrame) -> DataFrame:
     words = rows.select("doc_id", "rk", "rid", F.posexplode(F.transform(F.split("t", "\n"), line_words)).alias("pos", "w")).where(F.size("w") > 0)
     words = words.select("doc_id", "rk", "rid", "pos", F.xxhash64(F.array_join("w", " ")).alias("h"), F.array_distinct("w").alias("w"))
     fits = F.size("w") <= _MOST
-    keyed = words.select("doc_id", "rk", "rid", "pos", "h", F.when(~fits, _bit_by_bit(F.col("w"))).alias("long_fp"), F.when(fits, F.col("w")).otherwise(F.array(F.lit(""))).alias("w"))
+    keyed = words.select("doc_id", "rk", "rid", "pos", "h", F.when(~fits, _wide(F.col("w"))).alias("long_fp"), F.when(fits, F.col("w")).otherwise(F.array(F.lit(""))).alias("w"))
     cut = keyed.select("doc_id", "rk", "rid", "pos", "h", "long_fp", F.explode("w").alias("word"))
     x = F.xxhash64("word")
     sums = [F.sum(F.shiftrightunsigned(x, k).bitwiseAND(F.lit(_ONES))).alias(f"s{k}") for k in range(LANE_BITS)]
@@ -83,6 +90,7 @@ def simhashed(docs: DataFrame) -> DataFrame:
     for k in range(LANE_BITS):
         part = F.shiftleft(F.shiftrightunsigned(F.col(f"s{k}") + F.col("least"), LANE_BITS - 1).bitwiseAND(F.lit(_ONES)), k)
         fp = part if fp is None else fp.bitwiseOR(part)
+    fp = fp.bitwiseAND(F.lit((1 << BITS) - 1))
     return counted.withColumn("least", least).select("doc_id", "rk", "pos", "h", F.coalesce("long_fp", fp).alias("fp"))
 
 
