@@ -9,11 +9,13 @@ first occurrence (least doc_id, then line number) is kept, everywhere in the cor
 DataFrame functions only. Words are summed with codegen: 9 sums hold 60 counters in
 up to seven lanes each. Distinct lines are filed under every choice of r of b blocks with
 b - r = 3, so that lines within three bits share a key; b grows with the number of lines
-so that keys stay selective, which changes the cost and never the links. Within a bucket
-every line is first held against the bucket's most frequent line only; once those links
-are contracted, one line for each fingerprint and group is held against those of other
-groups, and all of their lines only where these two differ too much. A dense bucket of g
-near-equal lines thus yields about g rows and not g^2, and no link is lost.
+so that keys stay selective, which changes the cost and never the links. One grouped sum
+tells buckets of one line (no pair) and of two (a pair); only the lines of larger buckets
+are dealt out: each is held against its bucket's first and last line; once those links are
+contracted, one line for each fingerprint and group outside a bucket's largest group is
+held against those of other groups, and all of their lines only where these two differ
+too much. A dense bucket of g near-equal lines thus yields about g rows and not g^2,
+and no link is lost.
 
 Defined cases: a null text stays null and has no lines; lines whose normal form is empty
 are never removed; a document that loses all its lines keeps its row with an empty text;
@@ -185,32 +187,47 @@ def _within(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= DISTANCE
 
 
+def _pair(a: str, b: str) -> list[Column]:
+    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+
 def linked(docs: DataFrame, uniq: DataFrame) -> DataFrame:
     """``node, label`` of the distinct lines that have links; ``uniq``: h, fp, n, first."""
     sample = [r["fp"] for r in uniq.select("fp").distinct().orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()]
     masks = block_masks(uniq.count(), sample)
     links = lambda df: df.where("ok").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    # 1. every line against the most frequent line of each of its buckets (thirds of the
-    #    bits; no link depends on them, they keep dense groups out of the next step)
-    filed = _filed(uniq.select("h", "fp", "n"), _blocks(3))
-    lead = filed.groupBy("k").agg(F.max(F.struct("n", "h", "fp")).alias("lead"), F.count("*").alias("size")).where("size > 1").select(F.col("k").alias("lk"), F.col("lead.h").alias("lh"), F.col("lead.fp").alias("lfp"))
-    star = filed.join(lead, (F.col("k") == F.col("lk")) & (F.col("h") != F.col("lh")) & _within("fp", "lfp")).select(F.col("lh").alias("a"), F.col("h").alias("b")).distinct()
-    first = links(_verified(docs, written(star, "line-pairs"), uniq))
-    label = components(first)
-    # 2. what is still apart, one line for each fingerprint of a group
-    now = written(uniq.join(label, F.col("h") == F.col("node"), "left").select("h", "fp", F.coalesce("label", "h").alias("g")), "line-labels")
-    one = _filed(now.groupBy("fp", "g").agg(F.min("h").alias("h")), masks)
-    other = one.select(*(F.col(c).alias(f"{c}2") for c in one.columns))
-    apart = one.join(other, (F.col("k") == F.col("k2")) & (F.col("h") < F.col("h2")) & (F.col("g") != F.col("g2")) & _within("fp", "fp2")).select(F.col("h").alias("a"), F.col("h2").alias("b")).distinct()
+    # 1. a bucket of one line has no pair, a bucket of two lines is a pair: sums tell which
+    filed = _filed(uniq.select("h", "fp"), masks)
+    met = filed.groupBy("k").agg(F.count("*").alias("size"), F.min("h").alias("lo"), F.max("h").alias("hi"), F.bit_xor("fp").alias("x"))
+    met = written(met.where((F.col("size") > 2) | ((F.col("size") == 2) & (F.bit_count("x") <= DISTANCE))).select("k", "size", "lo", "hi"), "line-buckets")
+    two = met.where("size = 2").select(*_pair("lo", "hi"))
+    # 2. of larger buckets, every line against the first and the last one
+    crowd = met.where("size > 2").select(F.col("k").alias("ck"))
+    member = _member(crowd.select(F.col("ck").alias("rk")))
+    rows = filed.withColumn("set", member).where(_in_set(F.col("set"), F.col("k"))).drop("set")
+    rows = written(rows.join(crowd, F.col("k") == F.col("ck")).select("k", "h", "fp"), "line-crowds")
+    ends = [F.struct(end("h").alias("h"), by("fp", "h").alias("fp")) for end, by in ((F.min, F.min_by), (F.max, F.max_by))]
+    lead = rows.groupBy(F.col("k").alias("lk")).agg(F.array(*ends).alias("ends"))
+    star = rows.join(lead, F.col("k") == F.col("lk")).select("h", "fp", F.explode("ends").alias("end")).select("h", "fp", F.col("end.h").alias("eh"), F.col("end.fp").alias("efp"))
+    star = star.where((F.col("h") != F.col("eh")) & _within("fp", "efp")).select(*_pair("h", "eh"))
+    first = links(_verified(docs, written(two.union(star).distinct(), "line-pairs"), uniq))
+    label = written(components(first), "line-labels")
+    # 3. what is still apart in larger buckets, one line for each fingerprint of a group:
+    #    the lines outside a bucket's largest group against all
+    named = rows.join(label, F.col("h") == F.col("node"), "left").select("k", "h", "fp", F.coalesce("label", "h").alias("g"))
+    named = written(named.groupBy("k", "fp", "g").agg(F.min("h").alias("h")), "line-named")
+    most = named.groupBy("k", "g").agg(F.count("*").alias("c")).groupBy(F.col("k").alias("mk")).agg(F.max_by("g", "c").alias("most"), F.count("*").alias("groups")).where("groups > 1").drop("groups")
+    rivals = written(named.join(most, F.col("k") == F.col("mk")).drop("mk"), "line-rivals")
+    other = rivals.select(*(F.col(c).alias(f"{c}2") for c in ("k", "h", "fp", "g")))
+    once = (F.col("g2") == F.col("most")) | (F.col("h") < F.col("h2"))
+    apart = rivals.where("g <> most").join(other, (F.col("k") == F.col("k2")) & (F.col("g") != F.col("g2")) & once & _within("fp", "fp2")).select(*_pair("h", "h2")).distinct()
     second = _verified(docs, written(apart, "line-pairs"), uniq)
-    # 3. where those two differ too much, all lines of both fingerprints and groups
-    a, b = (now.select(F.col("h").alias(f"h{x}"), F.col("fp").alias(f"fp{x}"), F.col("g").alias(f"g{x}")) for x in "ab")
-    sides = second.where("not ok").join(a, F.col("a") == F.col("ha")).join(b, F.col("b") == F.col("hb"))
-    many = now.groupBy(F.col("fp").alias("mf"), F.col("g").alias("mg")).agg(F.count("*").alias("size"))
-    sides = sides.join(many, (F.col("fpa") == F.col("mf")) & (F.col("ga") == F.col("mg"))).withColumnRenamed("size", "na").drop("mf", "mg")
-    sides = sides.join(many, (F.col("fpb") == F.col("mf")) & (F.col("gb") == F.col("mg"))).withColumnRenamed("size", "nb").where("na > 1 or nb > 1").select("fpa", "ga", "fpb", "gb")
-    x, y = (now.select(F.col("h").alias(n), F.col("fp").alias(f"{n}f"), F.col("g").alias(f"{n}g")) for n in ("x", "y"))
-    wide = sides.join(x, (F.col("fpa") == F.col("xf")) & (F.col("ga") == F.col("xg"))).join(y, (F.col("fpb") == F.col("yf")) & (F.col("gb") == F.col("yg"))).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    # 4. where those two differ too much, all lines of both fingerprints and groups
+    now = uniq.join(label, F.col("h") == F.col("node"), "left").select("h", "fp", F.coalesce("label", "h").alias("g"))
+    a, b, x, y = (now.select(F.col("h").alias(f"h{n}"), F.col("fp").alias(f"fp{n}"), F.col("g").alias(f"g{n}")) for n in "abxy")
+    sides = second.where("not ok").join(a, F.col("a") == F.col("ha")).join(b, F.col("b") == F.col("hb")).select("fpa", "ga", "fpb", "gb").distinct()
+    wide = sides.join(x, (F.col("fpa") == F.col("fpx")) & (F.col("ga") == F.col("gx"))).join(y, (F.col("fpb") == F.col("fpy")) & (F.col("gb") == F.col("gy"))).select(*_pair("hx", "hy")).distinct()
+    wide = wide.join(second.select("a", "b"), ["a", "b"], "left_anti")
     third = _verified(docs, written(wide, "line-pairs"), uniq)
     return components(first.union(links(second)).union(links(third)))
 
