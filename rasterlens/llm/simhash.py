@@ -12,6 +12,9 @@ links are reduced to a spanning forest where they are found, so that a dense gro
 near copies emits about g links and never g^2. A bucket of more than ``CHUNK`` rows is
 cut by hash into chunks, and each pair of chunks is its own task group.
 
+``deduplicated`` serves a corpus and has a rule of its own: five-word shingles and an exact
+Jaccard similarity, with a wide SimHash that finds the candidates by sampled bits.
+
 Defined cases: null and empty texts have no words and the fingerprint zero, which links
 like any other; rows with a null doc_id are fingerprinted and linked but never name a
 component unless it holds no other id (then component_id is null); repeated rows give
@@ -32,8 +35,16 @@ from pyspark.sql import functions as F
 
 from rasterlens.llm.common import written
 from rasterlens.llm.components import components
+from rasterlens.llm.line_dedup import _in_set, _member
+from rasterlens.llm.near import linked
 
 BITS = 64
+#: Documents link at this Jaccard similarity of their distinct shingles (``deduplicated``).
+SIMILARITY = 0.8
+#: Bits of the fingerprint that finds candidates there, and chance that two at the similarity meet.
+WIDE, RECALL = 128, 0.99
+#: Differing bits beyond which candidates are not looked at (19 are to be expected at the similarity).
+FAR = 42
 #: Rows of a bucket that one task group compares at once; larger buckets are cut.
 CHUNK = 512
 #: Fingerprints (least hash first) on which partitions and thresholds are fitted.
@@ -272,11 +283,103 @@ def near_duplicates(docs: DataFrame, distance: int = 3) -> DataFrame:
     return classes(fingerprints(docs), distance).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def deduplicated(docs: DataFrame, distance: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the least of its class, all columns as they were.
+def sketch(text: bytes | None, width: int) -> tuple[int, set[bytes]]:
+    """Hash of the words of a text and the 128-bit digests of its distinct shingles."""
+    words = (text or b"").lower().split()
+    joined = b" ".join(words)
+    if len(words) <= width:
+        spans = [(0, len(joined))] if words else []
+    else:
+        ends = list(itertools.accumulate(len(w) + 1 for w in words))
+        spans = zip([0, *ends], (e - 1 for e in ends[width - 1 :]), strict=False)
+    digest = xxhash.xxh3_128_digest
+    return xxhash.xxh64_intdigest(joined, 42), {digest(joined[a:b]) for a, b in spans}
+
+
+def _wide(shingles: set[bytes]) -> np.ndarray:
+    """SimHash of ``WIDE`` bits of distinct shingles, as two words."""
+    rows = np.frombuffer(b"".join(shingles), np.uint8).reshape(-1, WIDE // 8)
+    count = np.zeros(WIDE, np.int64)
+    for lo in range(0, len(rows), _SLAB):
+        count += np.unpackbits(rows[lo : lo + _SLAB], axis=1).sum(0, dtype=np.int64)
+    return np.packbits(2 * count > len(rows)).view(np.int64)
+
+
+def band_masks(n: int) -> list[tuple[int, int]]:
+    """Fixed choices of bits, one a key, for ``n`` fingerprints.
+
+    A key has enough bits that strangers seldom share it, and there are as many keys as
+    let two texts at ``SIMILARITY`` share one with probability ``RECALL``.
+    """
+    bits = max(14, math.ceil(math.log2(max(n, 2))) + 2)
+    differ = math.acos(2 * SIMILARITY / (1 + SIMILARITY)) / math.pi  # chance that a bit does
+    count = math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - differ) ** bits))
+    rng = np.random.default_rng(42)
+    out = []
+    for _ in range(count):
+        on = np.zeros(WIDE, np.uint8)
+        on[rng.choice(WIDE, bits, replace=False)] = 1
+        out.append(tuple(np.packbits(on).view(np.int64).tolist()))
+    return out
+
+
+def _sets(docs: DataFrame, ids: DataFrame, groups: DataFrame, width: int) -> DataFrame:
+    """``h, x``: the distinct shingles of the texts ``ids`` (id)."""
+    need = written(groups.join(ids, F.col("h") == F.col("id")).select("rk").distinct(), "near-texts")
+    text = F.col("text").cast("string")
+    maybe = docs.select(F.xxhash64(text).alias("t_rk"), text.cast("binary").alias("t"), _member(need).alias("set")).where(_in_set(F.col("set"), F.col("t_rk"))).drop("set")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                got = [sketch(t, width) for t in b.column(1)[lo : lo + 256].to_pylist()]
+                x = [np.frombuffer(b"".join(s), np.int64)[:: WIDE // 64] for _, s in got]
+                yield pa.RecordBatch.from_arrays([pa.array(np.array([h for h, _ in got], np.uint64).view(np.int64)), pa.array(x, pa.list_(pa.int64()))], names=["h", "x"])
+
+    one = maybe.join(need, F.col("t_rk") == F.col("rk")).select("rk", "t").dropDuplicates(["rk"])
+    return one.mapInArrow(run, "h long, x array<long>")
+
+
+def near_classes(docs: DataFrame, width: int = 5) -> DataFrame:
+    """``doc_id, component_id`` of every row: texts link at a Jaccard similarity of ``SIMILARITY``
+    or more of their distinct shingles; SimHash finds the candidates, the shingles decide."""
+    text = F.col("text").cast("string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                got = [sketch(t, width) for t in part.column(2).to_pylist()]
+                fp = np.array([_wide(s) for _, s in got], np.int64).reshape(-1, 2)
+                h = np.array([h for h, _ in got], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(h), pa.array(fp[:, 0].copy()), pa.array(fp[:, 1].copy())], names=["doc_id", "rk", "h", "f0", "f1"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("rk"), text.cast("binary").alias("t"))
+    rows = written(rows.mapInArrow(run, "doc_id long, rk long, h long, f0 long, f1 long"), "sketches")
+    groups = written(rows.groupBy("h").agg(F.min("doc_id").alias("rep"), F.min("rk").alias("rk"), F.first("f0").alias("f0"), F.first("f1").alias("f1")), "groups")
+    keys = F.array(*(F.xxhash64(F.lit(i), F.col("f0").bitwiseAND(F.lit(x)), F.col("f1").bitwiseAND(F.lit(y))) for i, (x, y) in enumerate(band_masks(groups.count()))))
+    filed = groups.select(F.struct("h", "f0", "f1").alias("s"), F.explode(keys).alias("k"))
+    near = lambda a, b: F.bit_count(F.col(f"{a}.f0").bitwiseXOR(F.col(f"{b}.f0"))) + F.bit_count(F.col(f"{a}.f1").bitwiseXOR(F.col(f"{b}.f1"))) <= FAR
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        sets = written(_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), groups, width), "shingles")
+        left, right = (sets.select(F.col("h").alias(f"h{c}"), F.col("x").alias(f"x{c}")) for c in "ab")
+        both = F.size(F.array_intersect("xa", "xb"))
+        met = pairs.join(left, F.col("a") == F.col("ha")).join(right, F.col("b") == F.col("hb"))
+        return met.select("a", "b", (both >= SIMILARITY * (F.size("xa") + F.size("xb") - both) - 1e-9).alias("ok"))
+
+    parts = linked(filed, near, verify)
+    named = written(groups.join(parts, F.col("h") == F.col("node"), "left").select("h", "rep", F.coalesce("label", "h").alias("label")), "named")
+    least = named.groupBy("label").agg(F.min("rep").alias("component_id")).withColumnRenamed("label", "lab")
+    by_h = written(named.join(least, F.col("label") == F.col("lab")).select(F.col("h").alias("g"), "component_id"), "classes")
+    return rows.join(by_h, F.col("h") == F.col("g")).select("doc_id", "component_id")
+
+
+def deduplicated(docs: DataFrame, width: int = 5) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the least of its class (``near_classes``), all columns as they were.
 
     Rows that share a doc_id count as one document and stay or go together, but for a
     null doc_id, whose rows stay.
     """
-    gone = classes(fingerprints(docs), distance).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
+    gone = near_classes(docs, width).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
     return docs.join(gone, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")

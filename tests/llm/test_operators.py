@@ -362,3 +362,34 @@ def test_mixture_against_brute_force(spark):
             for i, _ in by_block[b]:
                 want[i] += 1
     assert collections.Counter(r.doc_id for r in got) == +want
+
+
+def _jaccard(a: list[str], b: list[str]) -> float:
+    x, y = ({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (a, b))
+    return len(x & y) / len(x | y)
+
+
+def test_near_copies_leave_the_corpus(spark):
+    rng = np.random.default_rng(12)
+    vocab = [f"w{i}" for i in range(5000)]
+    docs, near, far = [], 0, 0
+    for i in range(150):
+        n = [40, 100, 300, 1000][i % 4]
+        w = rng.choice(vocab, n).tolist()
+        v = list(w)
+        for _ in range(max(1, int(n * [0.005, 0.015, 0.06][i % 3]))):
+            v[rng.integers(n)] = "changed"
+        docs += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(v))]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    kept = {r.doc_id for r in simhash.deduplicated(df).collect()}
+    missed = []
+    for i in range(150):
+        j = _jaccard(docs[2 * i][1].split(), docs[2 * i + 1][1].split())
+        assert 2 * i in kept
+        near, far = near + (j >= 0.8), far + (j < 0.8)
+        if j < 0.8:
+            assert 2 * i + 1 in kept
+        elif 2 * i + 1 in kept:
+            missed.append(j)
+    print("near", near, "missed", missed)
+    assert near > 60 and far > 30 and len(missed) <= 1
