@@ -393,3 +393,11 @@ def test_near_copies_leave_the_corpus(spark):
             missed.append(j)
     print("near", near, "missed", missed)
     assert near > 60 and far > 30 and len(missed) <= 1
+
+
+def test_every_trusted_document_counts(spark):
+    docs = spark.range(25_100).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 25_000, "alpha").otherwise("beta").alias("text"))
+    got = {r.bucket: r.llr for r in quality_rules.ratios(docs, docs.where("doc_id < 25000")).collect()}
+    n = quality_rules.BUCKETS
+    at = spark.range(1).select(F.pmod(F.xxhash64(F.lit("alpha")), F.lit(n))).first()[0]
+    assert got[at] == round(np.log((25_001 / (25_000 + n)) / (25_001 / (25_100 + n))) * 1e6)
