@@ -175,7 +175,7 @@ def copy_objects(spark, sf):
     own = F.array((F.col("image_id") % 25).cast("int"))
     more = F.when(F.col("norm") == "the_avoided_area", F.array(((F.col("image_id") + 1) % 25).cast("int"))).otherwise(F.array().cast("array<int>"))
     asked = n.select("image_id", "norm", F.explode(F.array_distinct(F.concat(own, more))).alias("folder"))
-    met = asked.join(F.broadcast(read(spark, sf, "nation").limit(1000).select(F.col("n_nationkey").alias("folder"))), "folder")
+    met = asked.join(F.broadcast(read(spark, sf, "nation").select(F.col("n_nationkey").alias("folder"))), "folder")
     return met.groupBy("image_id", "folder").agg(F.count("*").alias("n_kept"), F.count_if(F.col("norm") == "the_avoided_area").alias("n_copied"))
 
 

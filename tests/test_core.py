@@ -147,3 +147,11 @@ def test_entry(spark):
     import __spark_entry__
 
     assert __spark_entry__.entry(spark).count() > 0
+
+
+def test_copy_objects_asks_every_folder(spark, monkeypatch):
+    whole = catalogue.QUERIES["copy_objects"](spark, SF).count()
+    read = catalogue.read
+    many = spark.range(-2000, 25, 1, 1).select(F.col("id").cast("int").alias("n_nationkey"))
+    monkeypatch.setattr(catalogue, "read", lambda s, sf, name: many if name == "nation" else read(s, sf, name))
+    assert catalogue.QUERIES["copy_objects"](spark, SF).count() == whole > 0
