@@ -26,7 +26,10 @@ def grid_pairs(ends: DataFrame, gap: float) -> DataFrame:
 
 
 def scores(pairs: DataFrame, gap: float, direction: float = 60.0, connection: float = 75.0, lateral: float = 15.0) -> DataFrame:
-    """Links that no rule rejects, cheapest rules first, with their score (less is better)."""
+    """Links that no rule of geometry rejects, cheapest rules first, with their score (less is better).
+
+    Mask containment and gap response (SURVEY GRA-7) are not looked at.
+    """
     ux, uy = (F.col("b.x") - F.col("a.x")) / F.col("gap"), (F.col("b.y") - F.col("a.y")) / F.col("gap")
     p = pairs.where("gap > 1e-9").withColumn("ux", ux).withColumn("uy", uy)
     p = p.withColumn("turn", angle_between(F.col("a.tx"), F.col("a.ty"), F.col("b.tx"), F.col("b.ty"), undirected=True)).where(F.col("turn") <= direction)
