@@ -25,13 +25,15 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     It is the one that the cluster names in ``spark.checkpoint.dir``; only where that
-    is unset (tests, one machine) a temporary folder takes its place.
+    is unset and the session is local (tests) a temporary folder takes its place.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     if not named:
         named = sc.getCheckpointDir()
         if not named:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="rasterlens-"))
             named = sc.getCheckpointDir()
     return f"{named.rstrip('/')}/rasterlens-{sc.applicationId}"
@@ -62,6 +64,27 @@ def dropped(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def set_bits(n: int) -> int:
+    """Power of two of the bits that ``member`` takes for ``n`` ids: 16 bits an id, 8 MB at most."""
+    return min(26, max(14, (16 * max(n, 1) - 1).bit_length()))
+
+
+def member(ids: DataFrame, bits: int) -> Column:
+    """A set of ids (its one column) as an array of ``2^bits`` bits, for ``maybe``."""
+    at = F.xxhash64(ids.columns[0]).bitwiseAND(F.lit((1 << bits) - 1))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
+    found = ids.select(F.shiftright(at, 6).alias("w"), one.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    dense = ids.sparkSession.range(0, 1 << (bits - 6), 1, 1).join(found, F.col("id") == F.col("w"), "left").select(F.struct("id", F.coalesce("b", F.lit(0).cast("long")).alias("b")).alias("s"))
+    return dense.groupBy().agg(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["b"]).alias("a")).scalar()
+
+
+def maybe(array: Column, key: Column, bits: int) -> Column:
+    """Whether ``key`` may be in the set ``array``; false only for keys that are not."""
+    at = F.xxhash64(key).bitwiseAND(F.lit((1 << bits) - 1))
+    word = F.get(array, F.shiftright(at, 6).cast("int"))
+    return F.call_function("shiftright", word, at.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` evaluated once a row, also inside lambdas."""
     return F.transform(F.array(value), body)[0]

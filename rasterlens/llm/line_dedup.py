@@ -1,21 +1,23 @@
 """Fuzzy line dedup: SimHash of normalised lines, pigeonhole blocks, edit similarity, groups.
 
 Lines are normalised (lower case, ASCII punctuation and white space to single spaces).
-Two lines link if their normal forms are equal, or if their 60-bit SimHashes of distinct words
-differ in at most three bits and their edit similarity is at least 0.8 (on characters;
-on words, one symbol a word, beyond ``LONG`` characters). Of each connected group the
-first occurrence (least doc_id, then line number) is kept, everywhere in the corpus.
-
-DataFrame functions only. Words are summed with codegen: 9 sums hold 60 counters in
-up to seven lanes each. Distinct lines are filed under every choice of r of b blocks with
-b - r = 3, so that lines within three bits share a key; b grows with the number of lines
-so that keys stay selective, which changes the cost and never the links. One grouped sum
-tells buckets of one line (no pair) and of two (a pair); only the lines of larger buckets
-are dealt out: each is held against its bucket's first and last line; once those links are
-contracted, one line for each fingerprint and group outside a bucket's largest group is
-held against those of other groups, and all of their lines only where these two differ
-too much. A dense bucket of g near-equal lines thus yields about g rows and not g^2,
-and no link is lost.
+Two lines link if their normal forms are equal, or if they meet in a block of their SimHash,
+differ in at most ``FAR`` of 128 of its bits, and have an edit similarity of at least
+``SIMILARITY``, counted in characters at every length. Of each connected group the first
+occurrence (least doc_id, then line number) is kept, everywhere in the corpus.
+
+The SimHash is taken over the distinct words of a line and is as wide as the blocks need:
+``blocks`` of ``width`` bits each, a row standing under every block. The width grows with the
+number of lines, so that strangers seldom meet, and the number of blocks with the width, so
+that lines that differ in a tenth of their bits meet with probability ``RECALL``. The edit
+similarity is the only rule that a near line has to pass; blocks make the search probable and
+not certain (README tells the measured share).
+
+Fingerprints travel to their blocks as packed arrays, a few rows in place of millions, and
+only lines that found a partner are joined with their texts. A crowded block is cut into
+chunks, and each pair of chunks is a task group of its own; within a group the links are
+sought from one line to all others at once, and lines that are connected already are not
+compared again, so g near-equal lines take about g comparisons and give about g links.
 
 Defined cases: a null text stays null and has no lines; lines whose normal form is empty
 are never removed; a document that loses all its lines keeps its row with an empty text;
@@ -25,131 +27,389 @@ doc_id is the least; extra columns stay as they are; an empty table gives an emp
 
 from __future__ import annotations
 
-import itertools
-from collections import Counter
+import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterlens.llm.common import let, written
+from rasterlens.llm.common import let, maybe, member, set_bits, written
 from rasterlens.llm.components import components
 
-BITS, LANES, LANE_BITS, DISTANCE, SIMILARITY = 60, 7, 9, 3, 0.8
-#: Distinct words of a line that the lanes can count; longer lines have wider lanes.
-_MOST = (1 << LANE_BITS) - 1
-#: Characters of the longer line beyond which edits are counted in words.
-LONG = 400
-_ONES = sum(1 << (LANE_BITS * i) for i in range(LANES))
+SIMILARITY = 0.8
+#: Differing bits, of the first 128, beyond which two lines of a block are not compared.
+FAR = 30
+#: Share of its bits in which a near line differs that the number of blocks is laid out for,
+#: and the probability that such a line is met.
+DIFFER, RECALL = 0.1, 0.985
+#: Bytes of text that are looked at in one go; a longer line is one go of its own.
+SLAB = 1 << 21
+#: Fingerprints of a task group of the search, rows of a task group of the comparison.
+GROUP, CHUNK = 1 << 17, 1 << 16
+#: Blocks of more fingerprints are searched from one fingerprint to all at once.
+_CROWD = 1024
 #: ASCII punctuation and white space, which part words.
-_PARTS = r"[\t\x0b\x0c\r -/:-@\[-`{-~]+"
-#: Fingerprints (least hash first) on which the choice of blocks is fitted.
-SAMPLE = 4096
-#: Relative cost of a filed row and of a compared pair.
-_ROW, _PAIR = 20.0, 1.0
+_PARTS = b"\t\x0b\x0c\r" + bytes([*range(0x20, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)])
+_TABLE = bytes(32 if c in _PARTS else c for c in range(256))
+_BASE = 0x9E3779B97F4A7C15
+_ONES = np.uint64(0x0101010101010101)
+#: Lengths are filed by ratio: near lines are at most ``_REACH`` classes apart.
+_RATIO = 1.06
+_REACH = math.ceil(math.log(1 / SIMILARITY) / math.log(_RATIO))
+_RECORD = np.dtype([("key", "<u2"), ("f0", "<u8"), ("f1", "<u8"), ("len", "u1")])
 
 
-def line_words(line: Column) -> Column:
-    """Words of the normal form of a line."""
-    return F.array_remove(F.split(F.lower(line), _PARTS), "")
+def width_of(n: int) -> int:
+    """Bits of a block for ``n`` lines: 16, 20, 24, ... so that a block has some 2^7 values a line or less."""
+    return max(16, 4 * math.ceil((math.log2(max(n, 2)) - 7) / 4))
 
 
-def _row_key(docs: DataFrame) -> Column:
-    return F.xxhash64(docs["doc_id"].cast("long"), docs["text"])
+def blocks_of(width: int) -> int:
+    """Number of blocks of ``width`` bits."""
+    return max(math.ceil(128 / width), math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - DIFFER) ** width)))
 
 
-def _wide(words: Column) -> Column:
-    """SimHash with two lanes of 30 bits a sum, for lines of any length."""
-    half = BITS // 2
-    ones = F.lit(1 | 1 << half)
-    zero = F.struct(*(F.lit(0).cast("long").alias(f"s{k}") for k in range(half)))
-    add = lambda s, h: F.struct(*((s[f"s{k}"] + F.call_function("shiftrightunsigned", h, F.lit(k)).bitwiseAND(ones)).alias(f"s{k}") for k in range(half)))
-
-    def bits(s: Column) -> Column:
-        fp = F.lit(0).cast("long")
-        for k in range(half):
-            for at, n in ((k, s[f"s{k}"].bitwiseAND(F.lit((1 << half) - 1))), (k + half, F.call_function("shiftrightunsigned", s[f"s{k}"], F.lit(half)))):
-                fp = fp.bitwiseOR(F.when(2 * n > F.size(words), F.lit(1 << at)).otherwise(F.lit(0).cast("long")))
-        return fp
-
-    return F.aggregate(F.transform(words, lambda w: F.xxhash64(w)), zero, add, bits)
-
-
-def simhashed(docs: DataFrame) -> DataFrame:
-    """``doc_id, rk, pos, h, fp`` of every line with words. ``h`` hashes the normal form."""
-    # whatever stands beside a generator is computed for each row that it yields: so it
-    # is computed in a projection before, and the words of a line inside the generator
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_key(docs).alias("rk"), F.monotonically_increasing_id().alias("rid"), F.col("text").alias("t"))
-    words = rows.select("doc_id", "rk", "rid", F.posexplode(F.transform(F.split("t", "\n"), line_words)).alias("pos", "w")).where(F.size("w") > 0)
-    words = words.select("doc_id", "rk", "rid", "pos", F.xxhash64(F.array_join("w", " ")).alias("h"), F.array_distinct("w").alias("w"))
-    fits = F.size("w") <= _MOST
-    keyed = words.select("doc_id", "rk", "rid", "pos", "h", F.when(~fits, _wide(F.col("w"))).alias("long_fp"), F.when(fits, F.col("w")).otherwise(F.array(F.lit(""))).alias("w"))
-    cut = keyed.select("doc_id", "rk", "rid", "pos", "h", "long_fp", F.explode("w").alias("word"))
-    x = F.xxhash64("word")
-    sums = [F.sum(F.shiftrightunsigned(x, k).bitwiseAND(F.lit(_ONES))).alias(f"s{k}") for k in range(LANE_BITS)]
-    counted = cut.groupBy("rid", "pos", "doc_id", "rk", "h", "long_fp").agg(F.count("*").alias("n"), *sums)
-    least = (F.lit(1 << (LANE_BITS - 1)) - F.floor(F.col("n") / 2) - 1) * F.lit(_ONES)
-    fp = None
-    for k in range(LANE_BITS):
-        part = F.shiftleft(F.shiftrightunsigned(F.col(f"s{k}") + F.col("least"), LANE_BITS - 1).bitwiseAND(F.lit(_ONES)), k)
-        fp = part if fp is None else fp.bitwiseOR(part)
-    fp = fp.bitwiseAND(F.lit((1 << BITS) - 1))
-    return counted.withColumn("least", least).select("doc_id", "rk", "pos", "h", F.coalesce("long_fp", fp).alias("fp"))
-
-
-def _blocks(b: int) -> list[int]:
-    edge = [BITS * i // b for i in range(b + 1)]
-    return [sum(1 << i for i in range(edge[j], edge[j + 1])) for j in range(b)]
-
-
-def block_masks(n: int, sample: list[int] = ()) -> list[int]:
-    """Bit masks of which any two fingerprints within ``DISTANCE`` bits agree on one.
-
-    The choice of least cost for ``n`` fingerprints; how often two agree by chance on a
-    mask is seen on a bounded sample (bits of texts in one language are not independent).
-    """
-    pairs = len(sample) * (len(sample) - 1) / 2
-    best = None
-    for r in range(2, 7):  # single blocks of 15 bits are too few for any large corpus
-        masks = [sum(c) for c in itertools.combinations(_blocks(DISTANCE + r), r)]
-        cost = len(masks) * n * _ROW
-        for m in masks:
-            seen = sum(c * (c - 1) / 2 for c in Counter(f & m for f in sample).values()) / pairs if pairs else 0.0
-            cost += max(seen, 2.0 ** -m.bit_count()) * n * n / 2 * _PAIR
-        if best is None or cost < best[0]:
-            best = (cost, masks)
-    return best[1]
-
-
-def _as_symbols(norm: Column) -> Column:
-    """One character for each word, so that edits count words."""
-    code = lambda w: F.decode(F.unhex(F.hex(F.lit(0x4E00) + F.pmod(F.xxhash64(w), F.lit(20_000)))), "UTF-16BE")
-    return F.array_join(F.transform(F.split(norm, " "), code), "")
-
-
-def similar(a: str, b: str) -> Column:
-    """Whether two normal forms have an edit similarity of ``SIMILARITY`` or more."""
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+class _Powers:
+    """Powers of an odd base and of its inverse modulo 2^64, as many as were ever needed."""
+
+    up = down = np.ones(1, np.uint64)
+
+    @classmethod
+    def get(cls, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(cls.up) < n:
+            size = max(n, SLAB + 1)
+            one = np.ones(1, np.uint64)
+            cls.up, cls.down = (np.concatenate((one, np.multiply.accumulate(np.full(size - 1, b, np.uint64)))) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
+        return cls.up, cls.down
+
+
+def _spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of ``values[start:end]`` for each span, by differences of one running sum."""
+    up, down = _Powers.get(len(values) + 1)
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * up[: len(values)], dtype=np.uint64)))
+    return _mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
-    def close(x: Column, y: Column) -> Column:
-        room = F.floor(F.greatest(F.length(x), F.length(y)) * F.lit(round(1 - SIMILARITY, 6)) + F.lit(1e-9)).cast("int")
-        return F.call_function("levenshtein", x, y, room) >= 0
 
-    long = F.greatest(F.length(a), F.length(b)) > LONG
-    return F.when(long, close(_as_symbols(F.col(a)), _as_symbols(F.col(b)))).otherwise(close(F.col(a), F.col(b)))
+def line_prints(text: bytes, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers, hashes, lengths and SimHashes (rows of bytes) of the lines of ``text`` that have words.
 
+    ``text`` is lower-cased UTF-8; the hash and the length (code points) are those of the normal form.
+    """
+    raw = np.frombuffer(text.translate(_TABLE), np.uint8)
+    part = (raw == 32) | (raw == 10)
+    edge = np.flatnonzero(np.diff(np.concatenate(([True], part, [True])).view(np.int8)))
+    starts, ends = edge[0::2], edge[1::2]
+    size = math.ceil(bits / 64)
+    if not len(starts):
+        return (*(np.empty(0, t) for t in (np.int64, np.uint64, np.int64)), np.empty((0, size * 8), np.uint8))
+    line = np.searchsorted(np.flatnonzero(raw == 10), starts)
+    word = _spans(raw.astype(np.uint64) + np.uint64(1), starts, ends)
+    first = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
+    last = np.concatenate((first[1:], [len(line)]))
+    points = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
+    length = np.add.reduceat(points[ends] - points[starts], first) + (last - first) - 1
+    # distinct words of each line: sorted by line and 42 bits of their hash
+    at = np.repeat(np.arange(len(first), dtype=np.uint64), last - first)
+    keys = np.sort(at << np.uint64(42) | word >> np.uint64(22))
+    keys = keys[np.concatenate(([True], keys[1:] != keys[:-1]))]
+    owner = (keys >> np.uint64(42)).astype(np.int64)
+    begin = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+    count = np.diff(np.concatenate((begin, [len(keys)])))
+    # eight counters of a byte each in one sum: no more than 255 words a sum
+    sums = np.flatnonzero((np.arange(len(keys)) - begin[owner]) % 255 == 0)
+    joins = np.searchsorted(sums, begin)
+    seed = keys & np.uint64((1 << 42) - 1)
+    out = np.empty((len(first), size, 8, 8), bool)
+    for s in range(size):
+        x = _mix(seed + np.uint64((s + 1) * _BASE & (1 << 64) - 1))
+        for k in range(8):
+            lanes = np.add.reduceat(x >> np.uint64(k) & _ONES, sums).view(np.uint8).reshape(-1, 8)
+            if len(sums) > len(begin):
+                lanes = np.add.reduceat(lanes, joins, axis=0, dtype=np.int64)
+            out[:, s, k] = 2 * lanes.astype(np.int64) > count[:, None]
+    return line[first], _spans(word, first, last), length, np.packbits(out.reshape(len(first), -1), axis=1)
+
+
+def _pieces(text: bytes) -> Iterator[tuple[bytes, int]]:
+    """``text`` in pieces of whole lines of about ``SLAB`` bytes, with the number of their first line."""
+    at = number = 0
+    while len(text) - at > SLAB:
+        cut = text.rfind(b"\n", at, at + SLAB)
+        cut = cut if cut >= 0 else text.find(b"\n", at + SLAB)
+        if cut < 0:
+            break
+        yield text[at:cut], number
+        number += text.count(b"\n", at, cut) + 1
+        at = cut + 1
+    yield (text[at:] if at else text), number
 
-def _member(ids: DataFrame, bits: int = 20) -> Column:
-    """A set of ids (column ``rk``) as an array of ``2^bits`` bits, whatever their number."""
-    at = F.xxhash64("rk").bitwiseAND(F.lit((1 << bits) - 1))
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
-    found = ids.select(F.shiftright(at, 6).alias("w"), one.alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
-    dense = ids.sparkSession.range(0, 1 << (bits - 6), 1, 1).join(found, F.col("id") == F.col("w"), "left").select(F.struct("id", F.coalesce("b", F.lit(0).cast("long")).alias("b")).alias("s"))
-    return dense.groupBy().agg(F.transform(F.sort_array(F.collect_list("s")), lambda s: s["b"]).alias("a")).scalar()
 
+def _row_key(docs: DataFrame) -> Column:
+    return F.xxhash64(docs["doc_id"].cast("long"), docs["text"])
 
-def _in_set(bits: Column, rk: Column) -> Column:
-    at = F.xxhash64(rk).bitwiseAND(F.lit((1 << 20) - 1))
-    word = F.get(bits, F.shiftright(at, 6).cast("int"))
-    return F.call_function("shiftright", word, at.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+def simhashed(docs: DataFrame, width: int) -> DataFrame:
+    """``doc_id, rk, pos, h, len, f0, f1, f`` of every line with words: the first 128 bits and the rest."""
+    bits = width * blocks_of(width)
+
+    def slab(held: list[tuple]) -> pa.RecordBatch:
+        lines = np.array([p.count(b"\n") + 1 for _, _, p, _ in held])
+        base = np.concatenate(([0], np.cumsum(lines)))
+        number, h, length, fp = line_prints(b"\n".join(p for _, _, p, _ in held), bits)
+        owner = np.searchsorted(base, number, "right") - 1
+        pos = number - base[owner] + np.array([n for *_, n in held])[owner]
+        ids, rks = (pa.array([x[c] for x in held], pa.int64()).take(pa.array(owner)) for c in (0, 1))
+        fp = np.ascontiguousarray(fp)
+        front = np.ascontiguousarray(fp[:, :16]).view(np.int64).reshape(-1, 2)
+        tail = np.ascontiguousarray(fp[:, 16:])
+        rest = pa.Array.from_buffers(pa.binary(tail.shape[1]), len(tail), [None, pa.py_buffer(tail)]).cast(pa.binary())
+        cols = [ids, rks, pa.array(pos.astype(np.int32)), pa.array(h.view(np.int64)), pa.array(length.astype(np.int32)), pa.array(front[:, 0].copy()), pa.array(front[:, 1].copy()), rest]
+        return pa.RecordBatch.from_arrays(cols, names=["doc_id", "rk", "pos", "h", "len", "f0", "f1", "f"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            for i in range(b.num_rows):
+                text = b.column(2)[i].as_py()
+                if not text:
+                    continue
+                for piece, number in _pieces(text.lower().encode()):
+                    held.append((b.column(0)[i].as_py(), b.column(1)[i].as_py(), piece, number))
+                    size += len(piece)
+                    if size >= SLAB:
+                        yield slab(held)
+                        held, size = [], 0
+        if held:
+            yield slab(held)
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_key(docs).alias("rk"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, rk long, pos int, h long, len int, f0 long, f1 long, f binary")
+
+
+def _block_keys(bits: np.ndarray, block: int, width: int) -> np.ndarray:
+    part = np.zeros((len(bits), 64), np.uint8)
+    part[:, 64 - width :] = bits[:, block * width : (block + 1) * width]
+    return np.packbits(part, axis=1).view(">u8").ravel().astype(np.uint64)
+
+
+def _subgroups(n: int) -> int:
+    """Leading bits of a block's key that part a block into task groups of ``GROUP`` fingerprints."""
+    return max(0, math.ceil(math.log2(max(n, 1) / GROUP)))
+
+
+def _prints(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """f0, f1, length class and all bits of the rows ``f0, f1, f, len`` of a batch."""
+    f0, f1 = (np.asarray(batch.column(c)).view(np.uint64) for c in (0, 1))
+    rest = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint8).reshape(len(f0), -1)
+    cls = np.minimum(255, np.log(np.asarray(batch.column(3)).astype(np.float64)) / math.log(_RATIO)).astype(np.uint8)
+    both = np.stack((f0, f1), axis=1).view(np.uint8)
+    return f0, f1, cls, np.unpackbits(np.concatenate((both, rest), axis=1), axis=1)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    held, n = [], 0
+    for b in batches:
+        held.append(b)
+        n += b.num_rows
+        if n >= most:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def packed(prints: DataFrame, width: int, low: int) -> DataFrame:
+    """``g, n, c, d``: records of the fingerprints of a task group; its chunks ``c`` of each other ``d``.
+
+    A task group is a block and the leading bits of its key. Those that turn out larger than
+    planned are cut into chunks by fingerprint, and every two chunks meet.
+    """
+    count = blocks_of(width)
+
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _gathered(batches, 1 << 16):
+            bits = _prints(b)[3]
+            for j in range(count):
+                g, n = np.unique(_block_keys(bits, j, width) >> np.uint64(low), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array((g * np.uint64(count) + np.uint64(j)).view(np.int64)), pa.array(n)], names=["g", "n"])
+
+    hot = prints.mapInArrow(sizes, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).where(F.col("n") > 4 * GROUP)
+    hot = written(hot.select(F.col("g").alias("hot"), F.ceil(F.col("n") / (2 * GROUP)).cast("int").alias("chunks")), "line-crowds")
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _gathered(batches, 1 << 17):
+            f0, f1, cls, bits = _prints(b)
+            for j in range(count):
+                key = _block_keys(bits, j, width)
+                order = np.argsort(key, kind="stable")
+                rows = np.empty(len(key), _RECORD)
+                for name, x in (("key", key & np.uint64((1 << low) - 1)), ("f0", f0), ("f1", f1), ("len", cls)):
+                    rows[name] = x[order]
+                g, at = np.unique(key[order] >> np.uint64(low), return_index=True)
+                data = [rows[x:y].tobytes() for x, y in zip(at, [*at[1:], len(rows)], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array((g * np.uint64(count) + np.uint64(j)).view(np.int64)), pa.array(data, pa.binary())], names=["g", "rows"])
+
+    blobs = prints.mapInArrow(pack, "g long, rows binary").join(hot, F.col("g") == F.col("hot"), "left").select("g", "rows", F.coalesce("chunks", F.lit(1)).alias("chunks"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["g", "pair", "rows"]
+        for b in batches:
+            for g, rows, chunks in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if chunks == 1:
+                    yield pa.RecordBatch.from_arrays([pa.array([g]), pa.array([0]), pa.array([rows], pa.binary())], names=names)
+                    continue
+                rows = np.frombuffer(rows, _RECORD)
+                mine = _mix(rows["f0"] + rows["f1"]) % np.uint64(chunks)
+                for c in range(chunks):
+                    data = rows[mine == c].tobytes()
+                    pairs = [min(c, d) * chunks + max(c, d) for d in range(chunks) if d != c]
+                    yield pa.RecordBatch.from_arrays([pa.array([g] * len(pairs)), pa.array(pairs), pa.array([data] * len(pairs), pa.binary())], names=names)
+
+    return blobs.mapInArrow(cut, "g long, pair long, rows binary")
+
+
+def _apart(f0: np.ndarray, f1: np.ndarray, a, b) -> np.ndarray:
+    return np.bitwise_count(f0[a] ^ f0[b]) + np.bitwise_count(f1[a] ^ f1[b])
+
+
+def _first_met(f0: np.ndarray, f1: np.ndarray, a: np.ndarray, b: np.ndarray, block: int, width: int) -> np.ndarray:
+    """Pairs that agree on no block before ``block`` of those in the first 128 bits."""
+    n = min(block, 128 // width)
+    x = np.unpackbits(np.stack((f0[a] ^ f0[b], f1[a] ^ f1[b]), axis=1).view(np.uint8), axis=1)[:, : n * width]
+    return x.reshape(len(a), n, width).any(axis=2).all(axis=1)
+
+
+def partnered(rows: np.ndarray, block: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order and marks of the records that have a partner in their block's value.
+
+    In blocks of usual size a pair counts where it first meets; in crowded ones everywhere.
+    """
+    order = np.lexsort((rows["len"], rows["key"]))
+    key, f0, f1, cls = (np.ascontiguousarray(rows[c][order]) for c in ("key", "f0", "f1", "len"))
+    cls = cls.astype(np.int16)
+    begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    size = np.diff(np.concatenate((begin, [len(key)])))
+    found = np.zeros(len(key), bool)
+    ends = np.repeat(begin + size, size)
+    at, d = np.flatnonzero(np.repeat((size > 1) & (size <= _CROWD), size)), 1
+    while len(at):
+        at = at[at + d < ends[at]]
+        at = at[cls[at + d] - cls[at] <= _REACH]
+        near = at[_apart(f0, f1, at, at + d) <= FAR]
+        if len(near):
+            near = near[_first_met(f0, f1, near, near + d, block, width)]
+            found[near] = found[near + d] = True
+        d += 1
+    for lo, n in zip(begin[size > _CROWD].tolist(), size[size > _CROWD].tolist(), strict=True):
+        left = np.arange(lo, lo + n)
+        while len(left):
+            lead = left[0]
+            near = lo + np.flatnonzero((_apart(f0, f1, slice(lo, lo + n), lead) <= FAR) & (np.abs(cls[lo : lo + n] - cls[lead]) <= _REACH))
+            if len(near) > 1:
+                found[near] = True
+            found_now = found[left]
+            found_now[0] = True
+            left = left[~found_now]
+    return order, found
+
+
+def candidates(prints: DataFrame, n: int, width: int) -> DataFrame:
+    """``b, f0, f1``: fingerprints that have a partner in block value ``b``."""
+    count = blocks_of(width)
+    low = width - min(width, max(_subgroups(n), width - 16))
+    groups = packed(prints, width, low).repartition("g", "pair").sortWithinPartitions("g", "pair")
+
+    def met(g: int, pair: int, held: list[bytes]) -> pa.RecordBatch:
+        rows = np.frombuffer(b"".join(held), _RECORD)
+        order, found = partnered(rows, g % count, width)
+        rows = rows[order[found]]
+        b = _mix(_mix(_mix(np.array([g], np.uint64)) + np.uint64(pair)) + rows["key"].astype(np.uint64))
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (b, rows["f0"], rows["f1"])], names=["b", "f0", "f1"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for b in batches:
+            for g, pair, rows in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if now != (g, pair):
+                    if held:
+                        yield met(*now, held)
+                    now, held = (g, pair), []
+                held.append(rows)
+        if held:
+            yield met(*now, held)
+
+    return groups.mapInArrow(run, "b long, f0 long, f1 long").distinct()
+
+
+def edits(a: str, b: str, most: int) -> int:
+    """Edit distance of two texts, or any number above ``most`` where it is greater.
+
+    Equal ends are cut off; the columns of the table are held as bits of one integer.
+    """
+    n = min(len(a), len(b))
+    lo = 0
+    while lo < n and a[lo] == b[lo]:
+        lo += 1
+    hi = 0
+    while hi < n - lo and a[-1 - hi] == b[-1 - hi]:
+        hi += 1
+    a, b = a[lo : len(a) - hi], b[lo : len(b) - hi]
+    if len(a) < len(b):
+        a, b = b, a
+    if not b or len(a) - len(b) > most:
+        return len(a)
+    where: dict[str, int] = {}
+    for i, c in enumerate(b):
+        where[c] = where.get(c, 0) | 1 << i
+    full, top, more, less, d, left = (1 << len(b)) - 1, 1 << (len(b) - 1), (1 << len(b)) - 1, 0, len(b), len(a)
+    for c in a:
+        same = where.get(c, 0)
+        carried = ((same & more) + more ^ more) | same | less
+        up, down = less | ~(carried | more) & full, more & carried
+        if up & top:
+            d += 1
+        elif down & top:
+            d -= 1
+        left -= 1
+        if d - left > most:
+            return most + 1
+        up = up << 1 | 1
+        more = (down << 1 | ~(carried | up)) & full
+        less = up & carried & full
+    return d
+
+
+def similar(a: str, b: str) -> bool:
+    """Whether two normal forms have an edit similarity of ``SIMILARITY`` or more."""
+    most = math.floor(max(len(a), len(b)) * round(1 - SIMILARITY, 6) + 1e-9)
+    return abs(len(a) - len(b)) <= most and edits(a, b, most) <= most
+
+
+def linked_within(h: np.ndarray, f0: np.ndarray, f1: np.ndarray, norm: list[str]) -> list[tuple[int, int]]:
+    """Links (places in the group) that join all lines within ``FAR`` bits which are similar."""
+    n, out = len(h), []
+    label = np.arange(n)
+    for i in range(n - 1):
+        near = i + 1 + np.flatnonzero(_apart(f0, f1, slice(i + 1, n), i) <= FAR)
+        near = near[label[near] != label[i]]
+        joined = set()
+        for j in near.tolist():
+            if label[j] not in joined and similar(norm[i], norm[j]):
+                out.append((i, j))
+                joined.add(label[j])
+        if joined:
+            label[np.isin(label, list(joined))] = label[i]
+            if (label == label[0]).all():
+                break
+    return out
 
 
 def _texts(docs: DataFrame, places: DataFrame) -> DataFrame:
@@ -158,99 +418,100 @@ def _texts(docs: DataFrame, places: DataFrame) -> DataFrame:
     The bit array says no only where a document has no place; the join decides.
     """
     by_doc = written(places.groupBy("rk").agg(F.collect_set(F.struct("pos", "h")).alias("at")), "line-places")
-    maybe = docs.select(_row_key(docs).alias("rk"), F.col("text").alias("t"), _member(by_doc.select("rk")).alias("set")).where(_in_set(F.col("set"), F.col("rk"))).select("rk", "t")
-    rows = maybe.join(by_doc.withColumnRenamed("rk", "rk_"), F.col("rk") == F.col("rk_"))
-    # lines are taken out before they are exploded: no row repeats a text
-    taken = let(F.split("t", "\n"), lambda x: F.transform("at", lambda a: F.struct(a["h"].alias("h"), F.array_join(line_words(F.get(x, a["pos"])), " ").alias("norm"))))
-    return rows.select(F.explode(taken).alias("l")).select("l.h", "l.norm").dropDuplicates(["h"])
-
-
-def _verified(docs: DataFrame, pairs: DataFrame, uniq: DataFrame) -> DataFrame:
-    """``pairs`` (a, b) with ``ok``: whether their lines are similar enough."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    places = uniq.join(ids, F.col("h") == F.col("id")).select("h", F.col("first.rk").alias("rk"), F.col("first.pos").alias("pos"))
-    texts = written(_texts(docs, places), "line-texts")
-    left, right = texts.select(F.col("h").alias("ha"), F.col("norm").alias("na")), texts.select(F.col("h").alias("hb"), F.col("norm").alias("nb"))
-    met = pairs.join(left, F.col("a") == F.col("ha")).join(right, F.col("b") == F.col("hb"))
-    # few rows, dear to compare: spread over all tasks, however small they are
-    spread = met.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return written(spread.select("a", "b", similar("na", "nb").alias("ok")), "line-links")
-
-
-def _filed(rows: DataFrame, masks: list[int]) -> DataFrame:
-    """Each row once for each mask: ``k`` stands for the mask and the bits there."""
-    keys = F.array(*(F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks)))
-    return rows.withColumn("k", F.explode(keys))
-
-
-def _within(a: str, b: str) -> Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= DISTANCE
-
-
-def _pair(a: str, b: str) -> list[Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-
-
-def linked(docs: DataFrame, uniq: DataFrame) -> DataFrame:
-    """``node, label`` of the distinct lines that have links; ``uniq``: h, fp, n, first."""
-    sample = [r["fp"] for r in uniq.select("fp").distinct().orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()]
-    masks = block_masks(uniq.count(), sample)
-    links = lambda df: df.where("ok").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    # 1. a bucket of one line has no pair, a bucket of two lines is a pair: sums tell which
-    filed = _filed(uniq.select("h", "fp"), masks)
-    met = filed.groupBy("k").agg(F.count("*").alias("size"), F.min("h").alias("lo"), F.max("h").alias("hi"), F.bit_xor("fp").alias("x"))
-    met = written(met.where((F.col("size") > 2) | ((F.col("size") == 2) & (F.bit_count("x") <= DISTANCE))).select("k", "size", "lo", "hi"), "line-buckets")
-    two = met.where("size = 2").select(*_pair("lo", "hi"))
-    # 2. of larger buckets, every line against the first and the last one
-    crowd = met.where("size > 2").select(F.col("k").alias("ck"))
-    member = _member(crowd.select(F.col("ck").alias("rk")))
-    rows = filed.withColumn("set", member).where(_in_set(F.col("set"), F.col("k"))).drop("set")
-    rows = written(rows.join(crowd, F.col("k") == F.col("ck")).select("k", "h", "fp"), "line-crowds")
-    ends = [F.struct(end("h").alias("h"), by("fp", "h").alias("fp")) for end, by in ((F.min, F.min_by), (F.max, F.max_by))]
-    lead = rows.groupBy(F.col("k").alias("lk")).agg(F.array(*ends).alias("ends"))
-    star = rows.join(lead, F.col("k") == F.col("lk")).select("h", "fp", F.explode("ends").alias("end")).select("h", "fp", F.col("end.h").alias("eh"), F.col("end.fp").alias("efp"))
-    star = star.where((F.col("h") != F.col("eh")) & _within("fp", "efp")).select(*_pair("h", "eh"))
-    first = links(_verified(docs, written(two.union(star).distinct(), "line-pairs"), uniq))
-    label = written(components(first), "line-labels")
-    # 3. what is still apart in larger buckets, one line for each fingerprint of a group:
-    #    the lines outside a bucket's largest group against all
-    named = rows.join(label, F.col("h") == F.col("node"), "left").select("k", "h", "fp", F.coalesce("label", "h").alias("g"))
-    named = written(named.groupBy("k", "fp", "g").agg(F.min("h").alias("h")), "line-named")
-    most = named.groupBy("k", "g").agg(F.count("*").alias("c")).groupBy(F.col("k").alias("mk")).agg(F.max_by("g", "c").alias("most"), F.count("*").alias("groups")).where("groups > 1").drop("groups")
-    rivals = written(named.join(most, F.col("k") == F.col("mk")).drop("mk"), "line-rivals")
-    other = rivals.select(*(F.col(c).alias(f"{c}2") for c in ("k", "h", "fp", "g")))
-    once = (F.col("g2") == F.col("most")) | (F.col("h") < F.col("h2"))
-    apart = rivals.where("g <> most").join(other, (F.col("k") == F.col("k2")) & (F.col("g") != F.col("g2")) & once & _within("fp", "fp2")).select(*_pair("h", "h2")).distinct()
-    second = _verified(docs, written(apart, "line-pairs"), uniq)
-    # 4. where those two differ too much, all lines of both fingerprints and groups
-    now = uniq.join(label, F.col("h") == F.col("node"), "left").select("h", "fp", F.coalesce("label", "h").alias("g"))
-    a, b, x, y = (now.select(F.col("h").alias(f"h{n}"), F.col("fp").alias(f"fp{n}"), F.col("g").alias(f"g{n}")) for n in "abxy")
-    sides = second.where("not ok").join(a, F.col("a") == F.col("ha")).join(b, F.col("b") == F.col("hb")).select("fpa", "ga", "fpb", "gb").distinct()
-    wide = sides.join(x, (F.col("fpa") == F.col("fpx")) & (F.col("ga") == F.col("gx"))).join(y, (F.col("fpb") == F.col("fpy")) & (F.col("gb") == F.col("gy"))).select(*_pair("hx", "hy")).distinct()
-    wide = wide.join(second.select("a", "b"), ["a", "b"], "left_anti")
-    third = _verified(docs, written(wide, "line-pairs"), uniq)
-    return components(first.union(links(second)).union(links(third)))
+    bits = set_bits(by_doc.count())
+    some = docs.select(_row_key(docs).alias("rk"), F.col("text").cast("string").alias("t"), member(by_doc.select("rk"), bits).alias("set")).where(maybe(F.col("set"), F.col("rk"), bits)).select("rk", "t")
+    rows = some.join(by_doc.withColumnRenamed("rk", "rk_"), F.col("rk") == F.col("rk_"))
+    taken = let(F.split("t", "\n"), lambda x: F.transform("at", lambda a: F.struct(a["h"].alias("h"), F.get(x, a["pos"]).alias("line"))))
+    lines = rows.select(F.explode(taken).alias("l")).select("l.h", "l.line")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            norm = [b" ".join(t.lower().encode().translate(_TABLE).split()).decode() for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(norm, pa.string())], names=["h", "norm"])
+
+    return lines.mapInArrow(run, "h long, norm string").dropDuplicates(["h"])
+
+
+def links(docs: DataFrame, uniq: DataFrame, width: int) -> DataFrame:
+    """Edges ``u, v`` of the distinct lines ``uniq`` (h, first, len, f0, f1, f)."""
+    met = written(candidates(uniq.select("f0", "f1", "f", "len"), uniq.count(), width), "line-met")
+    print_ = [F.col("f0").alias("p0"), F.col("f1").alias("p1")]
+    same = (F.col("f0") == F.col("p0")) & (F.col("f1") == F.col("p1"))
+    ids = uniq.join(met.select(*print_).distinct(), same, "left_semi").select("h", "f0", "f1", F.col("first.rk").alias("rk"), F.col("first.pos").alias("pos"))
+    ids = written(ids, "line-ids")
+    texts = _texts(docs, ids.select("h", "rk", "pos")).withColumnRenamed("h", "th")
+    texts = written(ids.join(texts, F.col("h") == F.col("th")).select("h", "f0", "f1", "norm"), "line-texts")
+    met = met.select("b", *print_)
+    hot = met.join(ids.select("f0", "f1"), same).groupBy(F.col("b").alias("hot")).agg(F.count("*").alias("n")).where(F.col("n") > CHUNK)
+    hot = written(hot.select("hot", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "line-hot")
+    rows = met.join(texts, same).select("b", "h", "f0", "f1", "norm").join(hot, F.col("b") == F.col("hot"), "left")
+    mine = F.pmod(F.xxhash64("h"), F.col("chunks")).cast("int")
+    others = F.transform(F.filter(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: c != F.col("mine")), lambda c: F.least("mine", c) * F.col("chunks") + F.greatest("mine", c))
+    rows = rows.withColumn("mine", mine).withColumn("pair", F.explode(F.when(F.col("chunks").isNull(), F.array(F.lit(0))).otherwise(others)))
+    rows = rows.select(F.xxhash64("b", "pair").alias("g"), "h", "f0", "f1", "norm").repartition("g").sortWithinPartitions("g")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+        def verified(t: pa.Table) -> pa.RecordBatch:
+            g, h = np.asarray(t.column(0)), np.asarray(t.column(1))
+            f0, f1 = (np.asarray(t.column(c)).view(np.uint64) for c in (2, 3))
+            begin = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1]))).tolist()
+            u, v = [], []
+            norm = t.column(4)
+            for lo, hi in zip(begin, [*begin[1:], len(g)], strict=True):
+                if hi - lo > 1:
+                    for i, j in linked_within(h[lo:hi], f0[lo:hi], f1[lo:hi], norm.slice(lo, hi - lo).to_pylist()):
+                        u.append(h[lo + i])
+                        v.append(h[lo + j])
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], schema=schema)
+
+        for b in batches:
+            t = pa.Table.from_batches([b] if rest is None else [*rest.to_batches(), b])
+            g = np.asarray(t.column(0))
+            cut = int(np.flatnonzero(g != g[-1])[-1]) + 1 if len(g) and g[0] != g[-1] else 0
+            if cut:  # the last group may go on in the next batch
+                yield verified(t.slice(0, cut).combine_chunks())
+            rest = t.slice(cut)
+        if rest is not None and len(rest):
+            yield verified(rest.combine_chunks())
+
+    return rows.mapInArrow(run, "u long, v long")
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """``rk, gone array<int>``: numbers of the lines of a document that stand elsewhere first."""
-    lines = written(simhashed(docs), "lines")
-    uniq = written(lines.groupBy("h").agg(F.min(F.struct("doc_id", "rk", "pos")).alias("first"), F.first("fp").alias("fp"), F.count("*").alias("n")), "line-groups")
-    label = linked(docs, uniq)
-    named = uniq.join(label, F.col("h") == F.col("node"), "left").select("h", "first", "n", "label")
+    text = F.col("text").cast("string")
+    n = docs.agg(F.sum(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)).first()[0] or 0
+    width = width_of(n)
+    lines = written(simhashed(docs, width), "lines")
+    firsts = [F.first(c).alias(c) for c in ("len", "f0", "f1", "f")]
+    uniq = written(lines.groupBy("h").agg(F.min(F.struct("doc_id", "rk", "pos")).alias("first"), F.count("*").alias("n"), *firsts), "line-groups")
+    label = written(components(links(docs, uniq, width)), "line-labels")
+    named = uniq.select("h", "first", "n").join(label, F.col("h") == F.col("node"), "left").select("h", "first", "n", "label")
     least = named.where("label is not null").groupBy("label").agg(F.min("first").alias("least")).withColumnRenamed("label", "lab")
-    kept = named.where("n > 1 or label is not null").join(least, F.col("label") == F.col("lab"), "left").select(F.col("h").alias("kh"), F.coalesce("least", "first").alias("keep"))
+    kept = named.where("n > 1 or label is not null").join(least, F.col("label") == F.col("lab"), "left").select(F.col("h").alias("kh"), "n", F.coalesce("least", "first").alias("keep"))
     kept = written(kept, "line-kept")
     here = F.struct("doc_id", "rk", "pos")
-    gone = lines.join(kept, F.col("h") == F.col("kh")).where(~here.eqNullSafe(F.col("keep"))).select("rk", "pos")
+    # the commonest lines, 10,000 of them at the most, do not go through the shuffle
+    common = max(10_000, math.ceil(n / 10_000))
+    few = F.broadcast(kept.where(F.col("n") >= common))
+    at = lines.select("doc_id", "rk", "pos", "h")
+    met = at.join(few, F.col("h") == F.col("kh")).unionByName(at.join(few.select("kh"), F.col("h") == F.col("kh"), "left_anti").join(kept.where(F.col("n") < common), F.col("h") == F.col("kh")))
+    gone = met.where(~here.eqNullSafe(F.col("keep"))).select("rk", "pos")
     return gone.groupBy(F.col("rk").alias("gone_rk")).agg(F.collect_set("pos").alias("gone"))
 
 
 def deduplicated(docs: DataFrame, counts: bool = False) -> DataFrame:
-    """``docs`` with every removed line cut out of ``text``; ``counts`` adds n_lines, n_removed."""
+    """``docs`` with every removed line cut out of ``text``.
+
+    ``counts`` adds ``n_lines`` and ``n_removed`` in place of columns of these names.
+    """
     gone = written(removed_lines(docs), "line-gone")
-    member = _member(gone.select(F.col("gone_rk").alias("rk")))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), _row_key(docs).alias("rk"), member.alias("set")).withColumn("maybe", _in_set(F.col("set"), F.col("rk"))).drop("set")
+    bits = set_bits(gone.count())
+    names = [c for c in docs.columns if not (counts and c in ("n_lines", "n_removed"))]
+    rows = docs.select(F.struct(*docs.columns).alias("row"), _row_key(docs).alias("rk"), member(gone.select("gone_rk"), bits).alias("set")).withColumn("maybe", maybe(F.col("set"), F.col("rk"), bits)).drop("set")
     # documents outside the set lose nothing and are not shuffled
     rest = rows.where(~F.col("maybe")).select("row", F.lit(None).cast("array<int>").alias("gone"))
     rows = rows.where("maybe").join(gone, F.col("rk") == F.col("gone_rk"), "left").select("row", "gone").unionByName(rest)
@@ -258,4 +519,4 @@ def deduplicated(docs: DataFrame, counts: bool = False) -> DataFrame:
     stays = let(lines, lambda x: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("gone")), lambda i: F.get(x, i)), "\n"))
     text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(stays)
     more = [F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed")] if counts else []
-    return rows.select(*((text if c == "text" else F.col("row").getField(c)).alias(c) for c in docs.columns), *more)
+    return rows.select(*((text if c == "text" else F.col("row").getField(c)).alias(c) for c in names), *more)

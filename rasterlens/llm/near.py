@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterlens.llm.common import written
+from rasterlens.llm.common import dropped, written
 from rasterlens.llm.components import components
 
 
@@ -24,21 +24,24 @@ def linked(filed: DataFrame, near: Callable[[str, str], Column], verify: Callabl
 
     ``filed``: ``k`` and a struct ``s`` whose first field is the id ``h``, once for each key
     of a row. ``near`` tells of two structs, by their names, whether they may link;
-    ``verify`` adds ``ok`` to pairs ``a, b``.
+    ``verify`` adds ``ok`` to pairs ``a, b`` and gives a written table.
     """
     pair = lambda x, y: [F.least(f"{x}.h", f"{y}.h").alias("a"), F.greatest(f"{x}.h", f"{y}.h").alias("b")]
     lead = filed.groupBy(F.col("k").alias("lk")).agg(F.count("*").alias("size"), F.min("s").alias("p")).where("size > 1")
     rows = written(filed.join(lead, F.col("k") == F.col("lk")).select("k", "s", "p"), "near-buckets")
     star = written(rows.where((F.col("s.h") != F.col("p.h")) & near("s", "p")).select(*pair("s", "p")).distinct(), "near-pairs")
-    first = written(verify(star), "near-links")
+    first = verify(star)
     links = lambda df: df.where("ok").select(F.col("a").alias("u"), F.col("b").alias("v"))
     label = written(components(links(first)), "near-labels")
     named = rows.select("k", "s").join(label, F.col("s.h") == F.col("node"), "left").select("k", "s", F.coalesce("label", "s.h").alias("g"))
     named = written(named, "near-named")
+    dropped(rows)
     most = named.groupBy("k", "g").agg(F.count("*").alias("c")).groupBy(F.col("k").alias("mk")).agg(F.max_by("g", "c").alias("most"), F.count("*").alias("groups")).where("groups > 1").drop("groups")
     rivals = written(named.join(most, F.col("k") == F.col("mk")).drop("mk"), "near-rivals")
+    dropped(named)
     other = rivals.select(*(F.col(c).alias(f"{c}2") for c in ("k", "s", "g")))
     once = (F.col("g2") == F.col("most")) | (F.col("s.h") < F.col("s2.h"))
     apart = rivals.where("g <> most").join(other, (F.col("k") == F.col("k2")) & (F.col("g") != F.col("g2")) & once & near("s", "s2")).select(*pair("s", "s2")).distinct()
-    second = written(verify(written(apart.join(star, ["a", "b"], "left_anti"), "near-pairs")), "near-links")
+    second = verify(written(apart.join(star, ["a", "b"], "left_anti"), "near-pairs"))
+    dropped(rivals)
     return components(links(first).union(links(second)))

@@ -33,9 +33,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterlens.llm.common import written
+from rasterlens.llm.common import dropped, maybe, member, set_bits, written
 from rasterlens.llm.components import components
-from rasterlens.llm.line_dedup import _in_set, _member
 from rasterlens.llm.near import linked
 
 BITS = 64
@@ -327,7 +326,8 @@ def _sets(docs: DataFrame, ids: DataFrame, groups: DataFrame, width: int) -> Dat
     """``h, x``: the distinct shingles of the texts ``ids`` (id)."""
     need = written(groups.join(ids, F.col("h") == F.col("id")).select("rk").distinct(), "near-texts")
     text = F.col("text").cast("string")
-    maybe = docs.select(F.xxhash64(text).alias("t_rk"), text.cast("binary").alias("t"), _member(need).alias("set")).where(_in_set(F.col("set"), F.col("t_rk"))).drop("set")
+    bits = set_bits(need.count())
+    some = docs.select(F.xxhash64(text).alias("t_rk"), text.cast("binary").alias("t"), member(need, bits).alias("set")).where(maybe(F.col("set"), F.col("t_rk"), bits)).drop("set")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -336,7 +336,7 @@ def _sets(docs: DataFrame, ids: DataFrame, groups: DataFrame, width: int) -> Dat
                 x = [np.frombuffer(b"".join(s), np.int64)[:: WIDE // 64] for _, s in got]
                 yield pa.RecordBatch.from_arrays([pa.array(np.array([h for h, _ in got], np.uint64).view(np.int64)), pa.array(x, pa.list_(pa.int64()))], names=["h", "x"])
 
-    one = maybe.join(need, F.col("t_rk") == F.col("rk")).select("rk", "t").dropDuplicates(["rk"])
+    one = some.join(need, F.col("t_rk") == F.col("rk")).select("rk", "t").dropDuplicates(["rk"])
     return one.mapInArrow(run, "h long, x array<long>")
 
 
@@ -366,7 +366,9 @@ def near_classes(docs: DataFrame, width: int = 5) -> DataFrame:
         left, right = (sets.select(F.col("h").alias(f"h{c}"), F.col("x").alias(f"x{c}")) for c in "ab")
         both = F.size(F.array_intersect("xa", "xb"))
         met = pairs.join(left, F.col("a") == F.col("ha")).join(right, F.col("b") == F.col("hb"))
-        return met.select("a", "b", (both >= SIMILARITY * (F.size("xa") + F.size("xb") - both) - 1e-9).alias("ok"))
+        out = written(met.select("a", "b", (both >= SIMILARITY * (F.size("xa") + F.size("xb") - both) - 1e-9).alias("ok")), "near-links")
+        dropped(sets)
+        return out
 
     parts = linked(filed, near, verify)
     named = written(groups.join(parts, F.col("h") == F.col("node"), "left").select("h", "rep", F.coalesce("label", "h").alias("label")), "named")
@@ -381,5 +383,10 @@ def deduplicated(docs: DataFrame, width: int = 5) -> DataFrame:
     Rows that share a doc_id count as one document and stay or go together, but for a
     null doc_id, whose rows stay.
     """
-    gone = near_classes(docs, width).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("__gone"), "left_anti")
+    gone = written(near_classes(docs, width).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct(), "near-gone")
+    bits = set_bits(gone.count())
+    key = F.col("__row.doc_id").cast("long")
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), member(gone, bits).alias("__set")).withColumn("__maybe", F.coalesce(maybe(F.col("__set"), key, bits), F.lit(False))).drop("__set")
+    # only rows that the bit array lets through are shuffled; the join decides about them
+    some = rows.where("__maybe").join(gone, key == F.col("__gone"), "left_anti")
+    return some.unionByName(rows.where("not __maybe")).select(*(F.col("__row").getField(c).alias(c) for c in docs.columns))

@@ -187,80 +187,6 @@ def test_top_k_against_brute_force(spark):
         assert {(r["rank"], r.vec_id, r.score) for r in got if r.query_id == q} == rows_
 
 
-def _lines_brute(docs: list[tuple[int, str]]) -> dict[int, str]:
-    norm = lambda s: [w for w in re.sub(r"[!-/:-@\[-`{-~\t\r\x0b\x0c]", " ", s.lower()).split(" ") if w]
-    def fp(words):
-        h = [xxhash.xxh64_intdigest(w.encode(), 42) for w in dict.fromkeys(words)]
-        return sum(1 << b for b in range(60) if 2 * sum(x >> b & 1 for x in h) > len(h))
-    def edits(a, b):
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            new = [i]
-            for j, y in enumerate(b, 1):
-                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-            row = new
-        return row[-1]
-    at = [(i, p, " ".join(norm(line))) for i, x in docs for p, line in enumerate(x.split("\n")) if norm(line)]
-    forms = sorted({a[2] for a in at})
-    fps, root = [fp(f.split()) for f in forms], list(range(len(forms)))
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-    for i in range(len(forms)):
-        for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= 3:
-                a, b = forms[i], forms[j]
-                if max(len(a), len(b)) > line_dedup.LONG:
-                    a, b = a.split(), b.split()
-                if edits(a, b) <= int(max(len(a), len(b)) * 0.2 + 1e-9):
-                    root[find(i)] = find(j)
-    group = {f: find(i) for i, f in enumerate(forms)}
-    first = {}
-    for i, p, f in sorted(at):
-        first.setdefault(group[f], (i, p))
-    gone = {(i, p) for i, p, f in at if first[group[f]] != (i, p)}
-    return {i: "\n".join(line for p, line in enumerate(x.split("\n")) if (i, p) not in gone) for i, x in docs}
-
-
-def test_line_dedup_against_brute_force(spark):
-    rng = np.random.default_rng(6)
-    vocab = ["".join(rng.choice(list("abcdefghij"), rng.integers(2, 8))) for _ in range(300)]
-    base = [" ".join(rng.choice(vocab, rng.integers(1, 90))) for _ in range(40)]
-    docs = []
-    for i in range(60):
-        lines = []
-        for _ in range(5):
-            w = base[rng.integers(40)].split(" ")
-            if rng.random() < 0.6:
-                w[rng.integers(len(w))] = vocab[rng.integers(300)]
-            lines.append(("  " if rng.random() < 0.3 else "") + " ".join(w).capitalize() + rng.choice(["", ".", "!"]))
-        docs.append((i, "\n".join(lines)))
-    df = spark.createDataFrame(docs, "doc_id long, text string")
-    assert {r.doc_id: r.text for r in line_dedup.deduplicated(df).collect()} == _lines_brute(docs)
-
-
-def test_long_lines_have_the_same_simhash(spark):
-    words = [f"w{i}" for i in range(17_000)]
-    df = spark.createDataFrame([(1, " ".join(words)), (2, "a b c")], "doc_id long, text string")
-    got = {r.doc_id: r.fp for r in line_dedup.simhashed(df).collect()}
-    for i, ws in ((1, words), (2, ["a", "b", "c"])):
-        h = np.array([xxhash.xxh64_intdigest(w.encode(), 42) for w in ws], np.uint64)
-        assert got[i] == sum(1 << b for b in range(60) if 2 * int((h >> np.uint64(b) & np.uint64(1)).sum()) > len(h))
-
-
-def test_blocks_meet_all_near_pairs():
-    rng = np.random.default_rng(0)
-    for n in (10, 10**6, 10**9, 10**12):
-        masks = line_dedup.block_masks(n)
-        for _ in range(300):
-            a = int(rng.integers(0, 1 << 60))
-            b = a
-            for bit in rng.choice(60, 3, replace=False):
-                b ^= 1 << int(bit)
-            assert any(a & m == b & m for m in masks)
-
-
 def test_classifier_shrinks_sparse_sites(spark):
     rows = [(i, "big" if i < 400 else f"small{i}", "x", 3.0 if i % 4 else -3.0) for i in range(402)]
     got = {r.doc_id: r for r in quality_classifier.posterior(spark.createDataFrame(rows, "doc_id long, host string, path string, z double")).collect()}
