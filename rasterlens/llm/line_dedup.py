@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rasterlens.llm.common import let, maybe, member, set_bits, written
+from rasterlens.llm.common import dropped, give_back, let, maybe, member, set_bits, written
 from rasterlens.llm.components import components
 
 SIMILARITY = 0.8
@@ -45,7 +45,7 @@ FAR = 30
 #: and the probability that such a line is met.
 DIFFER, RECALL = 0.1, 0.985
 #: Bytes of text that are looked at in one go; a longer line is one go of its own.
-SLAB = 1 << 21
+SLAB = 1 << 19
 #: Fingerprints of a task group of the search, rows of a task group of the comparison.
 GROUP, CHUNK = 1 << 17, 1 << 16
 #: Blocks of more fingerprints are searched from one fingerprint to all at once.
@@ -177,18 +177,17 @@ def simhashed(docs: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for b in batches:
-            for i in range(b.num_rows):
-                text = b.column(2)[i].as_py()
-                if not text:
-                    continue
-                for piece, number in _pieces(text.lower().encode()):
-                    held.append((b.column(0)[i].as_py(), b.column(1)[i].as_py(), piece, number))
-                    size += len(piece)
-                    if size >= SLAB:
-                        yield slab(held)
-                        held, size = [], 0
+            for lo in range(0, b.num_rows, 64):
+                for doc_id, rk, text in zip(*(c.to_pylist() for c in b.slice(lo, 64).columns), strict=True):
+                    for piece, number in _pieces(text.lower().encode()) if text else ():
+                        held.append((doc_id, rk, piece, number))
+                        size += len(piece)
+                        if size >= SLAB:
+                            yield slab(held)
+                            held, size = [], 0
         if held:
             yield slab(held)
+        give_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_key(docs).alias("rk"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(run, "doc_id long, rk long, pos int, h long, len int, f0 long, f1 long, f binary")
@@ -227,10 +226,10 @@ def _gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Recor
 
 
 def packed(prints: DataFrame, width: int, low: int) -> DataFrame:
-    """``g, n, c, d``: records of the fingerprints of a task group; its chunks ``c`` of each other ``d``.
+    """``g, pair, rows``: packed records of the fingerprints of a task group.
 
     A task group is a block and the leading bits of its key. Those that turn out larger than
-    planned are cut into chunks by fingerprint, and every two chunks meet.
+    planned are cut into chunks by fingerprint, and every ``pair`` of chunks meets.
     """
     count = blocks_of(width)
 
@@ -245,7 +244,7 @@ def packed(prints: DataFrame, width: int, low: int) -> DataFrame:
     hot = written(hot.select(F.col("g").alias("hot"), F.ceil(F.col("n") / (2 * GROUP)).cast("int").alias("chunks")), "line-crowds")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _gathered(batches, 1 << 17):
+        for b in _gathered(batches, 1 << 16):
             f0, f1, cls, bits = _prints(b)
             for j in range(count):
                 key = _block_keys(bits, j, width)
@@ -257,7 +256,10 @@ def packed(prints: DataFrame, width: int, low: int) -> DataFrame:
                 data = [rows[x:y].tobytes() for x, y in zip(at, [*at[1:], len(rows)], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array((g * np.uint64(count) + np.uint64(j)).view(np.int64)), pa.array(data, pa.binary())], names=["g", "rows"])
 
-    blobs = prints.mapInArrow(pack, "g long, rows binary").join(hot, F.col("g") == F.col("hot"), "left").select("g", "rows", F.coalesce("chunks", F.lit(1)).alias("chunks"))
+    blobs = prints.mapInArrow(pack, "g long, rows binary")
+    if hot.isEmpty():
+        return blobs.select("g", F.lit(0).cast("long").alias("pair"), "rows")
+    blobs = blobs.join(hot, F.col("g") == F.col("hot"), "left").select("g", "rows", F.coalesce("chunks", F.lit(1)).alias("chunks"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["g", "pair", "rows"]
@@ -345,6 +347,7 @@ def candidates(prints: DataFrame, n: int, width: int) -> DataFrame:
                 held.append(rows)
         if held:
             yield met(*now, held)
+        give_back()
 
     return groups.mapInArrow(run, "b long, f0 long, f1 long").distinct()
 
@@ -387,15 +390,38 @@ def edits(a: str, b: str, most: int) -> int:
     return d
 
 
+def aligned(a: list[str], b: list[str]) -> int:
+    """Characters that one way to turn words ``a`` into ``b`` changes: never below the edit distance."""
+    i = j = cost = 0
+    n, m = len(a), len(b)
+    while i < n and j < m:
+        if a[i] == b[j]:
+            i += 1
+            j += 1
+        elif i + 1 < n and a[i + 1] == b[j] and (j + 1 == m or a[i + 1] != b[j + 1]):
+            cost += len(a[i]) + 1
+            i += 1
+        elif j + 1 < m and a[i] == b[j + 1] and (i + 1 == n or a[i + 1] != b[j + 1]):
+            cost += len(b[j]) + 1
+            j += 1
+        else:
+            cost += max(len(a[i]), len(b[j]))
+            i += 1
+            j += 1
+    return cost + sum(len(w) + 1 for w in a[i:]) + sum(len(w) + 1 for w in b[j:])
+
+
 def similar(a: str, b: str) -> bool:
     """Whether two normal forms have an edit similarity of ``SIMILARITY`` or more."""
     most = math.floor(max(len(a), len(b)) * round(1 - SIMILARITY, 6) + 1e-9)
-    return abs(len(a) - len(b)) <= most and edits(a, b, most) <= most
+    return abs(len(a) - len(b)) <= most and (aligned(a.split(" "), b.split(" ")) <= most or edits(a, b, most) <= most)
 
 
 def linked_within(h: np.ndarray, f0: np.ndarray, f1: np.ndarray, norm: list[str]) -> list[tuple[int, int]]:
     """Links (places in the group) that join all lines within ``FAR`` bits which are similar."""
     n, out = len(h), []
+    if n == 2:  # they are in the group for each other
+        return [(0, 1)] if similar(*norm) else []
     label = np.arange(n)
     for i in range(n - 1):
         near = i + 1 + np.flatnonzero(_apart(f0, f1, slice(i + 1, n), i) <= FAR)
@@ -476,6 +502,7 @@ def links(docs: DataFrame, uniq: DataFrame, width: int) -> DataFrame:
             rest = t.slice(cut)
         if rest is not None and len(rest):
             yield verified(rest.combine_chunks())
+        give_back()
 
     return rows.mapInArrow(run, "u long, v long")
 

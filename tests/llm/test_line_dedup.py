@@ -67,6 +67,9 @@ def test_edit_distance_against_the_table():
         want, most = _slow_edits(a, b), int(rng.integers(0, 15))
         got = line_dedup.edits(a, b, most)
         assert got == want if want <= most else got > most
+        words = ["".join(rng.choice(list("ab"), rng.integers(1, 4))) for _ in range(rng.integers(1, 7))]
+        other = [w for w in words if rng.random() < 0.8] + words[:1]
+        assert line_dedup.aligned(words, other) >= _slow_edits(" ".join(words), " ".join(other))
 
 
 def test_all_lines_by_edit_similarity_alone(spark):
