@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,7 +16,6 @@ from rasterlens.sources.tables import SQL, endpoints, files, objects, raster_pix
 QUERIES: dict = {}
 ORACLES: dict = {}
 P90 = 0.9
-K3 = {(dy, dx): (1.0 if (dy, dx) == (0, 0) else 0.5 if 0 in (dy, dx) else 0.25) for dy in (-1, 0, 1) for dx in (-1, 0, 1)}
 LINES = {
     0: {(0, -1): 1.0, (0, 0): 1.0, (0, 1): 1.0, (-1, 0): -1.5, (1, 0): -1.5},
     45: {(-1, 1): 1.0, (0, 0): 1.0, (1, -1): 1.0, (-1, -1): -1.5, (1, 1): -1.5},
@@ -60,10 +62,10 @@ def has_category_audit(spark, sf):
 
 
 _RULES = """SELECT image_id, pos, CASE WHEN len >= 40 THEN 'long' ELSE 'short' END AS grp, CASE WHEN len < 12 THEN 'path_length_below_minimum' WHEN len >= 40 THEN 'long_candidate_passed'
-  WHEN aspect < 3 THEN 'short_aspect_below_minimum' WHEN lin < 0.30 THEN 'short_linearity_below_minimum' ELSE 'short_candidate_passed' END AS reason FROM (SELECT image_id, pos, CAST(x0 AS DOUBLE) AS len, tax * 100 AS aspect, discount * 10 AS lin FROM o)"""
+  WHEN aspect < 3 THEN 'short_longest_path_aspect_ratio_too_low' WHEN lin < 0.30 THEN 'short_linearity_too_low' ELSE 'short_candidate_passed' END AS reason FROM (SELECT image_id, pos, CAST(x0 AS DOUBLE) AS len, tax * 100 AS aspect, discount * 10 AS lin FROM o)"""
 
 
-@query("O", sql=f"SELECT image_id, pos, reason LIKE '%passed' AS kept, CASE WHEN reason = 'path_length_below_minimum' THEN 'rejected' ELSE grp END AS length_group, reason FROM ({_RULES})")
+@query("O", sql=f"SELECT image_id, pos, reason LIKE '%passed' AS kept, CASE WHEN reason = 'path_length_below_minimum' THEN 'below_minimum' ELSE grp END AS length_group, reason FROM ({_RULES})")
 def candidate_rules(spark, sf):
     v = g.candidate(F.col("x0").cast("double"), F.col("tax") * 100, F.col("discount") * 10)
     return objects(spark, sf).select("image_id", "pos", *(c.alias(k) for k, c in v.items()))
@@ -185,18 +187,16 @@ def suffix_precedence(spark, sf):
     return files(spark, sf).groupBy("folder", (F.col("mtime") % 50).alias("stem_key")).agg(F.min_by("suffix", rank).alias("suffix"))
 
 
-@query("F", sql="SELECT folder, stem || suffix AS old_name, printf('%04d', row_number() OVER (PARTITION BY folder ORDER BY mtime, lower(stem)) + 9) || suffix AS new_name FROM f")
+@query("F", sql="SELECT folder, stem || suffix AS old_name, n <= 999 AS valid, CASE WHEN n <= 999 THEN printf('%03d', n) || suffix END AS new_name FROM (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY mtime, lower(stem || suffix)) AS n FROM f)")
 def rename_plan(spark, sf):
-    n = F.row_number().over(Window.partitionBy("folder").orderBy("mtime", F.lower("stem"))) + 9
-    return files(spark, sf).select("folder", F.concat("stem", "suffix").alias("old_name"), F.concat(F.format_string("%04d", n), F.col("suffix")).alias("new_name"))
+    return g.numbered(files(spark, sf), "folder", ["mtime", F.lower(F.concat("stem", "suffix"))]).select("folder", F.concat("stem", "suffix").alias("old_name"), "valid", F.concat("number", "suffix").alias("new_name"))
 
 
-@query(sql="SELECT DISTINCT p_size + 25 AS target FROM part WHERE p_partkey % 2 = 0 AND p_size + 25 IN (SELECT p_size FROM part) AND p_size + 25 NOT IN (SELECT p_size FROM part WHERE p_partkey % 4 = 0)")
+@query(sql="SELECT a.p_partkey AS source, a.p_partkey + CASE WHEN a.p_partkey % 2 = 0 THEN 1 ELSE 3 END AS target FROM part a WHERE a.p_partkey % 3 = 0 AND target IN (SELECT p_partkey FROM part) AND target NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 3 = 0)")
 def rename_conflicts(spark, sf):
-    p = read(spark, sf, "part")
-    plan = p.where("p_partkey % 2 = 0").select((F.col("p_size") + 25).alias("target")).distinct()
-    there, own = p.select(F.col("p_size").alias("target")), p.where("p_partkey % 4 = 0").select(F.col("p_size").alias("target"))
-    return plan.join(there, "target", "left_semi").join(own, "target", "left_anti")
+    there = read(spark, sf, "part").select(F.col("p_partkey").alias("target"))
+    plan = there.where("target % 3 = 0").select(F.col("target").alias("source"), (F.col("target") + F.when(F.col("target") % 2 == 0, 1).otherwise(3)).alias("target"))
+    return plan.join(there, "target", "left_semi").join(plan.select(F.col("source").alias("target")), "target", "left_anti").select("source", "target")
 
 
 @query(sql="SELECT printf('%03d', coalesce(max(s_suppkey % 500) FILTER (s_suppkey % 3 <> 0), 0) + 1) AS next_run FROM supplier")
@@ -236,6 +236,16 @@ def _mask(spark: SparkSession, sf: str, p: float = 0.7) -> DataFrame:
     return rasters.threshold_by_percentile(raster_pixels(spark, sf), p).where("v >= t")
 
 
+def _over_masks(spark: SparkSession, sf: str, one, schema: str) -> DataFrame:
+    """Rows of ``one(mask)``, where the mask holds the pixels of an image from its 70 % quantile up."""
+    return kernels.over_rasters(read(spark, sf, "embeddings"), "vec_id", "embedding", 8, lambda a: one(a >= np.percentile(a, 70)), schema)
+
+
+def _digest(mask: np.ndarray) -> list[tuple]:
+    at = np.flatnonzero(mask)
+    return [(len(at), int(at.sum()))] if len(at) else []
+
+
 def _labelled(spark: SparkSession, sf: str) -> DataFrame:
     return kernels.labelled(read(spark, sf, "embeddings"), "vec_id", "embedding", 8, 0.7)
 
@@ -249,19 +259,21 @@ def hysteresis(spark, sf):
 
 @query("P", _MASK, sql="SELECT image_id, count(*) AS n, CAST(sum(y * 8 + x) AS BIGINT) AS s FROM m a WHERE (SELECT count(*) FROM m b WHERE b.image_id = a.image_id AND abs(b.y - a.y) + abs(b.x - a.x) <= 1) = 5 GROUP BY image_id")
 def erode_mask(spark, sf):
-    return rasters.eroded(_mask(spark, sf), [(0, 1), (1, 0), (0, -1), (-1, 0)]).groupBy("image_id").agg(F.count("*").alias("n"), F.sum(F.col("y") * 8 + F.col("x")).alias("s"))
+    return _over_masks(spark, sf, lambda m: _digest(kernels.erode(m, kernels.kernel_offsets("cross", 3), outside=False)), "n long, s long")
+
 
 
 @query("P", _MASK, sql="SELECT image_id, count(*) AS n, CAST(sum(y * 8 + x) AS BIGINT) AS s FROM (SELECT DISTINCT p.image_id, p.y, p.x FROM p JOIN m ON m.image_id = p.image_id AND abs(m.y - p.y) + abs(m.x - p.x) <= 1) GROUP BY image_id")
 def dilate_mask(spark, sf):
-    return rasters.dilated(_mask(spark, sf), [(0, 1), (1, 0), (0, -1), (-1, 0)], 8, 8).groupBy("image_id").agg(F.count("*").alias("n"), F.sum(F.col("y") * 8 + F.col("x")).alias("s"))
+    return _over_masks(spark, sf, lambda m: _digest(kernels.dilate(m, kernels.kernel_offsets("cross", 3))), "n long, s long")
+
 
 
 @query("P", _MASK, "k AS (SELECT a.image_id, a.y, a.x, count(b.image_id) AS n FROM m a LEFT JOIN m b ON b.image_id = a.image_id AND abs(b.y - a.y) <= 1 AND abs(b.x - a.x) <= 1 AND (b.y, b.x) <> (a.y, a.x) GROUP BY ALL)",
        sql="SELECT image_id, count(*) FILTER (n = 1) AS endpoints, count(*) FILTER (n >= 3) AS branches, count(*) AS n FROM k GROUP BY image_id")
 def neighbour_topology(spark, sf):
-    k = rasters.neighbour_counts(_mask(spark, sf))
-    return k.groupBy("image_id").agg(F.count_if(F.col("n") == 1).alias("endpoints"), F.count_if(F.col("n") >= 3).alias("branches"), F.count("*").alias("n"))
+    return _over_masks(spark, sf, lambda m: [kernels.topology(m)], "endpoints long, branches long, n long")
+
 
 
 @query("RECURSIVE", "P", _MASK, _LABELS, sql="SELECT image_id, CAST(label AS BIGINT) AS label, count(*) AS area, min(x) AS bx, min(y) AS by_, max(x) - min(x) + 1 AS bw, max(y) - min(y) + 1 AS bh, round(avg(x), 6) AS cx, round(avg(y), 6) AS cy FROM c GROUP BY image_id, label HAVING count(*) >= 2")
@@ -279,13 +291,21 @@ def pca_orientation(spark, sf):
 
 @query("P", _MASK, sql="""SELECT a.image_id, round(1 + coalesce(sum(CASE WHEN b.image_id IS NULL THEN 0 WHEN a.y <> b.y AND a.x <> b.x THEN sqrt(2) ELSE 1 END), 0), 6) AS length FROM m a LEFT JOIN m b ON b.image_id = a.image_id AND abs(b.y - a.y) <= 1 AND abs(b.x - a.x) <= 1 AND (b.y > a.y OR b.y = a.y AND b.x > a.x) GROUP BY a.image_id""")
 def skeleton_length(spark, sf):
-    return rasters.skeleton_length(_mask(spark, sf)).select("image_id", F.round("length", 6).alias("length"))
+    return _over_masks(spark, sf, lambda m: [(round(kernels.graph_length(m), 6),)], "length double")
+
 
 
-@query("P", sql="""SELECT a.image_id, a.y, a.x, round(a.v - sum(w * b.v) / sum(w), 6) AS corrected FROM p a, (VALUES (-1), (0), (1)) d(dy), (VALUES (-1), (0), (1)) e(dx), (SELECT 0 z) zz JOIN p b ON b.image_id = a.image_id AND b.y = CASE WHEN a.y + dy < 0 THEN 1 WHEN a.y + dy > 7 THEN 6 ELSE a.y + dy END AND b.x = CASE WHEN a.x + dx < 0 THEN 1 WHEN a.x + dx > 7 THEN 6 ELSE a.x + dx END, LATERAL (SELECT CASE WHEN dy = 0 AND dx = 0 THEN 1.0::DOUBLE WHEN dy = 0 OR dx = 0 THEN 0.5 ELSE 0.25 END AS w) u GROUP BY a.image_id, a.y, a.x, a.v""")
+@query("P", sql="""SELECT a.image_id, a.y, a.x, round(CASE WHEN a.y BETWEEN 1 AND 6 AND a.x BETWEEN 1 AND 6 THEN a.v - sum(w * b.v) FILTER (b.y BETWEEN 1 AND 6 AND b.x BETWEEN 1 AND 6) / sum(w) FILTER (b.y BETWEEN 1 AND 6 AND b.x BETWEEN 1 AND 6) ELSE 0 END, 6) + 0 AS corrected FROM p a, (VALUES (-1), (0), (1)) d(dy), (VALUES (-1), (0), (1)) e(dx), (SELECT 0 z) zz JOIN p b ON b.image_id = a.image_id AND b.y = CASE WHEN a.y + dy < 0 THEN 1 WHEN a.y + dy > 7 THEN 6 ELSE a.y + dy END AND b.x = CASE WHEN a.x + dx < 0 THEN 1 WHEN a.x + dx > 7 THEN 6 ELSE a.x + dx END, LATERAL (SELECT CASE WHEN dy = 0 AND dx = 0 THEN 1.0::DOUBLE WHEN dy = 0 OR dx = 0 THEN 0.5 ELSE 0.25 END AS w) u GROUP BY a.image_id, a.y, a.x, a.v""")
 def masked_background(spark, sf):
-    p = raster_pixels(spark, sf)
-    return p.join(rasters.weighted_background(p, K3, 8, 8), rasters.KEYS).select(*rasters.KEYS, F.round(F.col("v") - F.col("b"), 6).alias("corrected"))
+    sigma = (0.5 / math.log(2)) ** 0.5  # a neighbour weighs half
+
+    def one(a):
+        mask = np.zeros(a.shape, bool)
+        mask[1:-1, 1:-1] = True
+        out = kernels.corrected(a, mask, 3, sigma)[1]
+        return [(y, x, round(float(out[y, x]), 6) + 0.0) for y, x in np.ndindex(*a.shape)]
+
+    return kernels.over_rasters(read(spark, sf, "embeddings"), "vec_id", "embedding", 8, one, "y int, x int, corrected double")
 
 
 _TAPS = ", ".join(f"({a}, {dy}, {dx}, {w}::DOUBLE)" for a, k in LINES.items() for (dy, dx), w in k.items())
@@ -294,7 +314,12 @@ _TAPS = ", ".join(f"({a}, {dy}, {dx}, {w}::DOUBLE)" for a, k in LINES.items() fo
 @query("P", f"s AS (SELECT a.image_id, a.y, a.x, k.a AS angle, abs(sum(b.v * k.w)) AS s FROM p a, (VALUES {_TAPS}) k(a, dy, dx, w), p b WHERE b.image_id = a.image_id AND b.y = a.y + k.dy AND b.x = a.x + k.dx GROUP BY ALL)",
        sql="SELECT image_id, y, x, round(s, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY image_id, y, x ORDER BY s DESC, angle) AS r FROM s WHERE s > 1e-9) WHERE r = 1")
 def argmax_direction(spark, sf):
-    return rasters.best_direction(raster_pixels(spark, sf), LINES).select(*rasters.KEYS, F.round("score", 4).alias("score"))
+    def one(a):
+        score = np.max([np.abs(sum(w * kernels.moved(a, dy, dx, 0.0) for (dy, dx), w in taps.items())) for taps in LINES.values()], axis=0)
+        return [(int(y), int(x), round(float(score[y, x]), 4)) for y, x in np.argwhere(score > 1e-9)]
+
+    return kernels.over_rasters(read(spark, sf, "embeddings"), "vec_id", "embedding", 8, one, "y int, x int, score double")
+
 
 
 @query("RECURSIVE", "P", _MASK, _LABELS, sql="SELECT image_id, CAST(label AS BIGINT) AS label, round(avg(v), 6) AS mean_v, round(max(v), 6) AS max_v, round(avg(CASE WHEN v >= t * 1.5 THEN 1.0 ELSE 0.0 END), 6) AS strong FROM c JOIN m USING (image_id, y, x) GROUP BY image_id, label")
@@ -358,11 +383,10 @@ def group_sample(spark, sf):
     return some.select("folder", "stem", F.when(F.col("rn") <= 3, "Pit").when(F.col("rn") <= 6, "Scratch").otherwise("Stain").alias("grp"))
 
 
-@query("O", sql="SELECT image_id, (dense - 1) // 4 AS cycle, (dense - 1) % 4 AS slot FROM (SELECT image_id, row_number() OVER (ORDER BY image_id) AS dense FROM (SELECT DISTINCT image_id % 500 AS image_id FROM o))")
+@query("O", sql="SELECT image_id, (dense - 1) // 4 AS cycle, (dense - 1) % 4 AS slot FROM (SELECT image_id, row_number() OVER (ORDER BY image_id) AS dense FROM (SELECT DISTINCT image_id FROM o))")
 def bag_cycles(spark, sf):
-    ids = objects(spark, sf).select((F.col("image_id") % 500).alias("image_id")).distinct()
-    n = F.row_number().over(Window.orderBy("image_id")).cast("long") - 1
-    return ids.select("image_id", F.floor(n / 4).alias("cycle"), (n % 4).alias("slot"))
+    n = F.col("rank")
+    return rasters.ranked_globally(objects(spark, sf).select("image_id").distinct(), "image_id").select("image_id", F.floor(n / 4).alias("cycle"), (n % 4).alias("slot"))
 
 
 @query("O", "N", """b AS (SELECT image_id, pos, norm, w * h AS area, greatest(0, least(x0 + w, 40) - greatest(x0, 8)) * greatest(0, least(y0 + h, 40) - greatest(y0, 8)) AS inside FROM n)""",
@@ -381,12 +405,15 @@ def whiten_blend(spark, sf):
     return raster_pixels(spark, sf).select(*rasters.KEYS, F.bround((F.col("v") * 100 + 128) * (1 - a) + 255 * a, 0).cast("int").alias("white"))
 
 
-@query("P", sql="SELECT a.image_id, a.y, a.x, round(CASE WHEN a.y BETWEEN 1 AND 6 AND a.x BETWEEN 1 AND 6 THEN b.v ELSE a.v END, 6) AS v FROM p a JOIN p b ON b.image_id = a.image_id AND b.y = (a.y + 2) % 3 AND b.x = (a.x + 2) % 3")
+@query("P", sql="SELECT p.image_id, y, x, round(CASE WHEN y BETWEEN 1 AND 6 AND x BETWEEN 1 AND 6 THEN CAST(e.embedding[((y + 2) % 3) * 8 + (x + 2) % 3 + 1] AS DOUBLE) ELSE v END, 6) AS v FROM p JOIN embeddings e ON e.vec_id = p.image_id")
 def tile_fill(spark, sf):
-    p = raster_pixels(spark, sf)
-    patch = p.where("y < 3 and x < 3").select("image_id", F.col("y").alias("py"), F.col("x").alias("px"), F.col("v").alias("pv"))
-    m = p.withColumn("py", (F.col("y") + 2) % 3).withColumn("px", (F.col("x") + 2) % 3).join(patch, ["image_id", "py", "px"])
-    return m.select(*rasters.KEYS, F.round(F.when(F.col("y").between(1, 6) & F.col("x").between(1, 6), F.col("pv")).otherwise(F.col("v")), 6).alias("v"))
+    def one(a):
+        mask = np.zeros(a.shape, bool)
+        mask[1:-1, 1:-1] = True
+        out = kernels.tiled(a, a[:3, :3], mask)
+        return [(y, x, round(float(out[y, x]), 6)) for y, x in np.ndindex(*a.shape)]
+
+    return kernels.over_rasters(read(spark, sf, "embeddings"), "vec_id", "embedding", 8, one, "y int, x int, v double")
 
 
 @query("O", "N", sql="SELECT image_id, pos, CASE WHEN norm <> 'scratch' AND x0 <= 24 AND w <= 16 THEN 'telea' WHEN norm = 'scratch' AND x0 * 4 >= 96 AND w > 5 THEN 'skeleton_patches' WHEN norm = 'scratch' AND w <= 5 THEN 'thin_scratch_donor' ELSE 'donor' END AS route FROM (SELECT * FROM n WHERE norm IN ('scratch', 'pit', 'stain'))")
@@ -402,18 +429,19 @@ def topk_donors(spark, sf):
     return rasters.ranked(s, ["image_id"], [F.col("mse"), F.col("y"), F.col("x")], 3).select("image_id", "rank", "y", "x", "mse")
 
 
-@query("T", "l AS (SELECT max(make_date(2024, CAST(split_part(b, '.', 1) AS INT), CAST(split_part(b, '.', 2) AS INT))) AS last FROM t WHERE row <= 3)",
-       sql="SELECT a, month(d) || '.' || day(d) AS b FROM l, LATERAL (SELECT CAST(unnest(generate_series(last + INTERVAL 1 DAY, last + INTERVAL 5 DAY, INTERVAL 1 DAY)) AS DATE) AS d) x, (VALUES ('first'), ('second'), ('third')) v(a)")
+@query("T", "l AS (SELECT sheet, make_date(2024, CAST(split_part(arg_max(b, row), '.', 1) AS INT), CAST(split_part(arg_max(b, row), '.', 2) AS INT)) AS last FROM t WHERE a = '1-URGENT' GROUP BY sheet)",
+       sql="SELECT sheet, a, month(d) || '.' || day(d) AS b FROM l, LATERAL (SELECT CAST(unnest(generate_series(last + INTERVAL 1 DAY, DATE '2024-12-31', INTERVAL 1 DAY)) AS DATE) AS d) x, (VALUES ('first'), ('second'), ('third')) v(a)")
 def schedule_gapfill(spark, sf):
-    last = schedule(spark, sf).where("row <= 3").agg(F.max(t.schedule_date(F.col("b"), 2024)).alias("last"))
-    days = last.select(F.explode(F.sequence(F.date_add("last", 1), F.date_add("last", 5))).alias("d"))
-    rows = days.select("d", F.explode(F.array(F.lit("first"), F.lit("second"), F.lit("third"))).alias("a"))
-    return rows.select("a", F.concat(F.month("d"), F.lit("."), F.dayofmonth("d")).alias("b"))
+    last = schedule(spark, sf).where("a = '1-URGENT'").groupBy("sheet").agg(t.schedule_date(F.max_by("b", "row"), 2024).alias("last"))
+    today = F.make_date(F.lit(2024), F.lit(12), F.lit(31))
+    days = last.where(F.col("last") < today).select("sheet", F.explode(F.sequence(F.date_add("last", 1), today)).alias("d"))
+    rows = days.select("sheet", "d", F.explode(F.array(F.lit("first"), F.lit("second"), F.lit("third"))).alias("a"))
+    return rows.select("sheet", "a", F.concat(F.month("d"), F.lit("."), F.dayofmonth("d")).alias("b"))
 
 
-@query("T", sql="SELECT CAST(row AS INT) AS row, CASE WHEN trim(coalesce(a, '')) = '' THEN NULL WHEN trim(coalesce(d, '')) = '' AND d_fill IS DISTINCT FROM 255 THEN 'fill' WHEN trim(coalesce(d, '')) <> '' AND d_fill = 255 THEN 'clear' END AS action FROM t")
+@query("T", sql="SELECT sheet, CAST(row AS INT) AS row, CASE WHEN trim(coalesce(a, '')) = '' THEN NULL WHEN trim(coalesce(d, '')) = '' AND d_fill IS DISTINCT FROM 255 THEN 'fill' WHEN trim(coalesce(d, '')) <> '' AND d_fill = 255 THEN 'clear' END AS action FROM t")
 def schedule_status(spark, sf):
-    return schedule(spark, sf).select("row", t.status_action(F.col("a"), F.col("d"), F.col("d_fill")).alias("action"))
+    return schedule(spark, sf).select("sheet", "row", t.status_action(F.col("a"), F.col("d"), F.col("d_fill")).alias("action"))
 
 
 @query(sql="SELECT doc_id, lang || chr(9) || replace(replace(replace(text, chr(9), '\\t'), chr(13), '\\r'), chr(10), '\\n') AS line FROM documents")
@@ -427,10 +455,15 @@ def feature_csv_row(spark, sf):
     return _labelled(spark, sf).groupBy("image_id", "label").agg(F.array_join(F.transform(pts, lambda p: F.concat(p["x"], F.lit(":"), p["y"])), ";").alias("coordinates"))
 
 
-@query("P", sql="SELECT image_id, round(sum((x - 3.5::DOUBLE) * v) / 336, 6) + 0 AS bx, round(sum((y - 3.5::DOUBLE) * v) / 336, 6) + 0 AS by_, round(avg(v), 6) AS mean_v FROM p GROUP BY image_id")
+@query("P", sql="SELECT image_id, round(regr_slope(v, x), 6) + 0 AS bx, round(regr_slope(v, y), 6) + 0 AS by_, round(avg(v), 6) AS mean_v FROM p WHERE x IN (0, 7) OR y IN (0, 7) GROUP BY image_id")
 def plane_fit(spark, sf):
-    slope = lambda c: F.round(F.sum((F.col(c) - 3.5) * F.col("v")) / 336, 6) + F.lit(0.0)  # noqa: E731  normal equations on a full 8 x 8 grid
-    return raster_pixels(spark, sf).groupBy("image_id").agg(slope("x").alias("bx"), slope("y").alias("by_"), F.round(F.avg("v"), 6).alias("mean_v"))
+    def one(a):
+        ring = np.ones(a.shape, bool)
+        ring[1:-1, 1:-1] = False
+        bx, by, c = kernels.plane(a, ring)
+        return [(round(bx, 6) + 0.0, round(by, 6) + 0.0, round(c + bx * 3.5 + by * 3.5, 6))]
+
+    return kernels.over_rasters(read(spark, sf, "embeddings"), "vec_id", "embedding", 8, one, "bx double, by_ double, mean_v double")
 
 
 @query()

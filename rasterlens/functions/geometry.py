@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -63,11 +63,11 @@ def candidate(length: Column, aspect: Column, linearity: Column, enabled: bool =
     reason = (
         F.when(length < least, "path_length_below_minimum")
         .when(length >= long, "long_candidate_passed")
-        .when(aspect < least_aspect, "short_aspect_below_minimum")
-        .when(linearity < least_linearity, "short_linearity_below_minimum")
+        .when(aspect < least_aspect, "short_longest_path_aspect_ratio_too_low")
+        .when(linearity < least_linearity, "short_linearity_too_low")
         .otherwise("short_candidate_passed")
     )
-    return {"kept": reason.endswith("passed"), "length_group": F.when(length < least, "rejected").otherwise(group), "reason": reason}
+    return {"kept": reason.endswith("passed"), "length_group": F.when(length < least, "below_minimum").otherwise(group), "reason": reason}
 
 
 def repair_route(category: Column, side: Column, thickness: Column) -> Column:
@@ -78,3 +78,74 @@ def repair_route(category: Column, side: Column, thickness: Column) -> Column:
         .when((category == "scratch") & (thickness <= 5), "thin_scratch_donor")
         .otherwise("donor")
     )
+
+
+def numbered(rows: DataFrame, folder: str, order: list, start: int = 1, digits: int = 3) -> DataFrame:
+    """``number`` (zero-padded, by ``order`` within a folder) and ``valid``: whether it fits the digits.
+
+    ``digits`` is 1 to 3 and ``start`` at least 1; a number above 999 is null and not valid.
+    """
+    if not 1 <= digits <= 3 or start < 1:
+        raise ValueError("digits lie in 1..3 and start is positive")
+    n = F.row_number().over(Window.partitionBy(folder).orderBy(*order)) + (start - 1)
+    return rows.withColumn("n_", n).withColumn("valid", F.col("n_") <= 999).withColumn("number", F.when(F.col("valid"), F.format_string(f"%0{digits}d", "n_"))).drop("n_")
+
+
+def expanded_box(x: Column, y: Column, w: Column, h: Column, margin: int, width: int, height: int) -> dict[str, Column]:
+    """A box grown by ``margin`` and cut at the image: ``left, top, right, bottom`` (ends excluded)."""
+    return {
+        "left": F.greatest(x - margin, F.lit(0)), "top": F.greatest(y - margin, F.lit(0)),
+        "right": F.least(x + w + margin, F.lit(width)), "bottom": F.least(y + h + margin, F.lit(height)),
+    }
+
+
+def shifted_overlap(size: int, move: Column) -> tuple[Column, Column, Column]:
+    """Start in the source, start in the target and length of a side moved by ``move``; null where nothing is left."""
+    n = F.lit(size) - F.abs(move)
+    return F.greatest(-move, F.lit(0)), F.greatest(move, F.lit(0)), F.when(n > 0, n)
+
+
+def points(segmentation: Column, lenient: bool = True) -> Column:
+    """Points of an ``array<array<string>>``: pairs of numbers.
+
+    Lenient: what is no number is skipped. Strict: it is an error. Fewer than three points
+    are none at all.
+    """
+    whole = F.filter(segmentation, lambda p: F.coalesce(F.size(p) >= 2, F.lit(False)))
+    as_number = (lambda c: c.try_cast("double")) if lenient else (lambda c: c.cast("double"))
+    found = F.transform(whole, lambda p: F.struct(as_number(p[0]).alias("x"), as_number(p[1]).alias("y")))
+    found = F.filter(found, lambda p: p["x"].isNotNull() & p["y"].isNotNull()) if lenient else found
+    return F.when(F.size(found) >= 3, found).otherwise(F.slice(found, 1, 0))
+
+
+def translated(points_: Column, dx: Column, dy: Column) -> Column:
+    """All points moved; fewer than three points give null."""
+    return F.when(F.size(points_) >= 3, F.transform(points_, lambda p: F.struct((p["x"] + dx).alias("x"), (p["y"] + dy).alias("y"))))
+
+
+def clipped_polygon(points_: Column, w: int, h: int) -> Column:
+    """A polygon within 0..w-1, 0..h-1 (Sutherland and Hodgman): one pass of array functions a side."""
+    for axis, bound, sign in (("x", 0.0, 1), ("x", w - 1.0, -1), ("y", 0.0, 1), ("y", h - 1.0, -1)):
+        inside = lambda p, a=axis, b=bound, s=sign: s * (p[a] - b) >= 0
+
+        def side(p, i, pts, a=axis, b=bound, inside=inside):
+            q = F.get(pts, F.pmod(i + 1, F.size(pts)))
+            r = F.when(q[a] != p[a], (F.lit(b) - p[a]) / (q[a] - p[a])).otherwise(F.lit(0.0))
+            cut = F.struct((p["x"] + r * (q["x"] - p["x"])).alias("x"), (p["y"] + r * (q["y"] - p["y"])).alias("y"))
+            none = F.slice(F.array(p), 1, 0)
+            return F.concat(F.when(inside(p), F.array(p)).otherwise(none), F.when(inside(p) != inside(q), F.array(cut)).otherwise(none))
+
+        now = points_
+        points_ = F.flatten(F.transform(now, lambda p, i, now=now, side=side: side(p, i, now)))
+    return points_
+
+
+def turned(points_: Column, angle: Column, flip: Column, w: int, h: int) -> Column:
+    """A polygon after rotation, flip and clipping; null with fewer than three points before or after."""
+
+    def one(p: Column) -> Column:
+        x, y = flipped(*rotated(p["x"], p["y"], angle, F.lit(w), F.lit(h)), flip, F.lit(w), F.lit(h))
+        return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+
+    out = clipped_polygon(F.transform(points_, one), w, h)
+    return F.when((F.size(points_) >= 3) & (F.size(out) >= 3), out)

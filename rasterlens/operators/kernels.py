@@ -127,7 +127,20 @@ def gabor(a: np.ndarray, mask: np.ndarray, angles: int = 12, size: int = 31, sig
 
 
 def frangi(a: np.ndarray, mask: np.ndarray, sigmas: tuple[float, ...] = (2.0, 2.5), beta: float = 0.2, gamma: float | None = None, dark: bool = True, bright: bool = True) -> np.ndarray:
-    """Multi-scale ridge filter on Hessian eigenvalues (Frangi et al. 1998)."""
+    """Multi-scale ridge filter on Hessian eigenvalues (Frangi et al. 1998).
+
+    It looks at the mask's bounding box with a margin of ``ceil(4 * max(sigmas))`` pixels; without
+    a ``gamma`` the scale is half the greatest Hessian norm there.
+    """
+    box = bounds(mask)
+    if box is None:
+        return np.zeros(a.shape)
+    margin = math.ceil(4 * max(sigmas))
+    y0, x0, y1, x1 = max(0, box[0] - margin), max(0, box[1] - margin), box[2] + margin, box[3] + margin
+    if (y0, x0) != (0, 0) or y1 < a.shape[0] or x1 < a.shape[1]:
+        whole = np.zeros(a.shape)
+        whole[y0:y1, x0:x1] = frangi(a[y0:y1, x0:x1], mask[y0:y1, x0:x1], sigmas, beta, gamma, dark, bright)
+        return whole
     out = np.zeros(a.shape)
     for s in sigmas:
         g = blur(a, 2 * int(math.ceil(4 * s)) + 1, s)
@@ -150,6 +163,12 @@ def frangi(a: np.ndarray, mask: np.ndarray, sigmas: tuple[float, ...] = (2.0, 2.
     return out * mask
 
 
+def bounds(mask: np.ndarray) -> tuple[int, int, int, int] | None:
+    """``y0, x0, y1, x1`` (ends excluded) of the set pixels; None where there are none."""
+    ys, xs = np.flatnonzero(mask.any(1)), np.flatnonzero(mask.any(0))
+    return (int(ys[0]), int(xs[0]), int(ys[-1]) + 1, int(xs[-1]) + 1) if len(ys) else None
+
+
 def components(mask: np.ndarray, connectivity: int = 8) -> np.ndarray:
     """Least row-major index of each pixel's component, -1 outside."""
     h, w = mask.shape
@@ -199,6 +218,33 @@ def skeleton(mask: np.ndarray) -> np.ndarray:
             return img[1:-1, 1:-1].astype(bool)
 
 
+def thinned(mask: np.ndarray) -> np.ndarray:
+    """Thinning by border direction, pixel by pixel, in the manner of Lee, Kashyap and Chu (1994) in the plane.
+
+    A border pixel goes if it is simple (its 8-neighbours stay one piece) and not an end.
+    """
+    img = np.pad(mask.astype(bool), 1)
+    ring = [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]
+
+    def simple(y: int, x: int) -> bool:
+        p = [bool(img[y + dy, x + dx]) for dy, dx in ring]
+        if sum(p) < 2:
+            return False
+        pieces = sum(1 for i in (0, 2, 4, 6) if not p[i] and (p[(i + 1) % 8] or p[(i + 2) % 8]))
+        return pieces == 1
+
+    changed = True
+    while changed:
+        changed = False
+        for dy, dx in ((-1, 0), (1, 0), (0, 1), (0, -1)):
+            border = img & ~moved(img, dy, dx, False)
+            for y, x in np.argwhere(border).tolist():
+                if simple(y, x):
+                    img[y, x] = False
+                    changed = True
+    return img[1:-1, 1:-1]
+
+
 def morphological_skeleton(mask: np.ndarray) -> np.ndarray:
     """Union of what each opening by a cross takes away; may be disconnected."""
     cross, out = kernel_offsets("cross", 3), np.zeros(mask.shape, bool)
@@ -209,27 +255,64 @@ def morphological_skeleton(mask: np.ndarray) -> np.ndarray:
     return out
 
 
+def _to_unset(mask: np.ndarray) -> np.ndarray:
+    """Distance to the nearest unset pixel of the same column, infinite where there is none."""
+    out = np.full(mask.shape, np.inf)
+    for rows in (range(mask.shape[0]), range(mask.shape[0])[::-1]):
+        run = np.full(mask.shape[1], np.inf)
+        for y in rows:
+            run = np.where(mask[y], run + 1, 0.0)
+            out[y] = np.minimum(out[y], run)
+    return out
+
+
 def distance(mask: np.ndarray) -> np.ndarray:
-    """Exact Euclidean distance to the nearest unset pixel (Felzenszwalb and Huttenlocher)."""
-    far = float(mask.size * 4 + 1) ** 2
-    d = np.where(mask, far, 0.0)
-    for axis in (0, 1):
-        n = d.shape[axis]
-        gap = (np.arange(n)[:, None] - np.arange(n)[None, :]).astype(float) ** 2
-        d = np.moveaxis(np.min(np.moveaxis(d, axis, -1)[..., None, :] + gap, -1), -1, axis)
-    return np.sqrt(np.minimum(d, far))
+    """Exact Euclidean distance to the nearest unset pixel (Felzenszwalb and Huttenlocher 2012).
+
+    Columns by two sweeps, then the lower envelope of each row's parabolas, all rows at once:
+    memory is a few numbers a pixel. A mask without unset pixels is far from all of them.
+    """
+    h, w = mask.shape
+    far = float(mask.size * 4 + 1)
+    if not h or not w:
+        return np.zeros(mask.shape)
+    f = np.minimum(_to_unset(mask), far) ** 2
+    rows = np.arange(h)
+    vertex, edge, top = np.zeros((h, w), np.int64), np.full((h, w + 1), np.inf), np.zeros(h, np.int64)
+    edge[:, 0] = -np.inf
+    for q in range(1, w):
+        live = rows
+        cut = np.empty(h)
+        while len(live):
+            v = vertex[live, top[live]]
+            cut[live] = (f[live, q] + q * q - f[live, v] - v * v) / (2.0 * (q - v))
+            live = live[cut[live] <= edge[live, top[live]]]
+            top[live] -= 1
+        top += 1
+        vertex[rows, top], edge[rows, top], edge[rows, top + 1] = q, cut, np.inf
+    out, at = np.empty((h, w)), np.zeros(h, np.int64)
+    for x in range(w):
+        live = rows
+        while len(live):
+            live = live[edge[live, at[live] + 1] < x]
+            at[live] += 1
+        v = vertex[rows, at]
+        out[:, x] = (x - v) ** 2 + f[rows, v]
+    return np.sqrt(np.minimum(out, far * far))
 
 
 def chamfer(mask: np.ndarray, a: float = 1.0, b: float = 1.4, c: float = 2.1969) -> np.ndarray:
-    """Two-pass 5 x 5 chamfer distance (Borgefors 1986)."""
+    """Two-pass 5 x 5 chamfer distance (Borgefors 1986), a row at a time."""
     h, w = mask.shape
     d = np.pad(np.where(mask, np.inf, 0.0), 2, constant_values=np.inf)
-    fore = [(-1, 0, a), (0, -1, a), (-1, -1, b), (-1, 1, b), (-2, -1, c), (-2, 1, c), (-1, -2, c), (-1, 2, c)]
-    for sign in (1, -1):
-        for y in range(h)[::sign]:
-            for x in range(w)[::sign]:
-                for dy, dx, v in fore:
-                    d[y + 2, x + 2] = min(d[y + 2, x + 2], d[y + 2 + sign * dy, x + 2 + sign * dx] + v)
+    above = [(-1, 0, a), (-1, -1, b), (-1, 1, b), (-2, -1, c), (-2, 1, c), (-1, -2, c), (-1, 2, c)]
+    along = a * np.arange(w)
+    for turned in (d, d[::-1, ::-1]):
+        for y in range(2, h + 2):
+            row = turned[y, 2 : w + 2]
+            for dy, dx, v in above:
+                row = np.minimum(row, turned[y + dy, 2 + dx : w + 2 + dx] + v)
+            turned[y, 2 : w + 2] = np.minimum.accumulate(row - along) + along
     return d[2:-2, 2:-2]
 
 
@@ -375,3 +458,39 @@ def hysteresis_counts(vectors: DataFrame, id_col: str, values: str, width: int,
         return [(len(at), int((at * at).sum()))] if len(at) else []
 
     return over_rasters(vectors, id_col, values, width, one, "kept long, sum_sq long")
+
+
+def topology(skel: np.ndarray) -> tuple[int, int, int]:
+    """Pixels with one neighbour, with three or more, and all."""
+    near = sum(moved(skel.astype(int), dy, dx) for dy, dx in EIGHT)
+    return int((skel & (near == 1)).sum()), int((skel & (near >= 3)).sum()), int(skel.sum())
+
+
+def graph_length(skel: np.ndarray) -> float:
+    """One more than the lengths of all links between neighbouring pixels; 0 without pixels."""
+    if not skel.any():
+        return 0.0
+    straight = sum(int((skel & moved(skel, dy, dx, False)).sum()) for dy, dx in ((0, 1), (1, 0)))
+    slant = sum(int((skel & moved(skel, 1, dx, False)).sum()) for dx in (-1, 1))
+    return 1 + straight + slant * math.sqrt(2)
+
+
+def plane(values: np.ndarray, where: np.ndarray, most: int = 5000) -> tuple[float, ...] | np.ndarray:
+    """Least-squares ``x, y, 1`` coefficients over the set pixels, at most ``most`` evenly spaced ones."""
+    ys, xs = np.nonzero(where)
+    if len(xs) > most:
+        some = np.linspace(0, len(xs) - 1, most).astype(int)
+        ys, xs = ys[some], xs[some]
+    if not len(xs):
+        return np.zeros((3, *values.shape[2:]))
+    return np.linalg.lstsq(np.column_stack([xs, ys, np.ones(len(xs))]), values[ys, xs].astype(float), rcond=None)[0]
+
+
+def tiled(image: np.ndarray, patch: np.ndarray, mask: np.ndarray, keep: np.ndarray | None = None) -> np.ndarray:
+    """``image`` with ``patch`` repeated inside ``mask`` from its corner; pixels of ``keep`` stay as they were."""
+    out, box = image.copy(), bounds(mask)
+    if box is None:
+        return out
+    ys, xs = np.nonzero(mask if keep is None else mask & ~keep)
+    out[ys, xs] = patch[(ys - box[0]) % patch.shape[0], (xs - box[1]) % patch.shape[1]]
+    return out

@@ -103,3 +103,18 @@ def component_labels(mask: DataFrame, rounds: int = 64) -> DataFrame:
 
 def ranked(rows: DataFrame, by: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:
     return rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(name) <= k)
+
+
+def ranked_globally(rows: DataFrame, key: str, bins: int = 4096) -> DataFrame:
+    """``key, rank`` (from 0) of distinct whole numbers, without one window over all rows.
+
+    Rows are counted by equal spans of the key; ranks are taken inside a span and moved by
+    the counts before it, of which there are at most ``bins``.
+    """
+    ends = rows.agg(F.min(key).alias("lo"), F.max(key).alias("hi"))
+    ends = ends.select("lo", F.ceil((F.col("hi") - F.col("lo") + 1) / F.lit(bins)).alias("span"))
+    filed = rows.select(key).join(F.broadcast(ends)).withColumn("bin", F.floor((F.col(key) - F.col("lo")) / F.col("span")))
+    counts = filed.groupBy("bin").agg(F.count("*").alias("n"))
+    before = counts.select(F.col("bin").alias("b"), (F.sum("n").over(Window.orderBy("bin")) - F.col("n")).alias("before"))
+    inside = filed.withColumn("at", F.row_number().over(Window.partitionBy("bin").orderBy(key)) - 1)
+    return inside.join(F.broadcast(before), F.col("bin") == F.col("b")).select(key, (F.col("before") + F.col("at")).alias("rank"))

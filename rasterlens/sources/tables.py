@@ -17,7 +17,7 @@ def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One annotation object a (order, line): category and box on a 64 x 64 canvas."""
     rows = read(spark, sf_dir, "lineitem")
     rest = ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate"]
-    one = rows.withColumn("rn", F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*rest))).where("rn = 1")
+    one = rows.groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct(*rest)).alias("r")).select("l_orderkey", "l_linenumber", "r.*")
     return one.select(
         F.col("l_orderkey").alias("image_id"),
         F.col("l_linenumber").alias("pos"),
@@ -49,9 +49,10 @@ def endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = read(spark, sf_dir, "orders").where("o_orderkey < 400")
-    w = Window.orderBy("o_orderkey", "o_custkey", "o_totalprice")  # a sheet is one small file
-    return o.select(
+    """Rows of schedule sheets, one sheet for each month of orders."""
+    w = Window.partitionBy("sheet").orderBy("o_orderkey", "o_custkey", "o_totalprice")
+    return read(spark, sf_dir, "orders").withColumn("sheet", F.date_format("o_orderdate", "yyyy-MM")).select(
+        "sheet",
         F.row_number().over(w).alias("row"),
         F.when(F.col("o_orderpriority").startswith("4"), F.lit("  ")).otherwise(F.col("o_orderpriority")).alias("a"),
         F.concat(F.month("o_orderdate"), F.lit("."), F.dayofmonth("o_orderdate")).alias("b"),
@@ -71,7 +72,7 @@ SQL = {
     "F": """f AS (SELECT doc_id, source AS folder, 'IMG_' || doc_id AS stem, CASE lang WHEN 'en' THEN '.png' WHEN 'fr' THEN '.JPG' WHEN 'de' THEN '.bmp' ELSE '.webp' END AS suffix, n_chars AS mtime FROM documents)""",
     "E": """e AS (SELECT p_partkey AS id, p_partkey % 5 AS image_id, p_partkey // 2 AS component_id, p_partkey % 977 AS x, (p_partkey * 31) % 883 AS y,
   cos(radians((p_partkey * 37) % 180)) AS tx, sin(radians((p_partkey * 37) % 180)) AS ty FROM part)""",
-    "T": """t AS (SELECT row_number() OVER (ORDER BY o_orderkey, o_custkey, o_totalprice) AS row, CASE WHEN o_orderpriority LIKE '4%' THEN '  ' ELSE o_orderpriority END AS a,
-  month(o_orderdate) || '.' || day(o_orderdate) AS b, CASE WHEN o_orderstatus = 'P' THEN '  ' WHEN o_orderstatus <> 'O' THEN 'done' END AS d, CASE WHEN o_custkey % 2 = 0 THEN 255 END AS d_fill FROM orders WHERE o_orderkey < 400)""",
+    "T": """t AS (SELECT strftime(o_orderdate, '%Y-%m') AS sheet, row_number() OVER (PARTITION BY strftime(o_orderdate, '%Y-%m') ORDER BY o_orderkey, o_custkey, o_totalprice) AS row, CASE WHEN o_orderpriority LIKE '4%' THEN '  ' ELSE o_orderpriority END AS a,
+  month(o_orderdate) || '.' || day(o_orderdate) AS b, CASE WHEN o_orderstatus = 'P' THEN '  ' WHEN o_orderstatus <> 'O' THEN 'done' END AS d, CASE WHEN o_custkey % 2 = 0 THEN 255 END AS d_fill FROM orders)""",
     "N": """n AS (SELECT *, array_to_string(list_filter(string_split(replace(lower(trim(category)), ' ', '_'), '_'), lambda q: q <> ''), '_') AS norm FROM o)""",
 }
