@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rasterlens.functions import geometry as g
 from rasterlens.functions import text as t
-from rasterlens.operators import kernels, linking, rasters
+from rasterlens.operators import kernels, linking, pictures, rasters, segments
 from rasterlens.sources.tables import SQL, endpoints, files, objects, raster_pixels, read, schedule
 
 QUERIES: dict = {}
@@ -284,9 +284,9 @@ def component_stats(spark, sf):
 
 @query("RECURSIVE", "P", _MASK, _LABELS, """a AS (SELECT image_id, label, count(*) AS n, var_pop(x) AS cxx, var_pop(y) AS cyy, covar_pop(x, y) AS cxy FROM c GROUP BY image_id, label),
 d AS (SELECT *, sqrt((cxx - cyy) * (cxx - cyy) + 4 * cxy * cxy) AS root FROM a)""",
-       sql="SELECT image_id, CAST(label AS BIGINT) AS label, n, CASE WHEN n < 2 OR (cxx + cyy + root) / 2 <= 1e-12 THEN 0 ELSE round(greatest(least(root / ((cxx + cyy + root) / 2), 1), 0), 6) END AS linearity FROM d")
+       sql="SELECT image_id, CAST(label AS BIGINT) AS label, n, CASE WHEN n < 2 OR (cxx + cyy + root) / 2 <= 1e-12 THEN 0 ELSE round(greatest(least(root / ((cxx + cyy + root) / 2), 1), 0) + 1e-9, 6) END AS linearity FROM d")
 def pca_orientation(spark, sf):
-    return rasters.principal_axis(_labelled(spark, sf), ["image_id", "label"]).select("image_id", "label", "n", F.round("linearity", 6).alias("linearity"))
+    return rasters.principal_axis(_labelled(spark, sf), ["image_id", "label"]).select("image_id", "label", "n", F.round(F.col("linearity") + 1e-9, 6).alias("linearity"))
 
 
 @query("P", _MASK, sql="""SELECT a.image_id, round(1 + coalesce(sum(CASE WHEN b.image_id IS NULL THEN 0 WHEN a.y <> b.y AND a.x <> b.x THEN sqrt(2) ELSE 1 END), 0), 6) AS length FROM m a LEFT JOIN m b ON b.image_id = a.image_id AND abs(b.y - a.y) <= 1 AND abs(b.x - a.x) <= 1 AND (b.y > a.y OR b.y = a.y AND b.x > a.x) GROUP BY a.image_id""")
@@ -471,3 +471,140 @@ def detection_pipeline(spark, sf):
     from rasterlens.plans.detection import detect_vectors
 
     return detect_vectors(read(spark, sf, "embeddings"), "vec_id", "embedding", 8)
+
+
+_ALL = "round(gap / 20 + turn / 60 + greatest(ca, cb) / 75 + offset_px / 15 + 1 - share, 6)"
+
+
+@query("E", _PAIRS, _LINKS.split(",\ns AS")[0], """q AS (SELECT image_id, a_id, b_id, greatest(CAST(ceil(gap) AS INT) + 1, 2) AS n, ax, ay, bx, by_ FROM g),
+z AS (SELECT a_id, b_id, list_sort(list_distinct(list_transform(range(0, n), lambda i: {'x': CAST(round_even(ax + (bx - ax) * i / (n - 1.0::DOUBLE), 0) AS BIGINT), 'y': CAST(round_even(ay + (by_ - ay) * i / (n - 1.0::DOUBLE), 0) AS BIGINT)}))) AS pts FROM q),
+i AS (SELECT a_id, b_id, CASE WHEN len(pts) > 2 THEN pts[2:-2] ELSE pts END AS pts FROM z),
+r AS (SELECT a_id, b_id, bool_and((t.p.x + t.p.y) % 97 <> 0) AS inside, avg(CASE WHEN (t.p.x * 13 + t.p.y * 7) % 10 >= 5 THEN 1.0::DOUBLE ELSE 0 END) AS share FROM (SELECT a_id, b_id, unnest(pts) AS p FROM i) t GROUP BY a_id, b_id)""",
+       sql=f"SELECT image_id, k.a_id, k.b_id, round(share, 6) AS share, {_ALL} AS score FROM k JOIN r ON k.a_id = r.a_id AND k.b_id = r.b_id WHERE turn <= 60 AND ca <= 75 AND cb <= 75 AND offset_px <= 15 AND inside AND share >= 0.25")
+def link_proposals(spark, sf):
+    """All rules of a link: geometry, containment in a mask, and the response along the gap."""
+    pairs = linking.grid_pairs(endpoints(spark, sf), 20.0)
+    pts = linking.gap_points(pairs)
+    inside = F.forall("pts", lambda p: (p["x"] + p["y"]) % 97 != 0)
+    strong = F.filter("pts", lambda p: (p["x"] * 13 + p["y"] * 7) % 10 >= 5)
+    gaps = pts.select("a", "b", "gap", inside.alias("inside"), (F.size(strong) / F.size("pts")).alias("share"))
+    return linking.scores(gaps, 20.0, response=0.25).select("image_id", "a_id", "b_id", F.round("share", 6).alias("share"), "score")
+
+
+@query("P", _MASK, sql="SELECT image_id, round(sum(d), 6) AS total, round(max(d), 6) AS most FROM (SELECT m.image_id, m.y, m.x, sqrt(min((m.y - p.y) * (m.y - p.y) + (m.x - p.x) * (m.x - p.x))) AS d FROM m JOIN p ON p.image_id = m.image_id AND p.v < m.t GROUP BY ALL) GROUP BY image_id")
+def mask_distances(spark, sf):
+    def one(m):
+        d = kernels.distance(m)[m]
+        return [(round(float(d.sum()), 6), round(float(d.max()), 6))]
+
+    return _over_masks(spark, sf, one, "total double, most double")
+
+
+@query("O", sql="SELECT image_id, pos, greatest(x0 - 8, 0) AS \"left\", greatest(y0 - 8, 0) AS top, least(x0 + w + 8, 64) AS \"right\", least(y0 + h + 8, 64) AS bottom FROM o")
+def expanded_boxes(spark, sf):
+    box = g.expanded_box(F.col("x0"), F.col("y0"), F.col("w"), F.col("h"), 8, 64, 64)
+    return objects(spark, sf).select("image_id", "pos", *(c.alias(n) for n, c in box.items()))
+
+
+@query("O", sql="SELECT image_id, pos, greatest(y0 - x0, 0) AS source, greatest(x0 - y0, 0) AS target, CASE WHEN 40 - abs(x0 - y0) > 0 THEN 40 - abs(x0 - y0) END AS length FROM o")
+def shifted_overlaps(spark, sf):
+    source, target, length = g.shifted_overlap(40, F.col("x0") - F.col("y0"))
+    return objects(spark, sf).select("image_id", "pos", source.alias("source"), target.alias("target"), length.alias("length"))
+
+
+@query("O", "N", sql="SELECT image_id, pos, CASE norm WHEN 'scratch' THEN 'Scratch' WHEN 'pit' THEN 'Pit' WHEN 'stain' THEN 'Stain' END AS shown, norm = 'pit' AS outlined, concat_ws('_', norm, nullif(CASE WHEN pos % 2 = 0 THEN '' ELSE 'v' || pos END, '')) AS stem FROM n")
+def category_names(spark, sf):
+    text = F.when(F.col("pos") % 2 == 0, "").otherwise(F.concat(F.lit("v"), F.col("pos")))
+    return _normal(spark, sf).select("image_id", "pos", t.display_category(F.col("norm")).alias("shown"), t.flag_of(F.col("norm"), {"pit": True, "stain": False}).alias("outlined"), t.output_stem(F.col("norm"), text).alias("stem"))
+
+
+@query("O", "N", sql="SELECT count(*) FILTER (n > 0) AS processed, count(*) FILTER (n = 0) AS skipped FROM (SELECT image_id, count(*) FILTER (norm IN ('scratch', 'pit', 'stain')) AS n FROM n GROUP BY image_id)")
+def skipped_images(spark, sf):
+    n = _normal(spark, sf).groupBy("image_id").agg(F.count_if(F.col("norm").isin("scratch", "pit", "stain")).alias("n"))
+    return n.agg(F.count_if(F.col("n") > 0).alias("processed"), F.count_if(F.col("n") == 0).alias("skipped"))
+
+
+@query("O", sql="SELECT image_id, pos, round(x0 + w / 2.0 + dx, 6) AS cx, round(y0 + h / 2.0 - dx, 6) AS cy FROM (SELECT *, pos * 3 AS dx FROM o)")
+def translated_objects(spark, sf):
+    """Every point of an object moved; the mean of its corners tells the result."""
+    at = lambda x, y: F.struct((F.col("x0") + x).cast("double").alias("x"), (F.col("y0") + y).cast("double").alias("y"))
+    corners = F.array(at(0, 0), at(F.col("w"), 0), at(F.col("w"), F.col("h")), at(0, F.col("h")))
+    rows = objects(spark, sf).select("image_id", "pos", g.translated(corners, F.col("pos") * 3, F.col("pos") * -3).alias("p"))
+    mean = lambda c: F.round(F.aggregate("p", F.lit(0.0), lambda s, p: s + p[c]) / 4, 6)
+    return rows.select("image_id", "pos", mean("x").alias("cx"), mean("y").alias("cy"))
+
+
+@query("E", sql="SELECT image_id, CAST(r AS INT) AS rank, id FROM (SELECT image_id, id, row_number() OVER (PARTITION BY image_id ORDER BY (x - 400) * (x - 400) + (y - 400) * (y - 400), id) AS r FROM e) WHERE r <= 12")
+def nearest_points(spark, sf):
+    far = (F.col("x") - 400) * (F.col("x") - 400) + (F.col("y") - 400) * (F.col("y") - 400)
+    return rasters.ranked(endpoints(spark, sf), ["image_id"], [far, F.col("id")], 12).select("image_id", "rank", "id")
+
+
+@query("P", sql="SELECT image_id, y, x, CASE WHEN hi > lo THEN CAST(trunc(greatest(0.0, least(255.0, (v - lo) * 255 / (hi - lo)))) AS INT) ELSE 0 END AS shown FROM p JOIN (SELECT image_id, quantile_cont(v, 0.25) AS lo, quantile_cont(v, 0.75) AS hi FROM p GROUP BY image_id) USING (image_id)")
+def stretched_preview(spark, sf):
+    def one(a):
+        out = pictures.stretched(a, np.ones(a.shape, bool), 25, 75)
+        return [(y, x, int(out[y, x])) for y, x in np.ndindex(*a.shape)]
+
+    return kernels.over_rasters(read(spark, sf, "embeddings"), "vec_id", "embedding", 8, one, "y int, x int, shown int")
+
+
+@query()
+def ridge_responses(spark, sf):
+    """Greatest Gabor and Frangi responses of every raster, and the direction of the first."""
+
+    def one(a):
+        mask = np.ones(a.shape, bool)
+        best, at = kernels.gabor(a, mask, size=7)
+        ridge = kernels.frangi(a, mask, (1.0, 1.5))
+        y, x = np.unravel_index(int(np.argmax(best)), a.shape)
+        return [(float(best.max()), float(at[y, x]), float(ridge.max()), int((ridge > 0).sum()))]
+
+    return kernels.over_rasters(read(spark, sf, "embeddings"), "vec_id", "embedding", 8, one, "gabor double, angle double, frangi double, ridge_pixels int")
+
+
+@query()
+def skeleton_kinds(spark, sf):
+    """Pixels of the three skeletons of a mask, its longest path, width and least rectangle."""
+
+    def one(m):
+        zhang, lee, cross = kernels.skeleton(m), kernels.thinned(m), kernels.morphological_skeleton(m)
+        ys, xs = np.nonzero(m)
+        return [(int(zhang.sum()), int(lee.sum()), int(cross.sum()), kernels.longest_path(zhang)[0], pictures.skeleton_width(m, cross), *kernels.min_area_rectangle(np.column_stack([xs, ys])))]
+
+    return _over_masks(spark, sf, one, "zhang int, lee int, cross_ int, path double, width double, longer double, shorter double, ratio double")
+
+
+@query()
+def mask_regions(spark, sf):
+    """Regions of a mask with their holes filled, and the greatest rectangle inside the mask."""
+
+    def one(m):
+        y, x, h, w = kernels.largest_rectangle(m)
+        return [(r["y"], r["x"], int(r["mask"].sum()), r["thickness"], h * w) for r in pictures.regions({"mask": m})]
+
+    return _over_masks(spark, sf, one, "y int, x int, area int, thickness double, rectangle int")
+
+
+@query()
+def linked_skeletons(spark, sf):
+    """Skeletons of masks with their gaps linked: pixels before and after, ends and links."""
+
+    def one(a):
+        skel = kernels.skeleton(a >= np.percentile(a, 70))
+        made, links, found = segments.linked(skel, a, np.ones(a.shape, bool), float(np.percentile(a, 40)), segments.Linking(gap=4.0, direction=60.0, connection=75.0, lateral=3.0))
+        return [(int(skel.sum()), int(made.sum()), len(found), len(links))]
+
+    return kernels.over_rasters(read(spark, sf, "embeddings"), "vec_id", "embedding", 8, one, "before int, after int, ends int, links int")
+
+
+@query()
+def augmented_polygons(spark, sf):
+    """Boxes of every object under the 56 variants: corners that are left after the cut, and their mean."""
+    from rasterlens.plans.pictures import turned_objects
+
+    at = lambda x, y: F.struct((F.col("x0") + x).cast("double").alias("x"), (F.col("y0") + y).cast("double").alias("y"))
+    corners = F.array(at(0, 0), at(F.col("w"), 0), at(F.col("w"), F.col("h")), at(0, F.col("h")))
+    made = turned_objects(objects(spark, sf).select(F.col("image_id").cast("string").alias("path"), "pos", F.col("category").alias("norm"), corners.alias("points")), 64, 64)
+    mean = lambda c: F.round(F.aggregate("points", F.lit(0.0), lambda s, p: s + p[c]) / F.size("points"), 6)
+    return made.select(F.col("path").cast("long").alias("image_id"), "pos", "angle", "flip", F.when(F.col("points").isNotNull(), F.size("points")).alias("corners"), mean("x").alias("cx"), mean("y").alias("cy"))

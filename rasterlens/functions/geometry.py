@@ -121,31 +121,3 @@ def points(segmentation: Column, lenient: bool = True) -> Column:
 def translated(points_: Column, dx: Column, dy: Column) -> Column:
     """All points moved; fewer than three points give null."""
     return F.when(F.size(points_) >= 3, F.transform(points_, lambda p: F.struct((p["x"] + dx).alias("x"), (p["y"] + dy).alias("y"))))
-
-
-def clipped_polygon(points_: Column, w: int, h: int) -> Column:
-    """A polygon within 0..w-1, 0..h-1 (Sutherland and Hodgman): one pass of array functions a side."""
-    for axis, bound, sign in (("x", 0.0, 1), ("x", w - 1.0, -1), ("y", 0.0, 1), ("y", h - 1.0, -1)):
-        inside = lambda p, a=axis, b=bound, s=sign: s * (p[a] - b) >= 0
-
-        def side(p, i, pts, a=axis, b=bound, inside=inside):
-            q = F.get(pts, F.pmod(i + 1, F.size(pts)))
-            r = F.when(q[a] != p[a], (F.lit(b) - p[a]) / (q[a] - p[a])).otherwise(F.lit(0.0))
-            cut = F.struct((p["x"] + r * (q["x"] - p["x"])).alias("x"), (p["y"] + r * (q["y"] - p["y"])).alias("y"))
-            none = F.slice(F.array(p), 1, 0)
-            return F.concat(F.when(inside(p), F.array(p)).otherwise(none), F.when(inside(p) != inside(q), F.array(cut)).otherwise(none))
-
-        now = points_
-        points_ = F.flatten(F.transform(now, lambda p, i, now=now, side=side: side(p, i, now)))
-    return points_
-
-
-def turned(points_: Column, angle: Column, flip: Column, w: int, h: int) -> Column:
-    """A polygon after rotation, flip and clipping; null with fewer than three points before or after."""
-
-    def one(p: Column) -> Column:
-        x, y = flipped(*rotated(p["x"], p["y"], angle, F.lit(w), F.lit(h)), flip, F.lit(w), F.lit(h))
-        return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
-
-    out = clipped_polygon(F.transform(points_, one), w, h)
-    return F.when((F.size(points_) >= 3) & (F.size(out) >= 3), out)

@@ -67,3 +67,21 @@ def status_action(a: Column, d: Column, fill: Column) -> Column:
     """``fill`` a blank cell that is not red, ``clear`` a red one that has text, else null."""
     red = F.coalesce(fill == 255, F.lit(False))
     return F.when(~is_blank(a), F.when(is_blank(d) & ~red, "fill").when(~is_blank(d) & red, "clear"))
+
+
+def display_category(normal: Column, names: dict[str, str] | None = None) -> Column:
+    """Display name of a normalised category, null for others."""
+    names = names or {"scratch": "Scratch", "pit": "Pit", "stain": "Stain"}
+    return F.element_at(F.create_map(*(F.lit(x) for pair in names.items() for x in pair)), normal)
+
+
+def output_stem(stem: Column, text: Column) -> Column:
+    """A stem with ``_text`` behind it where there is a text."""
+    return F.concat_ws("_", stem, F.nullif(text, F.lit("")))
+
+
+def flag_of(category: Column, flags: dict[str, bool]) -> Column:
+    """A category's flag, false where none is given."""
+    if not flags:
+        return F.lit(False)
+    return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for pair in flags.items() for x in pair)), category), F.lit(False))

@@ -424,6 +424,23 @@ def clip_polygon(points: list[tuple[float, float]], width: int, height: int) ->
     return points
 
 
+def turned_polygon(points: list[tuple[float, float]], angle: int, flip: str | None, width: int, height: int) -> list[tuple[float, float]] | None:
+    """A polygon after rotation, flip and clipping; None with fewer than three points before or after."""
+    if len(points) < 3:
+        return None
+    pts = np.asarray(points, float)
+    if angle == 180:
+        pts = (width - 1, height - 1) - pts
+    elif angle % 360:
+        pts = rotate_points(pts, angle, width, height)
+    if flip == "hflip":
+        pts = np.column_stack([width - 1 - pts[:, 0], pts[:, 1]])
+    elif flip == "vflip":
+        pts = np.column_stack([pts[:, 0], height - 1 - pts[:, 1]])
+    out = clip_polygon(list(map(tuple, pts.tolist())), width, height)
+    return out if len(out) >= 3 else None
+
+
 def over_rasters(vectors: DataFrame, id_col: str, values: str, width: int, one: Callable[[np.ndarray], list[tuple]], schema: str) -> DataFrame:
     """Apply ``one(raster) -> rows`` to every row-major array; ``schema`` names its columns."""
     fields = [f.strip().split(" ") for f in schema.split(",")]

@@ -25,20 +25,37 @@ def grid_pairs(ends: DataFrame, gap: float) -> DataFrame:
     return met.where(F.col("gap") <= gap).select("a", "b", "gap")
 
 
-def scores(pairs: DataFrame, gap: float, direction: float = 60.0, connection: float = 75.0, lateral: float = 15.0) -> DataFrame:
-    """Links that no rule of geometry rejects, cheapest rules first, with their score (less is better).
+def gap_points(pairs: DataFrame) -> DataFrame:
+    """``pairs`` with ``pts``: the sample points between two ends, sorted by (x, y), without the outer two of more than two."""
+    n = F.greatest(F.ceil("gap").cast("int") + 1, F.lit(2))
+    along = lambda c: lambda i: F.bround(F.col(f"a.{c}") + (F.col(f"b.{c}") - F.col(f"a.{c}")) * i / (F.col("n_") - F.lit(1.0)), 0).cast("long")
+    pts = F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(0), F.col("n_") - 1), lambda i: F.struct(along("x")(i).alias("x"), along("y")(i).alias("y")))))
+    some = pairs.withColumn("n_", n).withColumn("all_", pts)
+    return some.withColumn("pts", F.when(F.size("all_") > 2, F.slice("all_", F.lit(2), F.size("all_") - 2)).otherwise(F.col("all_"))).drop("n_", "all_")
 
-    Mask containment and gap response (SURVEY GRA-7) are not looked at.
+
+def scores(pairs: DataFrame, gap: float, direction: float = 60.0, connection: float = 75.0, lateral: float = 15.0, response: float | None = None) -> DataFrame:
+    """Links that no rule rejects, cheapest rules first, with their score (less is better).
+
+    With ``response`` the pairs also hold ``inside`` (all points of the gap lie in the mask) and
+    ``share`` (of them at or above the threshold): links that leave the mask or have a lesser
+    share go, and ``1 - share`` is part of the score.
     """
-    ux, uy = (F.col("b.x") - F.col("a.x")) / F.col("gap"), (F.col("b.y") - F.col("a.y")) / F.col("gap")
+    eps = 2.220446049250313e-16
+    # rules may be looked at before the gap is known not to be 0
+    ux, uy = (F.try_divide((F.col(f"b.{c}") - F.col(f"a.{c}")).cast("double"), F.col("gap")) for c in "xy")
     p = pairs.where("gap > 1e-9").withColumn("ux", ux).withColumn("uy", uy)
     p = p.withColumn("turn", angle_between(F.col("a.tx"), F.col("a.ty"), F.col("b.tx"), F.col("b.ty"), undirected=True)).where(F.col("turn") <= direction)
     p = p.withColumn("ca", angle_between(F.col("a.tx"), F.col("a.ty"), F.col("ux"), F.col("uy"), undirected=True)).withColumn("cb", angle_between(F.col("b.tx"), F.col("b.ty"), F.col("ux"), F.col("uy"), undirected=True))
     p = p.where((F.col("ca") <= connection) & (F.col("cb") <= connection))
     off = lambda s: F.abs(F.col("gap") * (F.col("ux") * F.col(f"{s}.ty") - F.col("uy") * F.col(f"{s}.tx")))
     p = p.withColumn("offset_px", F.greatest(off("a"), off("b"))).where(F.col("offset_px") <= lateral)
-    score = F.col("gap") / gap + F.col("turn") / direction + F.greatest("ca", "cb") / connection + F.col("offset_px") / lateral
-    return p.select(F.col("a.image_id").alias("image_id"), F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"), F.col("a.component_id").alias("a_comp"), F.col("b.component_id").alias("b_comp"), F.round("gap", 6).alias("gap"), F.round("turn", 6).alias("turn"), F.round("offset_px", 6).alias("offset_px"), F.round(score, 6).alias("score"))
+    score = F.col("gap") / gap + F.col("turn") / max(direction, eps) + F.greatest("ca", "cb") / max(connection, eps) + F.col("offset_px") / max(lateral, eps)
+    more = []
+    if response is not None:
+        p = p.where(F.col("inside") & (F.col("share") >= response))
+        score, more = score + 1 - F.col("share"), ["share"]
+    return p.select(F.col("a.image_id").alias("image_id"), F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"), F.col("a.component_id").alias("a_comp"), F.col("b.component_id").alias("b_comp"), F.round("gap", 6).alias("gap"), F.round("turn", 6).alias("turn"), F.round("offset_px", 6).alias("offset_px"), *more, F.round(score, 6).alias("score"))
 
 
 def mutual_best(links: DataFrame) -> DataFrame:

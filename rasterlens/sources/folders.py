@@ -79,6 +79,38 @@ def folder_grid(spark: SparkSession, files: DataFrame, groups: list[str], catego
     return joined.select("grp", "category", F.coalesce("n", F.lit(0)).alias("n_files"))
 
 
+def strict_grid(spark: SparkSession, files: DataFrame, groups: list[str], categories: list[str]) -> DataFrame:
+    """``folder_grid``, where a cell without files is an error that names the first of them."""
+    grid = folder_grid(spark, files, groups, categories)
+    empty = grid.where("n_files = 0").orderBy("grp", "category").first()
+    if empty is not None:
+        raise ValueError(f"no folder {empty['grp']}/{empty['category']}")
+    return grid
+
+
+def missing_folders(spark: SparkSession, files: DataFrame, wanted: list[str]) -> DataFrame:
+    """``folder``: those of ``wanted`` (last folder of a path) that hold no file, all at once."""
+    there = files.select(F.element_at(F.split("path", "/"), -2).alias("folder")).distinct()
+    return spark.createDataFrame([(w,) for w in wanted], "folder string").join(there, "folder", "left_anti")
+
+
+def augmented_only(files: DataFrame) -> DataFrame:
+    """Images that an augmentation has written, with their ``source, angle, flip``, by name.
+
+    An angle that is no multiple of 20 up to 360 is an error.
+    """
+    parts = t.augmentation(F.col("stem"))
+    rows = images(files).withColumns(parts).where("source is not null")
+    angle = F.when(F.col("valid"), F.col("angle")).otherwise(F.raise_error(F.concat(F.lit("angle of "), F.col("name"))).cast("int"))
+    return rows.withColumn("angle", angle).drop("valid").orderBy("name")
+
+
+def sheet_rows(rows: DataFrame) -> DataFrame:
+    """Rows of a schedule sheet (row, a, b, ...) up to the last whose cell ``a`` is not empty."""
+    last = rows.where(F.trim(F.coalesce("a", F.lit(""))) != "").agg(F.max("row").alias("last_row"))
+    return rows.join(F.broadcast(last)).where("row <= last_row").drop("last_row")
+
+
 def run_files(files: DataFrame, keywords: list[str]) -> DataFrame:
     """Files whose name has one of the keywords (without case), with the first that it has."""
     has = [F.when(F.contains(F.lower("name"), F.lit(k.lower())), F.lit(k)) for k in keywords]

@@ -206,7 +206,7 @@ def rename(plan: DataFrame) -> int:
     waiting: dict[str, tuple[str, str]] = {}
     try:
         for old, new in todo:
-            temp = f"{os.path.dirname(old)}/.rename_tmp_{uuid.uuid4().hex}"
+            temp = f"{os.path.dirname(old)}/.rasterlens-move-{uuid.uuid4().hex}"
             os.rename(old, temp)
             waiting[temp] = (old, new)
         for temp, (_, new) in list(waiting.items()):
@@ -219,3 +219,84 @@ def rename(plan: DataFrame) -> int:
             os.rename(temp, old)
         raise
     return len(todo)
+
+
+def write_results(original: DataFrame, processed: DataFrame, folder: str, side_by_side: bool = True, alone: bool = True) -> DataFrame:
+    """Write results as PNG, beside their originals and alone; shapes must match. Returns ``name, path, length``.
+
+    Both sides hold ``name, height, width, nChannels, data``.
+    """
+    out = write_images(processed, f"{folder}/processed") if alone else None
+    if not side_by_side:
+        return out
+    o = original.select("name", F.struct("height", "width", "nChannels", "data").alias("o"))
+    met = processed.join(o, "name")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                cells = [np.frombuffer(x["data"], np.uint8).reshape(x["height"], x["width"], x["nChannels"]) for x in (r["o"], r)]
+                both = beside(*cells)
+                yield pa.RecordBatch.from_pylist([{"name": r["name"], "height": both.shape[0], "width": both.shape[1], "nChannels": both.shape[2], "data": both.tobytes()}], schema=pa.schema([("name", pa.string()), ("height", pa.int32()), ("width", pa.int32()), ("nChannels", pa.int32()), ("data", pa.binary())]))
+
+    joined = met.select("name", "height", "width", "nChannels", "data", "o").mapInArrow(run, "name string, height int, width int, nChannels int, data binary")
+    pairs = write_images(joined, f"{folder}/compared")
+    return pairs.unionByName(out) if alone else pairs
+
+
+def copied(plan: DataFrame) -> DataFrame:
+    """Copy files as ``plan`` (old, new) says, unchanged and each whole or not at all; returns ``new, length``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            olds, news = b.column(0).to_pylist(), b.column(1).to_pylist()
+            sizes = []
+            for old, new in zip(olds, news, strict=True):
+                body = Path(old).read_bytes()
+                replaced(new, body)
+                sizes.append(len(body))
+            yield pa.RecordBatch.from_arrays([pa.array(news, pa.string()), pa.array(sizes, pa.int64())], names=["new", "length"])
+
+    return plan.select("old", "new").mapInArrow(run, "new string, length long")
+
+
+def copy_group(pairs: DataFrame, folder: str, each: int = 20) -> int:
+    """Fill a cleared group folder with pairs (image_path, json_path); other counts than ``each`` are an error."""
+    os.makedirs(folder, exist_ok=True)
+    for name in os.listdir(folder):
+        if os.path.isfile(f"{folder}/{name}"):
+            os.unlink(f"{folder}/{name}")
+    plan = pairs.select(F.explode(F.array("image_path", "json_path")).alias("old")).select("old", F.concat(F.lit(f"{folder}/"), F.regexp_extract("old", r"([^/]+)$", 1)).alias("new"))
+    copied(plan).agg(F.count("*")).collect()
+    names = os.listdir(folder)
+    notes = sum(n.lower().endswith(".json") for n in names)
+    if (len(names) - notes, notes) != (each, each):
+        raise RuntimeError(f"{folder} holds {len(names) - notes} images and {notes} annotations, not {each} of both")
+    return len(names)
+
+
+def parameter_folder(run: str, module: str, settings: dict[str, object]) -> str:
+    """An empty folder whose name tells the settings of a module."""
+    shown = "_".join(f"{k}-{v}" for k, v in settings.items())
+    made = f"{run}/{module}_{shown}".replace(" ", "")
+    os.makedirs(made)
+    return made
+
+
+def summary(counted: DataFrame, title: str) -> str:
+    """Text of a small table of counts for people, a line a row."""
+    return "\n".join([title, *("  " + ", ".join(f"{c}: {r[c]}" for c in counted.columns) for r in counted.limit(1000).collect())])
+
+
+def rewrite_in_place(rows: DataFrame, category: str) -> DataFrame:
+    """Annotations (path, raw) rewritten where they are, without the objects of one normalised category; ``path, length``."""
+    return write_texts(rows.select("path", without_category(F.col("raw"), category).alias("text")))
+
+
+def _without(doc: dict, given: dict) -> None:
+    doc["objects"] = [o for o in doc.get("objects", []) if not isinstance(o, dict) or _normal(o.get("category")) != given["category"]]
+
+
+def without_category(raw: Column, category: str) -> Column:
+    """Annotation text without the objects of one normalised category; items that are no objects stay."""
+    return _udf(_without, 2)(raw, F.struct(F.lit(category).alias("category"), F.lit(0).alias("_")))
