@@ -123,6 +123,14 @@ def _later() -> regex.Pattern:
     return regex.compile("[" + ("".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in spans) or r"\p{Cs}") + "]")
 
 
+@functools.cache
+def _library(path: str):
+    """The tokenizer file as the library reads it, once a worker."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 class WordBpe:
     """Word-end BPE of a tokenizers JSON file: NFC, lower case, white space dropped."""
 
@@ -160,9 +168,7 @@ class WordBpe:
             return PLAIN_WORDS.findall(low)
         if not _later().search(text):
             return WORDS.findall(low)
-        from tokenizers import Tokenizer
-
-        own = Tokenizer.from_file(self.path)
+        own = _library(self.path)
         cut = own.pre_tokenizer.pre_tokenize_str(own.normalizer.normalize_str(text))
         return [bytes(self.bytes[c] for c in x).decode() for x, _ in cut]
 

@@ -135,7 +135,7 @@ def plan(docs: DataFrame, seed: int = SEED, **how) -> DataFrame:
 def mixed(docs: DataFrame, seed: int = SEED, marks: bool = True, **how) -> DataFrame:
     """Every row as often as the mixture takes it, with ``pass, block, block_key, doc_key``.
 
-    Without ``marks`` the rows have the columns of ``docs`` alone. Sorting by ``(pass, block_key, doc_key)`` runs through the mixture as block permutations.
+    Columns of ``docs`` with one of these names give way. Without ``marks`` the rows have the columns of ``docs`` alone. Sorting by ``(pass, block_key, doc_key)`` runs through the mixture as block permutations.
     """
     by_source = F.broadcast(plan(docs, seed, **how))
     m = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("source").cast("string").alias("src"))
@@ -146,4 +146,5 @@ def mixed(docs: DataFrame, seed: int = SEED, marks: bool = True, **how) -> DataF
     m = m.withColumn("times", times).where("times > 0").withColumn("pass", F.explode(F.sequence(F.lit(0).cast("long"), F.col("times") - 1)))
     if not marks:
         return m.select("row.*")
-    return m.select("row.*", "pass", "block", key(seed, "order", F.col("pass"), F.col("psource"), F.col("block")).alias("block_key"), key(seed, "doc", F.col("pass"), F.col("id")).alias("doc_key"))
+    names = [c for c in docs.columns if c not in ("pass", "block", "block_key", "doc_key")]
+    return m.select(*(F.col("row").getField(c).alias(c) for c in names), "pass", "block", key(seed, "order", F.col("pass"), F.col("psource"), F.col("block")).alias("block_key"), key(seed, "doc", F.col("pass"), F.col("id")).alias("doc_key"))

@@ -1,8 +1,9 @@
 """PII: detected entities get keyed, type-consistent surrogates of the same format.
 
 Entities (e-mail addresses, phone, card, account and social-security numbers, IP
-addresses, access keys and tokens, names after a title or after a known given name) are
-replaced by surrogates under a secret key. A surrogate is made by a keyed permutation of
+addresses, access keys and tokens, names after a title, a known given name or words that
+introduce one) are replaced by surrogates under a secret key, which the caller must give.
+Numbers are written in the digits 0-9; other digits are not looked at. A surrogate is made by a keyed permutation of
 the entity's own format class: letters stay letters of the same script, case and kind
 (vowel or consonant), digits stay digits, separators stay where they are, card numbers
 keep their check digit right, octets stay below 256, and given names become given names
@@ -32,7 +33,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KEY = b"rasterlens-surrogates"
+from rasterlens.llm.common import written
+
+#: Least length of a secret key in bytes.
+LEAST_KEY = 16
 
 #: Given names by gender and script, each list in natural order.
 GIVEN = {
@@ -51,26 +55,28 @@ CLASSES = ["aeiou", "bcdfghjklmnpqrstvwxyz", "àâäáãåæ", "èéêë", "ìí
 _GIVEN_AT = {n.lower(): (g, i) for g, names in GIVEN.items() for i, n in enumerate(names)}
 _CLASS_AT = {c: (k, i) for k, cls in enumerate(CLASSES) for i, c in enumerate(cls)}
 _WORD = r"\p{Lu}[\p{Ll}\p{Lu}'’-]*\p{Ll}"
+#: What stands before a name that no list knows.
+CUES = ["my name is", "My name is", "Name", "name", "signed by", "Signed by", "ich heiße", "Ich heiße", "mein Name ist", "Mein Name ist", "je m'appelle", "Je m'appelle", "me llamo", "Me llamo", "меня зовут", "Меня зовут", "με λένε", "Με λένε"]
 PATTERNS = [
     ("email", r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
     ("access_key", r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b"),
     ("token", r"\b[0-9a-f]{32,64}\b"),
-    ("ip", r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d.]*\d)"),
-    ("phone", r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<!\w)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<!\w)\d{3}[.-]\d{3}[.-]\d{4}(?!\w)"),
-    ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
-    ("card", r"(?<![\w-])\d{4}(?:[ -]?\d{4}){2}[ -]?\d{1,7}(?![\w-])"),
-    ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
-    ("name", rf"\b(?:{'|'.join(TITLES)})\.? (?:{_WORD} ){{0,2}}{_WORD}\b|\b(?:{'|'.join(n for names in GIVEN.values() for n in names)}) {_WORD}\b"),
+    ("ip", r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])(?![0-9.]*[0-9])"),
+    ("phone", r"(?<![\w+])\+[0-9]{1,3}[ .-]?\(?[0-9]{1,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?!\w)|(?<!\w)\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?!\w)|(?<!\w)[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?!\w)"),
+    ("iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
+    ("card", r"(?<![\w-])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![\w-])"),
+    ("ssn", r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])"),
+    ("name", rf"(?:{'|'.join(CUES)}):? \K{_WORD}(?: {_WORD}){{1,2}}\b|\b(?:{'|'.join(TITLES)})\.? (?:{_WORD} ){{0,2}}{_WORD}\b|\b(?:{'|'.join(n for names in GIVEN.values() for n in names)}) {_WORD}\b"),
 ]
 _ALL = regex.compile("|".join(f"(?P<{k}>{p})" for k, p in PATTERNS))
-_SIGN = re.compile("[0-9@]|AKIA|ASIA")
+_SIGN = re.compile("[0-9@]|AKIA|ASIA|[a-f]{32}")
 
 
 @functools.cache
 def _openers() -> ahocorasick.Automaton:
     """Titles and given names: a name entity starts with one of them."""
     found = ahocorasick.Automaton()
-    for n in [*TITLES, *(n for names in GIVEN.values() for n in names)]:
+    for n in [*TITLES, *CUES, *(n for names in GIVEN.values() for n in names)]:
         found.add_word(n, n)
     found.make_automaton()
     return found
@@ -195,7 +201,7 @@ def canonical(kind: str, text: str) -> str:
     return text.lower() if kind in ("email", "name") else text
 
 
-def surrogate(kind: str, text: str, secret: bytes = KEY) -> str:
+def surrogate(kind: str, text: str, secret: bytes) -> str:
     """The surrogate of an entity; a permutation within the entity's format."""
     if kind == "email":
         user, _, host = text.rpartition("@")
@@ -239,7 +245,7 @@ def _named_again(text: str, found: list[tuple[int, int, str]]) -> list[tuple[int
 def entities(text: str | None) -> list[tuple[int, int, str]]:
     """``(start, end, kind)`` of the entities of a text, in order and apart.
 
-    No entity spans lines, and each holds a digit, an at sign, a key's mark, a title or a given name:
+    No entity spans lines, and each holds a digit, an at sign, a run of hexadecimal letters, a key's mark, a title, a given name or words that introduce one:
     only lines with one of these are searched in full.
     """
     if not text:
@@ -258,7 +264,7 @@ def entities(text: str | None) -> list[tuple[int, int, str]]:
     return sorted(found + more) if more else found
 
 
-def replaced(text: str | None, secret: bytes = KEY) -> tuple[str | None, list[tuple[int, int, str, str, str]]]:
+def replaced(text: str | None, secret: bytes) -> tuple[str | None, list[tuple[int, int, str, str, str]]]:
     """The text with surrogates, and ``(start, end, kind, entity, surrogate)`` by place in the old text."""
     out, at, spans = [], 0, []
     for start, end, kind in entities(text):
@@ -273,8 +279,10 @@ def replaced(text: str | None, secret: bytes = KEY) -> tuple[str | None, list[tu
 SPANS = "array<struct<start: int, end: int, kind: string, entity: string, surrogate: string>>"
 
 
-def pseudonymised(docs: DataFrame, secret: bytes = KEY) -> DataFrame:
+def pseudonymised(docs: DataFrame, secret: bytes) -> DataFrame:
     """``doc_id, text, spans`` with every entity replaced."""
+    if len(secret) < LEAST_KEY:
+        raise ValueError(f"the key has fewer than {LEAST_KEY} bytes")
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("entity", pa.string()), ("surrogate", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,9 +303,9 @@ def collisions(done: DataFrame) -> DataFrame:
     return pairs.groupBy("kind", "surrogate").agg(F.min("entity").alias("a"), F.max("entity").alias("z")).where("a <> z")
 
 
-def checked(docs: DataFrame, secret: bytes = KEY) -> DataFrame:
-    """``pseudonymised``, after a pass that fails if two entities share a surrogate."""
-    done = pseudonymised(docs, secret)
+def checked(docs: DataFrame, secret: bytes) -> DataFrame:
+    """``pseudonymised``, written once, after a check that fails if two entities share a surrogate."""
+    done = written(pseudonymised(docs, secret), "surrogates")
     bad = collisions(done).limit(1).collect()
     if bad:
         raise ValueError(f"surrogates of type {bad[0]['kind']} collide")

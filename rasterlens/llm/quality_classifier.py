@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from rasterlens.llm.common import written
 
-MAX_LABELLED, MAX_CHARS, THRESHOLD = 8000, 50_000, 0.5
+MAX_LABELLED, THRESHOLD = 8000, 0.5
 NAMES = ("log_words", "word_length", "upper", "digits", "symbols", "marks", "distinct", "top_word", "dup_lines", "line_words", "end_marks", "bars")
 
 
@@ -80,10 +80,10 @@ def widened(x: np.ndarray) -> np.ndarray:
     return np.column_stack([x, x * x])
 
 
-def labelled(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED, max_chars: int = MAX_CHARS) -> tuple[np.ndarray, np.ndarray]:
-    """Statistics and labels of the bounded sample (least hash first)."""
+def labelled(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> tuple[np.ndarray, np.ndarray]:
+    """Statistics and labels of at most ``most`` labelled documents (least hash first), of whole texts of any length."""
     known = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("i")).agg(F.min("quality").cast("double").alias("q")).orderBy(F.xxhash64("i"), "i").limit(most)
-    texts = docs.select(F.col("doc_id").cast("long").alias("d"), F.col("text").cast("string").alias("text")).where(F.length("text") <= max_chars)
+    texts = docs.select(F.col("doc_id").cast("long").alias("d"), F.col("text").cast("string").alias("text"))
     rows = texts.join(F.broadcast(known), F.col("d") == F.col("i")).select("i", "text", "q")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

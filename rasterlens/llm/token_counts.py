@@ -16,6 +16,7 @@ separators passes its whole length on; a trailing odd byte of a file is an error
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -80,12 +81,26 @@ def flat_blocks(docs: DataFrame, path: str | None = None, block: int = BLOCK) ->
 
 
 def read_files(spark: SparkSession, paths: str | list[str], dtype: str = DTYPE, block: int = BLOCK) -> DataFrame:
-    """Blocks of token files that Spark can read (each below 2 GB, the reader's limit)."""
-    width = np.dtype(dtype).itemsize
-    files = spark.read.format("binaryFile").load(paths).select(F.col("path").alias("file"), "content", "length")
-    step = block * width
+    """Blocks of flat token files of any length: each task opens its file and reads its own ranges.
+
+    Only names and lengths are listed; no file is held whole. An empty file is one empty block.
+    """
+    step = block * np.dtype(dtype).itemsize
+    files = spark.read.format("binaryFile").load(paths).select(F.col("path").alias("file"), "length")
     at = files.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.greatest("length", F.lit(1)) - 1) / step))))
-    return at.select("file", "block", F.call_function("substring", F.col("content"), (F.col("block") * step + 1).cast("int"), F.lit(step)).alias("data"), F.lit(None).cast("array<long>").alias("doc_ids"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        for b in batches:
+            for file, number in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                system, path = fs.FileSystem.from_uri(file if "://" in file else re.sub("^file:", "", file))
+                with system.open_input_file(path) as f:
+                    f.seek(number * step)
+                    data = f.read(step)
+                yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([number], pa.int64()), pa.array([data], pa.binary()), pa.array([None], pa.list_(pa.int64()))], names=["file", "block", "data", "doc_ids"])
+
+    return at.select("file", "block").repartition("file", "block").mapInArrow(run, BLOCKS)
 
 
 def scan(blocks: DataFrame, eod: int = EOD, dtype: str = DTYPE) -> DataFrame:
@@ -106,13 +121,19 @@ def scan(blocks: DataFrame, eod: int = EOD, dtype: str = DTYPE) -> DataFrame:
 
 
 def stitched(scanned: DataFrame) -> DataFrame:
-    """``file, ordinal, doc_id, n_tokens, unterminated``: the lengths of whole documents."""
+    """``file, ordinal, doc_id, n_tokens, unterminated``: the lengths of whole documents.
+
+    ``scanned`` is read twice: give a written table where the scan is dear.
+    """
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, 0)
-    start = F.coalesce(F.sum("n").over(before), F.lit(0))
-    rows = scanned.withColumn("stop", F.sum("n").over(upto)).withColumn("open", F.when(F.size("ends") > 0, F.col("stop") - F.col("tail")))
-    rows = rows.withColumn("carry", start - F.coalesce(F.max("open").over(before), F.lit(0))).withColumn("first", F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)))
-    rows = rows.withColumn("final", F.lead("block").over(Window.partitionBy("file").orderBy("block")).isNull())
+    # the prefix scan sees a few numbers a block; the lists of lengths stay where they are
+    few = scanned.select("file", "block", "n", "tail", F.size("ends").cast("long").alias("k"))
+    few = few.withColumn("stop", F.sum("n").over(upto)).withColumn("open", F.when(F.col("k") > 0, F.col("stop") - F.col("tail")))
+    few = few.withColumn("carry", F.coalesce(F.sum("n").over(before), F.lit(0)) - F.coalesce(F.max("open").over(before), F.lit(0)))
+    few = few.withColumn("first", F.coalesce(F.sum("k").over(before), F.lit(0))).withColumn("final", F.lead("block").over(Window.partitionBy("file").orderBy("block")).isNull())
+    few = few.select(F.col("file").alias("f_"), F.col("block").alias("b_"), "carry", "first", "final")
+    rows = scanned.join(few, F.col("file").eqNullSafe(F.col("f_")) & (F.col("block") == F.col("b_")))
     lens = F.transform("ends", lambda x, i: x + F.when(i == 0, F.col("carry")).otherwise(0))
     rest = F.when(F.size("ends") > 0, F.col("tail")).otherwise(F.col("carry") + F.col("tail"))
     done = F.transform(lens, lambda x, i: F.struct((F.col("first") + i).alias("ordinal"), F.get("doc_ids", i).alias("doc_id"), x.alias("n_tokens"), F.lit(False).alias("unterminated")))
@@ -122,4 +143,4 @@ def stitched(scanned: DataFrame) -> DataFrame:
 
 def count(docs: DataFrame) -> DataFrame:
     """``file, ordinal, doc_id, n_tokens, unterminated`` of every document, by way of token files."""
-    return stitched(scan(written(flat_blocks(docs), "token-files")))
+    return stitched(written(scan(written(flat_blocks(docs), "token-files")), "token-scan"))

@@ -34,11 +34,13 @@ SAMPLE = 4096
 
 
 def usable(vectors: DataFrame, scale: int, id_col: str, vec_col: str) -> DataFrame:
-    """``vec_id, x array<long>, norm2`` of the vectors that take part."""
+    """``vec_id, x array<long>`` of the vectors that take part; components beyond a long are its ends."""
+    edge = 9223372036854774784.0  # the greatest double below 2^63
+    whole = lambda v: F.floor(F.greatest(F.least(v * F.lit(float(scale)), F.lit(edge)), F.lit(-edge)))
     x = F.transform(F.col(vec_col), lambda v: v.cast("double"))
     finite = F.coalesce(F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf")))), F.lit(False))
-    kept = vectors.where(F.col(id_col).isNotNull() & finite).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda v: F.floor(v * F.lit(float(scale)))).alias("x"))
-    return kept.withColumn("norm2", F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v.cast("double")))
+    kept = vectors.where(F.col(id_col).isNotNull() & finite).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, whole).alias("x"))
+    return kept
 
 
 def rotation(vectors: DataFrame, sample: int = SAMPLE) -> np.ndarray:
@@ -71,12 +73,38 @@ def _best(row: np.ndarray, score: np.ndarray, ids: np.ndarray, n: int, k: int) -
     return row[keep], score[keep], ids[keep]
 
 
+def exact(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``search`` for components so large that a score may pass 2^53: whole-number arithmetic.
+
+    Scores beyond 2^63 - 1 either way are that number.
+    """
+    small = int(max(abs(int(q.min(initial=0))), int(q.max(initial=0)))) * int(max(abs(int(c.min(initial=0))), int(c.max(initial=0)))) * q.shape[1] < 1 << 63
+    row, score, ids = (np.empty(0, np.int64) for _ in range(3))
+    step = 256 if not small else ROWS
+    for lo in range(0, len(c), step):
+        block = c[lo : lo + step]
+        got = q @ block.T if small else np.clip(q.astype(object) @ block.astype(object).T, 1 - (1 << 63), (1 << 63) - 1).astype(np.int64)
+        at, col = np.nonzero(q_ids[:, None] != c_ids[None, lo : lo + step])
+        row, score, ids = _best(np.concatenate((row, at)), np.concatenate((score, got[at, col])), np.concatenate((ids, c_ids[lo + col])), len(q), k)
+    return row, score, ids
+
+
 def search(q_ids: np.ndarray, q: np.ndarray, c_ids: np.ndarray, c: np.ndarray, k: int, turn: np.ndarray, rows: int = ROWS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row of the query, score, id) of the k best candidates of each query, exactly."""
     width = max(q.shape[1], c.shape[1], len(turn))
     q, c = (np.pad(m, ((0, 0), (0, width - m.shape[1]))) for m in (q, c))
-    if float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * width >= 2.0**53:
-        raise ValueError("scores of 2^53 and more are not exact here")
+    if float(np.abs(q.astype(float)).max(initial=0)) * float(np.abs(c.astype(float)).max(initial=0)) * width >= 2.0**53:
+        # only the vectors that make it so: the rest is searched as ever, and the bests are merged
+        limit = np.sqrt(2.0**52 / width)
+        big = [np.abs(m.astype(float)).max(1, initial=0) >= limit for m in (q, c)]
+        parts = []
+        for mine, other in ((~big[0], ~big[1]), (~big[0], big[1]), (big[0], np.ones(len(c), bool))):
+            if mine.any() and other.any():
+                one = (q_ids[mine], q[mine], c_ids[other], c[other], k)
+                r, s, i = search(*one, turn, rows) if not (big[0][mine].any() or big[1][other].any()) else exact(*one)
+                parts.append((np.flatnonzero(mine)[r], s, i))
+        cols = [np.concatenate([np.empty(0, np.int64), *x]) for x in zip(*parts, strict=True)] if parts else [np.empty(0, np.int64)] * 3
+        return _best(*cols, len(q), k)
     if len(turn) < width:  # what the sample never saw stays as it is
         turn = np.block([[turn, np.zeros((len(turn), width - len(turn)))], [np.zeros((width - len(turn), len(turn))), np.eye(width - len(turn))]])
     head = max(1, width // 4)

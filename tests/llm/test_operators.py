@@ -16,6 +16,7 @@ from rasterlens.llm.common import tokenizer_path
 from rasterlens.llm.components import components
 
 SF = "/root/testdata/sf0.001"
+SECRET = b"sixteen bytes and more"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 EDGE = [
     (1, "a b c d e", "en", "s1", 9), (2, None, None, None, None), (3, "", "en", "s1", 0), (4, " \n\t ", "fr", None, 4), (5, "a b c d e", "en", "s2", 9),
@@ -42,7 +43,7 @@ OPERATORS = {
     "tokens": lambda d, _: token_counts.count(d),
     "toxicity": lambda d, x: toxicity.score(d, toxicity.fit(d, x)),
     "rules": lambda d, x: quality_rules.quality(d, x.where("quality = 1")),
-    "pii": lambda d, _: pii.checked(d),
+    "pii": lambda d, _: pii.checked(d, SECRET),
     "lines": lambda d, _: line_dedup.deduplicated(d, counts=True),
     "classifier": lambda d, x: quality_classifier.classified(d, x),
     "simhash": lambda d, _: simhash.near_duplicates(d),
@@ -162,8 +163,8 @@ def test_surrogates_are_permutations():
     every = {tuple(pii.permute(b"k", "t", [a, b, c], [4, 5, 6])) for a in range(4) for b in range(5) for c in range(6)}
     assert len(every) == 120 and tuple(got) in every
     assert all(pii.permute(b"k", "t", [a, b], [3, 3]) != [a, b] for a in range(3) for b in range(3))
-    new, spans = pii.replaced("Mr. John Smith <a.b@mail.example.com> 4539578763621486 10.0.0.1, later Smith; Anna Петрова")
-    assert [s[2] for s in spans].count("name") == 3 and "Smith" not in new and new == pii.replaced("Mr. John Smith <a.b@mail.example.com> 4539578763621486 10.0.0.1, later Smith; Anna Петрова")[0]
+    new, spans = pii.replaced("Mr. John Smith <a.b@mail.example.com> 4539578763621486 10.0.0.1, later Smith; Anna Петрова", SECRET)
+    assert [s[2] for s in spans].count("name") == 3 and "Smith" not in new and new == pii.replaced("Mr. John Smith <a.b@mail.example.com> 4539578763621486 10.0.0.1, later Smith; Anna Петрова", SECRET)[0]
     card = next(s[4] for s in spans if s[2] == "card")
     assert pii.luhn(card) == pii.luhn("4539578763621486") == 0 and card != "4539578763621486"
     given = next(s[4] for s in spans if s[3].startswith("Mr.")).split()[1]
