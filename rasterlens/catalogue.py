@@ -600,11 +600,12 @@ def linked_skeletons(spark, sf):
 
 @query()
 def augmented_polygons(spark, sf):
-    """Boxes of every object under the 56 variants: corners that are left after the cut, and their mean."""
+    """Boxes of every object under each of the 56 variants: how many stay valid, with how many corners, and their mean."""
     from rasterlens.plans.pictures import turned_objects
 
     at = lambda x, y: F.struct((F.col("x0") + x).cast("double").alias("x"), (F.col("y0") + y).cast("double").alias("y"))
     corners = F.array(at(0, 0), at(F.col("w"), 0), at(F.col("w"), F.col("h")), at(0, F.col("h")))
     made = turned_objects(objects(spark, sf).select(F.col("image_id").cast("string").alias("path"), "pos", F.col("category").alias("norm"), corners.alias("points")), 64, 64)
-    mean = lambda c: F.round(F.aggregate("points", F.lit(0.0), lambda s, p: s + p[c]) / F.size("points"), 6)
-    return made.select(F.col("path").cast("long").alias("image_id"), "pos", "angle", "flip", F.when(F.col("points").isNotNull(), F.size("points")).alias("corners"), mean("x").alias("cx"), mean("y").alias("cy"))
+    total = lambda c: F.sum(F.aggregate("points", F.lit(0.0), lambda s, p: s + p[c]))
+    corners = F.sum(F.size("points"))
+    return made.groupBy("angle", "flip").agg(F.count("*").alias("objects"), F.count("points").alias("valid"), corners.alias("corners"), F.round(total("x") / corners, 3).alias("cx"), F.round(total("y") / corners, 3).alias("cy"))

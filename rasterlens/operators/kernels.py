@@ -437,7 +437,9 @@ def turned_polygon(points: list[tuple[float, float]], angle: int, flip: str | No
         pts = np.column_stack([width - 1 - pts[:, 0], pts[:, 1]])
     elif flip == "vflip":
         pts = np.column_stack([pts[:, 0], height - 1 - pts[:, 1]])
-    out = clip_polygon(list(map(tuple, pts.tolist())), width, height)
+    out = list(map(tuple, pts.tolist()))
+    if pts.min() < 0 or pts[:, 0].max() > width - 1 or pts[:, 1].max() > height - 1:
+        out = clip_polygon(out, width, height)
     return out if len(out) >= 3 else None
 
 

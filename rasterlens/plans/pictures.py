@@ -176,7 +176,9 @@ def turned_objects(objects: DataFrame, width: int, height: int) -> DataFrame:
                 plan = [pa.array([v[i] for v in VARIANTS] * part.num_rows, t_) for i, t_ in ((0, pa.int32()), (1, pa.string()))]
                 yield pa.RecordBatch.from_arrays([*cols, *plan, pa.array(made, kind)], names=["path", "pos", "norm", "angle", "flip", "points"])
 
-    return objects.select(F.col("path").cast("string"), F.col("pos").cast("int"), "norm", "points").mapInArrow(run, "path string, pos int, norm string, angle int, flip string, points array<struct<x:double,y:double>>")
+    # few bytes, much work: spread over all tasks, however small the table is
+    spread = objects.repartition(int(objects.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path", "pos")
+    return spread.select(F.col("path").cast("string"), F.col("pos").cast("int"), "norm", "points").mapInArrow(run, "path string, pos int, norm string, angle int, flip string, points array<struct<x:double,y:double>>")
 
 
 def augmented(pictures: DataFrame) -> DataFrame:
