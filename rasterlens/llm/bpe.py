@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterlens.llm.common import Recent, tokenizer_path
+from rasterlens.llm.common import Recent, give_back, tokenizer_path
 
 #: Words whose encoding a worker keeps in each of two generations.
 CACHE_WORDS = 250_000
@@ -248,5 +248,6 @@ def digests(docs: DataFrame, path: str | None = None, ids: bool = False) -> Data
             if ids:
                 cols["ids"] = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(x) // 4 for x in raw)]), pa.int32()), pa.array(np.frombuffer(b"".join(raw), "<i4")))
             yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, OUT + (", ids array<int>" if ids else ""))

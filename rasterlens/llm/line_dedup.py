@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 
 from rasterlens.llm.common import dropped, give_back, let, maybe, member, set_bits, written
 from rasterlens.llm.components import components
+from rasterlens.llm.near import apart, gathered, in_groups, mix, paired
 
 SIMILARITY = 0.8
 #: Differing bits, of the first 128, beyond which two lines of a block are not compared.
@@ -71,12 +72,6 @@ def blocks_of(width: int) -> int:
     return max(math.ceil(128 / width), math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - DIFFER) ** width)))
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 class _Powers:
     """Powers of an odd base and of its inverse modulo 2^64, as many as were ever needed."""
 
@@ -95,7 +90,7 @@ def _spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarr
     """A hash of ``values[start:end]`` for each span, by differences of one running sum."""
     up, down = _Powers.get(len(values) + 1)
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(values * up[: len(values)], dtype=np.uint64)))
-    return _mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
 def line_prints(text: bytes, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -129,7 +124,7 @@ def line_prints(text: bytes, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndar
     seed = keys & np.uint64((1 << 42) - 1)
     out = np.empty((len(first), size, 8, 8), bool)
     for s in range(size):
-        x = _mix(seed + np.uint64((s + 1) * _BASE & (1 << 64) - 1))
+        x = mix(seed + np.uint64((s + 1) * _BASE & (1 << 64) - 1))
         for k in range(8):
             lanes = np.add.reduceat(x >> np.uint64(k) & _ONES, sums).view(np.uint8).reshape(-1, 8)
             if len(sums) > len(begin):
@@ -213,18 +208,6 @@ def _prints(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     return f0, f1, cls, np.unpackbits(np.concatenate((both, rest), axis=1), axis=1)
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    held, n = [], 0
-    for b in batches:
-        held.append(b)
-        n += b.num_rows
-        if n >= most:
-            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            held, n = [], 0
-    if n:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-
-
 def packed(prints: DataFrame, width: int, low: int) -> DataFrame:
     """``g, pair, rows``: packed records of the fingerprints of a task group.
 
@@ -234,17 +217,14 @@ def packed(prints: DataFrame, width: int, low: int) -> DataFrame:
     count = blocks_of(width)
 
     def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _gathered(batches, 1 << 16):
+        for b in gathered(batches, 1 << 16):
             bits = _prints(b)[3]
             for j in range(count):
                 g, n = np.unique(_block_keys(bits, j, width) >> np.uint64(low), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array((g * np.uint64(count) + np.uint64(j)).view(np.int64)), pa.array(n)], names=["g", "n"])
 
-    hot = prints.mapInArrow(sizes, "g long, n long").groupBy("g").agg(F.sum("n").alias("n")).where(F.col("n") > 4 * GROUP)
-    hot = written(hot.select(F.col("g").alias("hot"), F.ceil(F.col("n") / (2 * GROUP)).cast("int").alias("chunks")), "line-crowds")
-
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _gathered(batches, 1 << 16):
+        for b in gathered(batches, 1 << 16):
             f0, f1, cls, bits = _prints(b)
             for j in range(count):
                 key = _block_keys(bits, j, width)
@@ -256,30 +236,7 @@ def packed(prints: DataFrame, width: int, low: int) -> DataFrame:
                 data = [rows[x:y].tobytes() for x, y in zip(at, [*at[1:], len(rows)], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array((g * np.uint64(count) + np.uint64(j)).view(np.int64)), pa.array(data, pa.binary())], names=["g", "rows"])
 
-    blobs = prints.mapInArrow(pack, "g long, rows binary")
-    if hot.isEmpty():
-        return blobs.select("g", F.lit(0).cast("long").alias("pair"), "rows")
-    blobs = blobs.join(hot, F.col("g") == F.col("hot"), "left").select("g", "rows", F.coalesce("chunks", F.lit(1)).alias("chunks"))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["g", "pair", "rows"]
-        for b in batches:
-            for g, rows, chunks in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if chunks == 1:
-                    yield pa.RecordBatch.from_arrays([pa.array([g]), pa.array([0]), pa.array([rows], pa.binary())], names=names)
-                    continue
-                rows = np.frombuffer(rows, _RECORD)
-                mine = _mix(rows["f0"] + rows["f1"]) % np.uint64(chunks)
-                for c in range(chunks):
-                    data = rows[mine == c].tobytes()
-                    pairs = [min(c, d) * chunks + max(c, d) for d in range(chunks) if d != c]
-                    yield pa.RecordBatch.from_arrays([pa.array([g] * len(pairs)), pa.array(pairs), pa.array([data] * len(pairs), pa.binary())], names=names)
-
-    return blobs.mapInArrow(cut, "g long, pair long, rows binary")
-
-
-def _apart(f0: np.ndarray, f1: np.ndarray, a, b) -> np.ndarray:
-    return np.bitwise_count(f0[a] ^ f0[b]) + np.bitwise_count(f1[a] ^ f1[b])
+    return paired(prints.mapInArrow(pack, "g long, rows binary"), prints.mapInArrow(sizes, "g long, n long"), _RECORD, GROUP, "line-crowds")
 
 
 def _first_met(f0: np.ndarray, f1: np.ndarray, a: np.ndarray, b: np.ndarray, block: int, width: int) -> np.ndarray:
@@ -305,7 +262,7 @@ def partnered(rows: np.ndarray, block: int, width: int) -> tuple[np.ndarray, np.
     while len(at):
         at = at[at + d < ends[at]]
         at = at[cls[at + d] - cls[at] <= _REACH]
-        near = at[_apart(f0, f1, at, at + d) <= FAR]
+        near = at[apart(f0, f1, at, at + d) <= FAR]
         if len(near):
             near = near[_first_met(f0, f1, near, near + d, block, width)]
             found[near] = found[near + d] = True
@@ -314,7 +271,7 @@ def partnered(rows: np.ndarray, block: int, width: int) -> tuple[np.ndarray, np.
         left = np.arange(lo, lo + n)
         while len(left):
             lead = left[0]
-            near = lo + np.flatnonzero((_apart(f0, f1, slice(lo, lo + n), lead) <= FAR) & (np.abs(cls[lo : lo + n] - cls[lead]) <= _REACH))
+            near = lo + np.flatnonzero((apart(f0, f1, slice(lo, lo + n), lead) <= FAR) & (np.abs(cls[lo : lo + n] - cls[lead]) <= _REACH))
             if len(near) > 1:
                 found[near] = True
             found_now = found[left]
@@ -329,24 +286,12 @@ def candidates(prints: DataFrame, n: int, width: int) -> DataFrame:
     low = width - min(width, max(_subgroups(n), width - 16))
     groups = packed(prints, width, low).repartition("g", "pair").sortWithinPartitions("g", "pair")
 
-    def met(g: int, pair: int, held: list[bytes]) -> pa.RecordBatch:
-        rows = np.frombuffer(b"".join(held), _RECORD)
-        order, found = partnered(rows, g % count, width)
-        rows = rows[order[found]]
-        b = _mix(_mix(_mix(np.array([g], np.uint64)) + np.uint64(pair)) + rows["key"].astype(np.uint64))
-        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (b, rows["f0"], rows["f1"])], names=["b", "f0", "f1"])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-        for b in batches:
-            for g, pair, rows in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if now != (g, pair):
-                    if held:
-                        yield met(*now, held)
-                    now, held = (g, pair), []
-                held.append(rows)
-        if held:
-            yield met(*now, held)
+        for g, pair, rows in in_groups(batches, _RECORD):
+            order, found = partnered(rows, g % count, width)
+            rows = rows[order[found]]
+            b = mix(mix(mix(np.array([g], np.uint64)) + np.uint64(pair)) + rows["key"].astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (b, rows["f0"], rows["f1"])], names=["b", "f0", "f1"])
         give_back()
 
     return groups.mapInArrow(run, "b long, f0 long, f1 long").distinct()
@@ -424,7 +369,7 @@ def linked_within(h: np.ndarray, f0: np.ndarray, f1: np.ndarray, norm: list[str]
         return [(0, 1)] if similar(*norm) else []
     label = np.arange(n)
     for i in range(n - 1):
-        near = i + 1 + np.flatnonzero(_apart(f0, f1, slice(i + 1, n), i) <= FAR)
+        near = i + 1 + np.flatnonzero(apart(f0, f1, slice(i + 1, n), i) <= FAR)
         near = near[label[near] != label[i]]
         joined = set()
         for j in near.tolist():

@@ -33,9 +33,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rasterlens.llm.common import dropped, maybe, member, set_bits, written
+from rasterlens.llm.common import dropped, give_back, maybe, member, set_bits, written
 from rasterlens.llm.components import components
-from rasterlens.llm.near import linked
+from rasterlens.llm.near import linked, met
 
 BITS = 64
 #: Documents link at this Jaccard similarity of their distinct shingles (``deduplicated``).
@@ -307,10 +307,11 @@ def _wide(shingles: set[bytes]) -> np.ndarray:
 def band_masks(n: int) -> list[tuple[int, int]]:
     """Fixed choices of bits, one a key, for ``n`` fingerprints.
 
-    A key has enough bits that strangers seldom share it, and there are as many keys as
-    let two texts at ``SIMILARITY`` share one with probability ``RECALL``.
+    A key has so many bits (16, 20, 24, ...) that a value has some 2^7 fingerprints or less,
+    and there are as many keys as let two texts at ``SIMILARITY`` share one with probability
+    ``RECALL``.
     """
-    bits = max(14, math.ceil(math.log2(max(n, 2))) + 2)
+    bits = max(16, 4 * math.ceil((math.log2(max(n, 2)) - 7) / 4))
     differ = math.acos(2 * SIMILARITY / (1 + SIMILARITY)) / math.pi  # chance that a bit does
     count = math.ceil(math.log(1 - RECALL) / math.log(1 - (1 - differ) ** bits))
     rng = np.random.default_rng(42)
@@ -335,6 +336,7 @@ def _sets(docs: DataFrame, ids: DataFrame, groups: DataFrame, width: int) -> Dat
                 got = [sketch(t, width) for t in b.column(1)[lo : lo + 256].to_pylist()]
                 x = [np.frombuffer(b"".join(s), np.int64)[:: WIDE // 64] for _, s in got]
                 yield pa.RecordBatch.from_arrays([pa.array(np.array([h for h, _ in got], np.uint64).view(np.int64)), pa.array(x, pa.list_(pa.int64()))], names=["h", "x"])
+        give_back()
 
     one = some.join(need, F.col("t_rk") == F.col("rk")).select("rk", "t").dropDuplicates(["rk"])
     return one.mapInArrow(run, "h long, x array<long>")
@@ -353,12 +355,20 @@ def near_classes(docs: DataFrame, width: int = 5) -> DataFrame:
                 fp = np.array([_wide(s) for _, s in got], np.int64).reshape(-1, 2)
                 h = np.array([h for h, _ in got], np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(h), pa.array(fp[:, 0].copy()), pa.array(fp[:, 1].copy())], names=["doc_id", "rk", "h", "f0", "f1"])
+        give_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("rk"), text.cast("binary").alias("t"))
     rows = written(rows.mapInArrow(run, "doc_id long, rk long, h long, f0 long, f1 long"), "sketches")
     groups = written(rows.groupBy("h").agg(F.min("doc_id").alias("rep"), F.min("rk").alias("rk"), F.first("f0").alias("f0"), F.first("f1").alias("f1")), "groups")
-    keys = F.array(*(F.xxhash64(F.lit(i), F.col("f0").bitwiseAND(F.lit(x)), F.col("f1").bitwiseAND(F.lit(y))) for i, (x, y) in enumerate(band_masks(groups.count()))))
-    filed = groups.select(F.struct("h", "f0", "f1").alias("s"), F.explode(keys).alias("k"))
+    alike = written(groups.groupBy("f0", "f1").agg(F.count("*").alias("n")), "prints")
+    n = alike.count()
+    buckets = met(alike.select("f0", "f1"), n, band_masks(n), FAR)
+    # texts of one fingerprint share a bucket of their own
+    buckets = buckets.unionByName(alike.where("n > 1").select(F.xxhash64(F.lit("alike"), "f0", "f1").alias("k"), "f0", "f1"))
+    buckets = buckets.select("k", F.col("f0").alias("p0"), F.col("f1").alias("p1"))
+    filed = buckets.join(groups, (F.col("p0") == F.col("f0")) & (F.col("p1") == F.col("f1"))).select(F.struct("h", "f0", "f1").alias("s"), "k")
+    filed = written(filed, "near-filed")
+    dropped(alike)
     near = lambda a, b: F.bit_count(F.col(f"{a}.f0").bitwiseXOR(F.col(f"{b}.f0"))) + F.bit_count(F.col(f"{a}.f1").bitwiseXOR(F.col(f"{b}.f1"))) <= FAR
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -371,6 +381,7 @@ def near_classes(docs: DataFrame, width: int = 5) -> DataFrame:
         return out
 
     parts = linked(filed, near, verify)
+    dropped(filed)
     named = written(groups.join(parts, F.col("h") == F.col("node"), "left").select("h", "rep", F.coalesce("label", "h").alias("label")), "named")
     least = named.groupBy("label").agg(F.min("rep").alias("component_id")).withColumnRenamed("label", "lab")
     by_h = written(named.join(least, F.col("label") == F.col("lab")).select(F.col("h").alias("g"), "component_id"), "classes")
