@@ -41,7 +41,7 @@ BITS = 64
 #: Documents link at this Jaccard similarity of their distinct shingles (``deduplicated``).
 SIMILARITY = 0.8
 #: Bits of the fingerprint that finds candidates there, and chance that two at the similarity meet.
-WIDE, RECALL = 128, 0.99
+WIDE, RECALL = 128, 0.998
 #: Differing bits beyond which candidates are not looked at: of pairs at the similarity 19 differ
 #: on average, and in more than these in 3 of 10,000 pairs (binomial, bits taken as independent).
 FAR = 34
