@@ -340,7 +340,8 @@ _PAIRS = "g AS (SELECT a.image_id, a.id AS a_id, b.id AS b_id, a.component_id AS
 
 @query("E", _PAIRS, sql="SELECT image_id, a_id, b_id, round(gap, 6) AS gap FROM g")
 def grid_distance_join(spark, sf):
-    return linking.grid_pairs(endpoints(spark, sf), 20.0).select(F.col("a.image_id").alias("image_id"), F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"), F.round("gap", 6).alias("gap"))
+    ends = endpoints(spark, sf).select("id", "image_id", "component_id", "x", "y")
+    return linking.grid_pairs(ends, 20.0).select(F.col("a.image_id").alias("image_id"), F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"), F.round("gap", 6).alias("gap"))
 
 
 _LINKS = """u AS (SELECT *, (bx - ax) / gap AS ux, (by_ - ay) / gap AS uy FROM g WHERE gap > 1e-9),
@@ -357,23 +358,22 @@ def link_scores(spark, sf):
 q AS (SELECT a_id, b_id, list_sort(list_distinct(list_transform(range(0, n), lambda i: {'x': CAST(round_even(ax + (bx - ax) * i / (n - 1.0::DOUBLE), 0) AS BIGINT), 'y': CAST(round_even(ay + (by_ - ay) * i / (n - 1.0::DOUBLE), 0) AS BIGINT)}))) AS pts FROM n)""",
        sql="SELECT a_id, b_id, len(pts) - 2 AS n_inner, array_to_string(list_transform(pts[2:-2], lambda p: p.x || ':' || p.y), ';') AS inner_points FROM q WHERE len(pts) > 2")
 def gap_samples(spark, sf):
-    pairs = linking.grid_pairs(endpoints(spark, sf), 20.0).withColumn("n", F.greatest(F.ceil("gap").cast("int") + 1, F.lit(2)))
-    along = lambda c: lambda i: F.bround(F.col(f"a.{c}") + (F.col(f"b.{c}") - F.col(f"a.{c}")) * i / (F.col("n") - F.lit(1.0)), 0).cast("long")
-    pts = F.array_sort(F.array_distinct(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.struct(along("x")(i).alias("x"), along("y")(i).alias("y")))))
-    got = pairs.select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"), pts.alias("pts")).where(F.size("pts") > 2)
-    inner = F.transform(F.slice("pts", F.lit(2), F.size("pts") - 2), lambda p: F.concat(p["x"], F.lit(":"), p["y"]))
-    return got.select("a_id", "b_id", (F.size("pts") - 2).cast("long").alias("n_inner"), F.array_join(inner, ";").alias("inner_points"))
+    ends = endpoints(spark, sf).select("id", "image_id", "component_id", "x", "y")
+    pairs = linking.sampled(linking.grid_pairs(ends, 20.0), 20.0)
+    inner = F.transform(F.slice("rel", F.lit(2), F.size("rel") - 2), lambda p: F.concat(F.col("x0") + p["x"], F.lit(":"), F.col("y0") + p["y"]))
+    got = pairs.where(F.size("rel") > 2)
+    return got.select(F.col("a.id").alias("a_id"), F.col("b.id").alias("b_id"), (F.size("rel") - 2).cast("long").alias("n_inner"), F.array_join(inner, ";").alias("inner_points"))
 
 
 @query("E", _PAIRS, _LINKS, "r AS (SELECT image_id, a_id, b_id, score, i AS e, row_number() OVER (PARTITION BY image_id, i ORDER BY score, a_id, b_id) AS r FROM (SELECT *, unnest([a_id, b_id]) AS i FROM s))",
        sql="SELECT image_id, a_id, b_id, score FROM r WHERE r = 1 GROUP BY ALL HAVING count(*) = 2")
 def mutual_best(spark, sf):
-    return linking.mutual_best(link_scores(spark, sf)).select("image_id", "a_id", "b_id", "score")
+    return linking.mutual_best(link_scores(spark, sf))
 
 
 @query()
 def selected_links(spark, sf):
-    return linking.forest(linking.mutual_best(link_scores(spark, sf)))
+    return linking.forest(linking.mutual_links(endpoints(spark, sf), 20.0))
 
 
 @query("F", sql="SELECT folder, stem, CASE (rn - 1) // 3 WHEN 0 THEN 'Pit' WHEN 1 THEN 'Scratch' ELSE 'Stain' END AS grp FROM (SELECT folder, stem, row_number() OVER (PARTITION BY folder ORDER BY md5('7|' || stem), stem) AS rn FROM f) WHERE rn <= 9")
@@ -483,12 +483,16 @@ r AS (SELECT a_id, b_id, bool_and((t.p.x + t.p.y) % 97 <> 0) AS inside, avg(CASE
        sql=f"SELECT image_id, k.a_id, k.b_id, round(share, 6) AS share, {_ALL} AS score FROM k JOIN r ON k.a_id = r.a_id AND k.b_id = r.b_id WHERE turn <= 60 AND ca <= 75 AND cb <= 75 AND offset_px <= 15 AND inside AND share >= 0.25")
 def link_proposals(spark, sf):
     """All rules of a link: geometry, containment in a mask, and the response along the gap."""
-    pairs = linking.grid_pairs(endpoints(spark, sf), 20.0)
-    pts = linking.gap_points(pairs)
-    inside = F.forall("pts", lambda p: (p["x"] + p["y"]) % 97 != 0)
-    strong = F.filter("pts", lambda p: (p["x"] * 13 + p["y"] * 7) % 10 >= 5)
-    gaps = pts.select("a", "b", "gap", inside.alias("inside"), (F.size(strong) / F.size("pts")).alias("share"))
-    return linking.scores(gaps, 20.0, response=0.25).select("image_id", "a_id", "b_id", F.round("share", 6).alias("share"), "score")
+
+    def support(pairs: DataFrame) -> DataFrame:
+        at = lambda p: (F.col("x0") + p["x"], F.col("y0") + p["y"])
+        inside = F.forall("rel", lambda p: (at(p)[0] + at(p)[1]) % 97 != 0)
+        strong = F.filter("rel", lambda p: (at(p)[0] * 13 + at(p)[1] * 7) % 10 >= 5)
+        met = linking.sampled(pairs, 20.0, inner=True).where(inside)
+        return linking.fixed(met, **{c: F.col(c) for c in pairs.columns}, inside=F.lit(True), share=F.size(strong) / F.size("rel"))
+
+    links = linking.scores(linking.grid_pairs(endpoints(spark, sf), 20.0), 20.0, response=0.25, support=support)
+    return links.select("image_id", "a_id", "b_id", F.round("share", 6).alias("share"), "score")
 
 
 @query("P", _MASK, sql="SELECT image_id, round(sum(d), 6) AS total, round(max(d), 6) AS most FROM (SELECT m.image_id, m.y, m.x, sqrt(min((m.y - p.y) * (m.y - p.y) + (m.x - p.x) * (m.x - p.x))) AS d FROM m JOIN p ON p.image_id = m.image_id AND p.v < m.t GROUP BY ALL) GROUP BY image_id")

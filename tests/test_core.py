@@ -14,7 +14,7 @@ from rasterlens import catalogue
 from rasterlens.functions import geometry as g
 from rasterlens.functions import text as t
 from rasterlens.operators import kernels as k
-from rasterlens.operators import rasters
+from rasterlens.operators import linking, rasters
 from rasterlens.plans.detection import Detection, features
 
 SF = "/root/testdata/sf0.001"
@@ -155,3 +155,51 @@ def test_copy_objects_asks_every_folder(spark, monkeypatch):
     many = spark.range(-2000, 25, 1, 1).select(F.col("id").cast("int").alias("n_nationkey"))
     monkeypatch.setattr(catalogue, "read", lambda s, sf, name: many if name == "nation" else read(s, sf, name))
     assert catalogue.QUERIES["copy_objects"](spark, SF).count() == whole > 0
+
+
+def _some_ends(spark, n=400):
+    rng = np.random.default_rng(3)
+    rows = [(i, i % 2, i // 2, int(x), int(y), math.cos(t), math.sin(t)) for i, (x, y, t) in enumerate(zip(rng.integers(-60, 60, n), rng.integers(-60, 60, n), rng.random(n) * math.pi, strict=True))]
+    return rows, spark.createDataFrame(rows, "id long, image_id long, component_id long, x long, y long, tx double, ty double")
+
+
+def _is_dealt(frame):
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    return "SortMergeJoin" in plan and not any("im#" in line for line in plan.splitlines() if "BroadcastHashJoin" in line)
+
+
+def test_grid_pairs_are_all_pairs_and_neither_side_is_broadcast(spark):
+    rows, ends = _some_ends(spark)
+    met = linking.grid_pairs(ends, 20.0)
+    got = {(r.a, r.b) for r in met.select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).collect()}
+    want = {(p[0], q[0]) for p in rows for q in rows if p[1] == q[1] and p[0] < q[0] and p[2] != q[2] and math.dist(p[3:5], q[3:5]) <= 20}
+    assert got == want and met.count() == len(want) and _is_dealt(met)
+
+
+def test_mutual_best_is_the_best_of_both_ends(spark):
+    links = [(1, 5, 9, 0.5), (1, 5, 7, 0.5), (1, 7, 9, 0.25), (2, 5, 9, 0.5), (2, 5, 7, 0.5), (2, -8, 7, 0.500001), (2, 9, 2**62, 3.25), (3, -4, -3, 0.0), (3, -5, -4, 0.0), (3, -6, -5, 0.000001)]
+    got = linking.mutual_best(spark.createDataFrame(links, "image_id long, a_id long, b_id long, score double")).collect()
+    best = lambda im, e: min((s, a, b) for i, a, b, s in links if i == im and e in (a, b))
+    want = {(i, a, b, s) for i, a, b, s in links if best(i, a) == best(i, b) == (s, a, b)}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_mutual_links_keep_all_columns_of_their_scores(spark):
+    _, ends = _some_ends(spark)
+    scored = linking.scores(linking.grid_pairs(ends, 20.0), 20.0).toPandas()
+    best = {(r.image_id, r.a_id, r.b_id) for r in linking.mutual_best(linking.scores(linking.grid_pairs(ends, 20.0), 20.0)).collect()}
+    want = {tuple(r) for r in scored.itertuples(index=False) if (r.image_id, r.a_id, r.b_id) in best}
+    made = linking.mutual_links(ends, 20.0)
+    assert {tuple(r) for r in made.collect()} == want and want and made.columns == list(scored.columns)
+
+
+def test_sample_points_are_looked_up_by_their_way(spark):
+    _, ends = _some_ends(spark, 120)
+    pairs = linking.grid_pairs(ends, 20.0)
+    for inner in (False, True):
+        some = linking.sampled(pairs, 20.0, inner)
+        for r in some.collect():
+            n = max(math.ceil(r.gap) + 1, 2)
+            want = sorted({(round(r.a.x + (r.b.x - r.a.x) * i / (n - 1.0)), round(r.a.y + (r.b.y - r.a.y) * i / (n - 1.0))) for i in range(n)})
+            want = want[1:-1] if inner and len(want) > 2 else want
+            assert [(r.x0 + p.x, r.y0 + p.y) for p in r.rel] == want
