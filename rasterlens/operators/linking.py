@@ -76,7 +76,7 @@ def sampled(pairs: DataFrame, gap: float, inner: bool = False) -> DataFrame:
     table = fixed(ways.where(length <= gap), k_=key(*map(F.col, ("dx", "dy", "px", "py"))), all_=samples(length, (F.col("px"), F.col("py")), (F.col("dx"), F.col("dy"))))
     parity = lambda c: F.pmod(F.col(f"a.{c}"), F.lit(2))
     met = pairs.withColumn("k_", key(x, y, parity("x"), parity("y"))).join(F.broadcast(fixed(table, k_=F.col("k_"), rel=asked(F.col("all_")))), "k_").drop("k_")
-    return met.withColumn("x0", F.col("a.x") - parity("x")).withColumn("y0", F.col("a.y") - parity("y"))
+    return fixed(met, **{c: F.col(c) for c in pairs.columns}, x0=F.col("a.x") - parity("x"), y0=F.col("a.y") - parity("y"), rel=F.col("rel"))
 
 
 def allowed(pairs: DataFrame, direction: float = 60.0, connection: float = 75.0, lateral: float = 15.0) -> DataFrame:
