@@ -607,9 +607,12 @@ def augmented_polygons(spark, sf):
     """Boxes of every object under each of the 56 variants: how many stay valid, with how many corners, and their mean."""
     from rasterlens.plans.pictures import turned_objects
 
+    # a turn sees a box alone, so equal boxes are turned once and counted as often as they stand
+    boxes = objects(spark, sf).groupBy("x0", "y0", "w", "h").agg(F.count("*").alias("n"))
     at = lambda x, y: F.struct((F.col("x0") + x).cast("double").alias("x"), (F.col("y0") + y).cast("double").alias("y"))
     corners = F.array(at(0, 0), at(F.col("w"), 0), at(F.col("w"), F.col("h")), at(0, F.col("h")))
-    made = turned_objects(objects(spark, sf).select(F.col("image_id").cast("string").alias("path"), "pos", F.col("category").alias("norm"), corners.alias("points")), 64, 64)
-    total = lambda c: F.sum(F.aggregate("points", F.lit(0.0), lambda s, p: s + p[c]))
-    corners = F.sum(F.size("points"))
-    return made.groupBy("angle", "flip").agg(F.count("*").alias("objects"), F.count("points").alias("valid"), corners.alias("corners"), F.round(total("x") / corners, 3).alias("cx"), F.round(total("y") / corners, 3).alias("cy"))
+    named = boxes.select(F.concat_ws(" ", "x0", "y0", "w", "h").alias("path"), F.lit(0).alias("pos"), F.lit("box").alias("norm"), corners.alias("points"), "n")
+    made = turned_objects(named, 64, 64, "n")
+    total = lambda c: F.sum(F.aggregate("points", F.lit(0.0), lambda s, p: s + p[c]) * F.col("n"))
+    corners = F.sum(F.size("points") * F.col("n"))
+    return made.groupBy("angle", "flip").agg(F.sum("n").alias("objects"), F.coalesce(F.sum(F.when(F.col("points").isNotNull(), F.col("n"))), F.lit(0).cast("long")).alias("valid"), corners.alias("corners"), F.round(total("x") / corners, 3).alias("cx"), F.round(total("y") / corners, 3).alias("cy"))

@@ -157,28 +157,33 @@ def centred(pictures: DataFrame) -> DataFrame:
 VARIANTS = [(0, "vflip"), (0, "hflip"), *((a, f) for a in range(20, 361, 20) for f in (None, "vflip", "hflip"))]
 
 
-def turned_objects(objects: DataFrame, width: int, height: int) -> DataFrame:
-    """``path, pos, norm, angle, flip, points`` of every object under every variant; null points where none are left."""
-    kind = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
+def turned_objects(objects: DataFrame, width: int, height: int, *more: str) -> DataFrame:
+    """``path, pos, norm, angle, flip, points`` of every object under every variant; null points where none are left.
+
+    Columns named in ``more`` come along.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 256):
-                part = b.slice(lo, 256)
-                made = []
-                for points in part.column(3).to_pylist():
-                    pts = [(q["x"], q["y"]) for q in points or ()]
-                    for angle, flip in VARIANTS:
-                        new = k.turned_polygon(pts, angle, flip, width, height)
-                        made.append(None if new is None else [{"x": x, "y": y} for x, y in new])
-                at = pa.array(np.repeat(np.arange(part.num_rows), len(VARIANTS)))
-                cols = [part.column(c).take(at) for c in range(3)]
-                plan = [pa.array([v[i] for v in VARIANTS] * part.num_rows, t_) for i, t_ in ((0, pa.int32()), (1, pa.string()))]
-                yield pa.RecordBatch.from_arrays([*cols, *plan, pa.array(made, kind)], names=["path", "pos", "norm", "angle", "flip", "points"])
+            points = b.column(3)
+            flat = points.flatten()
+            x, y = (np.asarray(flat.field(c).to_numpy(zero_copy_only=False), float) for c in (0, 1))
+            size = points.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            for angle, flip in VARIANTS:
+                nx, ny, n = k.turned_polygons(x, y, size, angle, flip, width, height)
+                ends = pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+                made = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays([pa.array(nx, pa.float64()), pa.array(ny, pa.float64())], names=["x", "y"]), mask=pa.array(n == 0))
+                plan = [pa.array([angle] * b.num_rows, pa.int32()), pa.array([flip] * b.num_rows, pa.string())]
+                cols = [*b.columns[:3], *plan, made, *b.columns[4:]]
+                yield pa.RecordBatch.from_arrays(cols, names=["path", "pos", "norm", "angle", "flip", "points", *more])
 
     # few bytes, much work: spread over all tasks, however small the table is
     spread = objects.repartition(int(objects.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path", "pos")
-    return spread.select(F.col("path").cast("string"), F.col("pos").cast("int"), "norm", "points").mapInArrow(run, "path string, pos int, norm string, angle int, flip string, points array<struct<x:double,y:double>>")
+    kind = "array<struct<x:double,y:double>>"
+    pair = F.transform("points", lambda q: F.struct(q["x"].cast("double").alias("x"), q["y"].cast("double").alias("y"))).cast(kind)
+    rows = spread.select(F.col("path").cast("string"), F.col("pos").cast("int"), "norm", pair.alias("points"), *more)
+    out = ", ".join(["path string, pos int, norm string, angle int, flip string", f"points {kind}", *(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in more)])
+    return rows.mapInArrow(run, out)
 
 
 def augmented(pictures: DataFrame) -> DataFrame:

@@ -366,3 +366,24 @@ def test_previews_and_textures():
     assert p.scaled_response(gray, mask, 4, 7, 2.0, 4.0, 0.5)[mask].max() == 255
     c = k.plane(np.add.outer(np.arange(5) * 2.0, np.arange(6) * 3.0) + 1, np.ones((5, 6), bool))
     assert np.allclose(c, [3, 2, 1])
+
+
+def test_many_polygons_are_turned_as_one_by_one(spark):
+    rng = RNG(8)
+    shapes = [[tuple(q) for q in rng.uniform(-6, 30, (n, 2)).tolist()] for n in (0, 2, 3, 4, 4, 5, 9, 3)] + [[(2.0, 3.0), (9.0, 3.0), (9.0, 7.0), (2.0, 7.0)], [(40.0, 40.0), (50.0, 40.0), (50.0, 50.0)], None]
+    want = {(str(i), a, f): k.turned_polygon(s or [], a, f, 20, 24) for i, s in enumerate(shapes) for a, f in plans.VARIANTS}
+    rows = spark.createDataFrame([(str(i), i, "pit", s, i + 10) for i, s in enumerate(shapes)], "path string, pos int, norm string, points array<struct<x:double,y:double>>, n long")
+    got = plans.turned_objects(rows, 20, 24, "n").collect()
+    assert len(got) == len(want) and all(r.n == r.pos + 10 for r in got)
+    for r in got:
+        assert (None if r.points is None else [tuple(q) for q in r.points]) == want[r.path, r.angle, r.flip]
+
+
+def test_equal_boxes_are_turned_once(spark, monkeypatch):
+    from rasterlens import catalogue
+
+    sent, real = [], plans.turned_objects
+    monkeypatch.setattr(plans, "turned_objects", lambda rows, *how: sent.append(rows) or real(rows, *how))
+    got = catalogue.augmented_polygons(spark, "/root/testdata/sf0.001").collect()
+    things = catalogue.objects(spark, "/root/testdata/sf0.001")
+    assert sent[0].count() == things.select("x0", "y0", "w", "h").distinct().count() and {r.objects for r in got} == {things.count()} and len(got) == 56
