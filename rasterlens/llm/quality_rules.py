@@ -77,8 +77,8 @@ def base_columns(text: Column, words: Column) -> dict[str, Column]:
 def ratios(docs: DataFrame, trusted_ids: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """``bucket, llr`` (millionths) of every bucket that occurs. ``trusted_ids``: doc_id."""
     ids = trusted_ids.select(F.col("doc_id").cast("long").alias("__t")).where("__t is not null").distinct()
-    # texts are joined, not words, and broadcast or shuffled as the number of ids asks
-    marked = docs.select(F.col("doc_id").cast("long").alias("d"), "text").join(ids, F.col("d") == F.col("__t"), "left").select("__t", words_of(F.col("text")).alias("w"))
+    # texts are joined, not words; always dealt by id, so nothing depends on whether the ids would fit a broadcast
+    marked = docs.select(F.col("doc_id").cast("long").alias("d"), "text").join(ids.hint("merge"), F.col("d") == F.col("__t"), "left").select("__t", words_of(F.col("text")).alias("w"))
     counts = marked.select(F.explode(grams(F.col("w"), buckets)).alias("bucket"), F.col("__t").isNotNull().cast("long").alias("t")).groupBy("bucket").agg(F.count("*").alias("raw"), F.sum("t").alias("target"))
     counts = written(counts, "grams")
     total = counts.agg(F.sum("raw").alias("raw_n"), F.sum("target").alias("target_n")).first()

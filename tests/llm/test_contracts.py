@@ -141,3 +141,12 @@ def test_stages_take_empty_tables(spark, tmp_path):
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, str(tmp_path)).collect() == []
+
+
+def test_quality_rules_deal_trusted_ids_at_every_size(spark, monkeypatch):
+    plans, real = [], quality_rules.written
+    monkeypatch.setattr(quality_rules, "written", lambda df, tag: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df, tag))
+    docs = spark.createDataFrame([(1, "a b c"), (2, "a d"), (None, "e"), (3, None)], "doc_id long, text string")
+    got = {r.bucket: r.llr for r in quality_rules.ratios(docs, docs.select("doc_id").where("doc_id = 1")).collect()}
+    assert len(got) >= 6 and max(got.values()) > 0 > min(got.values())
+    assert "SortMergeJoin" in plans[0] and "BroadcastHashJoin" not in plans[0]
