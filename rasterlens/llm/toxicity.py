@@ -38,6 +38,8 @@ THRESHOLD = 0.3
 #: N-grams without weight that every mean holds besides its own: short texts lean on the bias.
 PRIOR = 500.0
 _CACHE = 100_000
+#: Words whose n-gram rows are held at once in training.
+_WORDS = 1024
 OUT = "doc_id long, held_out boolean, score double, predicted int"
 
 
@@ -126,8 +128,10 @@ def train(texts: Iterable, toxic: list[int], epochs: int = EPOCHS, seed: int = 7
             word, count = (np.concatenate([rows[i][k] for i in batch]) for k in (0, 1))
             used, at = np.unique(word, return_inverse=True)
             size = lens[used]
-            ids = flat[np.repeat(starts[used] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())]
-            vec = np.add.reduceat(table[ids], np.concatenate(([0], np.cumsum(size)[:-1])))
+            begin = np.concatenate(([0], np.cumsum(size)[:-1]))
+            ids = flat[np.repeat(starts[used] - begin, size) + np.arange(size.sum())]
+            # words by words, then axis by axis: a whole batch of n-gram rows would be most of the worker's memory
+            vec = np.concatenate([np.add.reduceat(table[ids[begin[i] : begin[i] + size[i : i + _WORDS].sum()]], begin[i : i + _WORDS] - begin[i]) for i in range(0, len(used), _WORDS)])
             total = PRIOR + np.bincount(doc, count * size[at], len(batch))
             share = count / total[doc]
             mean = np.stack([np.bincount(doc, share * vec[at, k], len(batch)) for k in range(DIM)], 1)
@@ -138,8 +142,7 @@ def train(texts: Iterable, toxic: list[int], epochs: int = EPOCHS, seed: int = 7
             p /= len(batch)
             back = p @ soft.T
             per_word = np.stack([np.bincount(at, share * back[doc, k], len(used)) for k in range(DIM)], 1)
-            per_sub = np.repeat(per_word, size, 0)
-            grads = [np.stack([np.bincount(ids, per_sub[:, k], BUCKETS) for k in range(DIM)], 1), mean.T @ p, p.sum(0)]
+            grads = [np.stack([np.bincount(ids, np.repeat(per_word[:, k], size), BUCKETS) for k in range(DIM)], 1), mean.T @ p, p.sum(0)]
             step += 1
             for param, grad, m, v in zip(params, grads, first, second, strict=True):
                 m += 0.1 * (grad - m)

@@ -150,3 +150,23 @@ def test_quality_rules_deal_trusted_ids_at_every_size(spark, monkeypatch):
     got = {r.bucket: r.llr for r in quality_rules.ratios(docs, docs.select("doc_id").where("doc_id = 1")).collect()}
     assert len(got) >= 6 and max(got.values()) > 0 > min(got.values())
     assert "SortMergeJoin" in plans[0] and "BroadcastHashJoin" not in plans[0]
+
+
+def test_toxicity_training_holds_few_ngram_rows_at_once(monkeypatch):
+    import tracemalloc
+
+    monkeypatch.setattr(toxicity, "LEAST_STEPS", 1)
+    texts = [" ".join(f"{i * 7919 % 997}word{j}{i}" for j in range(300)) for i in range(128)]
+
+    def trained():
+        return toxicity.train(texts, [i % 2 for i in range(128)], epochs=1)
+
+    peaks, made = [], []
+    for words_at_once in (toxicity._WORDS, 10**9):
+        monkeypatch.setattr(toxicity, "_WORDS", words_at_once)
+        tracemalloc.start()
+        made.append(trained())
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert np.array_equal(made[0].weight, made[1].weight) and made[0].bias == made[1].bias
+    assert peaks[0] < 0.8 * peaks[1]
