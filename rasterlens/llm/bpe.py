@@ -19,7 +19,6 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +29,10 @@ from pyspark.sql import functions as F
 from rasterlens.llm.common import Recent, give_back, tokenizer_path
 
 #: Words whose encoding a worker keeps in each of two generations.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 150_000
 #: Texts whose ids a worker holds at once.
 SLICE = 1000
 _NONE = 1 << 62
-_IDS, _SHOWN = itemgetter(0), itemgetter(1)
 OUT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -178,26 +176,25 @@ class WordBpe:
 
     def decode(self, ids: list[int]) -> str:
         """The library's decode without a decoder: the symbols, joined by spaces."""
-        return " ".join(self.names[i] for i in ids if i in self.names)
+        return " ".join([s for s in map(self.names.get, ids) if s is not None])
 
-    def _word(self, word: str) -> tuple[bytes, str]:
-        ids = self.word_ids(word)
-        return np.asarray(ids, "<u4").tobytes(), self.decode(ids)
+    def _word(self, word: str) -> bytes:
+        return np.asarray(self.word_ids(word), "<u4").tobytes()
 
-    def pieces(self, text: str) -> list[tuple[bytes, str]]:
-        """(ids as little-endian bytes, decoded symbols) of each word of the text."""
+    def raw(self, text: str | None) -> bytes:
+        """Ids of the text as little-endian bytes; the cache holds nothing else, symbols are looked up by id."""
+        text = text or ""
         parts = [text] if self.split is None or "<|" not in text else self.split.split(text)
-        out: list[tuple[bytes, str]] = []
+        out: list[bytes] = []
         for part in parts:
             if part in self.special:
-                i = self.special[part]
-                out.append((np.asarray([i], "<u4").tobytes(), part))
+                out.append(np.asarray([self.special[part]], "<u4").tobytes())
                 continue
             out.extend(map(self.cache.__getitem__, self.words(part)))
-        return out
+        return b"".join(out)
 
     def encode(self, text: str | None) -> list[int]:
-        return np.frombuffer(b"".join(p[0] for p in self.pieces(text or "")), "<u4").tolist()
+        return np.frombuffer(self.raw(text), "<u4").tolist()
 
 
 @functools.cache
@@ -212,10 +209,9 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for b in batches:
-            got = [bpe.pieces(t or "") for t in b.column(1).to_pylist()]
-            ids = [np.frombuffer(b"".join(p[0] for p in x), "<u4").astype(np.int32) for x in got]
+            ids = [np.frombuffer(bpe.raw(t), "<u4").astype(np.int32) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([" ".join(p[1] for p in x) for x in got], pa.string())],
+                [b.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array([bpe.decode(x.tolist()) for x in ids], pa.string())],
                 names=["doc_id", "n_tokens", "ids", "decoded"],
             )
 
@@ -236,9 +232,9 @@ def digests(docs: DataFrame, path: str | None = None, ids: bool = False) -> Data
         for b in (whole.slice(lo, SLICE) for whole in batches for lo in range(0, whole.num_rows, SLICE)):
             raw, texts = [], []
             for text in b.column(1).to_pylist():
-                got = bpe.pieces(text or "")
-                raw.append(b"".join(map(_IDS, got)))
-                texts.append(hashlib.sha256(" ".join(map(_SHOWN, got)).encode()).hexdigest())
+                raw.append(bpe.raw(text))
+                shown = bpe.decode(np.frombuffer(raw[-1], "<u4").tolist())
+                texts.append(hashlib.sha256(shown.encode()).hexdigest())
             cols = {
                 "doc_id": b.column(0),
                 "n_tokens": pa.array([len(x) // 4 for x in raw], pa.int64()),

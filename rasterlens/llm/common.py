@@ -131,6 +131,7 @@ class Recent(dict):
             if len(key) > self.longest:
                 return value
         if len(self) >= self.most:
+            self.old.clear()
             self.old = dict(self)
             self.clear()
         self[key] = value
