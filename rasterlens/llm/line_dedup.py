@@ -28,7 +28,7 @@ doc_id is the least; extra columns stay as they are; an empty table gives an emp
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +51,8 @@ SLAB = 1 << 19
 GROUP, CHUNK = 1 << 17, 1 << 16
 #: Blocks of more fingerprints are searched from one fingerprint to all at once.
 _CROWD = 1024
+#: Lines that are compared in one go; pairs whose edits are counted at once, of at most so many characters.
+_ROWS, _BATCH, _TOGETHER = 1 << 15, 1024, 1024
 #: ASCII punctuation and white space, which part words.
 _PARTS = b"\t\x0b\x0c\r" + bytes([*range(0x20, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)])
 _TABLE = bytes(32 if c in _PARTS else c for c in range(256))
@@ -356,33 +358,133 @@ def aligned(a: list[str], b: list[str]) -> int:
     return cost + sum(len(w) + 1 for w in a[i:]) + sum(len(w) + 1 for w in b[j:])
 
 
+def edits_of(a: list[str], b: list[str], most: int) -> np.ndarray:
+    """Edit distances of many pairs of texts at once, or any numbers above ``most`` where they are greater.
+
+    A number holds 64 rows of a table; rows farther than ``most`` from the diagonal stay as
+    they are, which counts their edits too high and never too low.
+    """
+    n, m = np.array([[len(x) for x in a], [len(x) for x in b]])
+    order = np.argsort(-n, kind="stable")  # those that still have columns are always the first
+    n, m = n[order], m[order]
+    count, words = len(n), max(1, -(-int(m.max()) // 64))
+    points, code = np.unique(np.frombuffer("".join([*(a[i] for i in order), *(b[i] for i in order)]).encode("utf-32-le"), "<u4"), return_inverse=True)
+    text = np.zeros((int(n.max()), count), np.int64)  # column, pair
+    text[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n), np.repeat(np.arange(count), n)] = code[: n.sum()]
+    at, pair = np.arange(m.sum()) - np.repeat(np.cumsum(m) - m, m), np.repeat(np.arange(count), m)
+    same = np.zeros((words, count, len(points)), np.uint64)
+    one, top = np.uint64(1), np.uint64(63)
+    np.bitwise_or.at(same, (at >> 6, pair, code[n.sum() :]), one << (at & 63).astype(np.uint64))
+    same = same.reshape(words, -1)
+    text += np.arange(count) * len(points)
+    more, less = np.full((words, count), ~np.uint64(0)), np.zeros((words, count), np.uint64)
+    left = np.searchsorted(-n, -np.arange(len(text)), "left")
+    for j, k in enumerate(left.tolist()):
+        up, down = np.ones(k, np.uint64), np.zeros(k, np.uint64)
+        for w in range(max(0, (j - most) // 64), min(words, (j + most + 1) // 64 + 1)):
+            eq, p, q = same[w][text[j, :k]], more[w, :k], less[w, :k]
+            x = eq | q
+            eq |= down
+            y = ((eq & p) + p ^ p) | eq
+            rise, fall = q | ~(y | p), p & y
+            here, up, below, down = up, rise >> top, down, fall >> top
+            rise = rise << one | here
+            more[w, :k] = fall << one | below | ~(x | rise)
+            less[w, :k] = rise & x
+    rows = np.clip(m - 64 * np.arange(words)[:, None], 0, 64)
+    mask = np.where(rows == 64, ~np.uint64(0), (one << (rows % 64).astype(np.uint64)) - one)
+    out = np.empty(count, np.int64)
+    out[order] = n + (np.bitwise_count(more & mask).astype(np.int64) - np.bitwise_count(less & mask)).sum(axis=0)
+    return out
+
+
+def _most(a: str, b: str) -> int:
+    return math.floor(max(len(a), len(b)) * round(1 - SIMILARITY, 6) + 1e-9)
+
+
+def similar_of(pairs: list[tuple[str, str]]) -> list[bool]:
+    """``similar`` of many pairs."""
+    out, open_ = [False] * len(pairs), []
+    for i, (a, b) in enumerate(pairs):
+        most = _most(a, b)
+        if abs(len(a) - len(b)) <= most:
+            if aligned(a.split(" "), b.split(" ")) <= most:
+                out[i] = True
+            elif max(len(a), len(b)) <= _TOGETHER:
+                open_.append(i)
+            else:
+                out[i] = edits(a, b, most) <= most
+    open_.sort(key=lambda i: len(pairs[i][0]))
+    for lo in range(0, len(open_), _BATCH):
+        part = open_[lo : lo + _BATCH]
+        if len(part) < _BATCH // 8:
+            found = [edits(*pairs[i], _most(*pairs[i])) for i in part]
+        else:
+            found = edits_of([pairs[i][0] for i in part], [pairs[i][1] for i in part], max(_most(*pairs[i]) for i in part)).tolist()
+        for i, d in zip(part, found, strict=True):
+            out[i] = d <= _most(*pairs[i])
+    return out
+
+
 def similar(a: str, b: str) -> bool:
     """Whether two normal forms have an edit similarity of ``SIMILARITY`` or more."""
-    most = math.floor(max(len(a), len(b)) * round(1 - SIMILARITY, 6) + 1e-9)
+    most = _most(a, b)
     return abs(len(a) - len(b)) <= most and (aligned(a.split(" "), b.split(" ")) <= most or edits(a, b, most) <= most)
 
 
-def linked_within(h: np.ndarray, f0: np.ndarray, f1: np.ndarray, norm: list[str]) -> list[tuple[int, int]]:
-    """Links (places in the group) that join all lines within ``FAR`` bits which are similar."""
+def linked_within(h: np.ndarray, f0: np.ndarray, f1: np.ndarray, norm: list[str]) -> Generator[list[tuple[str, str]], list[bool], list[tuple[int, int]]]:
+    """Links (places in the group) that join all lines within ``FAR`` bits which are similar.
+
+    Yields pairs of texts and is sent whether they are similar.
+    """
     n, out = len(h), []
     if n == 2:  # they are in the group for each other
-        return [(0, 1)] if similar(*norm) else []
+        return [(0, 1)] if (yield [(norm[0], norm[1])])[0] else []
     label = np.arange(n)
     for i in range(n - 1):
         near = i + 1 + np.flatnonzero(apart(f0, f1, slice(i + 1, n), i) <= FAR)
         near = near[label[near] != label[i]]
-        joined = set()
-        for j in near.tolist():
-            if label[j] not in joined and similar(norm[i], norm[j]):
-                out.append((i, j))
-                joined.add(label[j])
+        left: dict[int, list[int]] = {}  # of each label one line after the other, until one is similar
+        for j in near[::-1].tolist():
+            left.setdefault(label[j], []).append(j)
+        joined = []
+        while left:
+            heads = [(x, js.pop()) for x, js in left.items()]
+            for (x, j), ok in zip(heads, (yield [(norm[i], norm[j]) for _, j in heads]), strict=True):
+                if ok:
+                    out.append((i, j))
+                    joined.append(x)
+                if ok or not left[x]:
+                    del left[x]
         if joined:
-            label[np.isin(label, list(joined))] = label[i]
+            label[np.isin(label, joined)] = label[i]
             if (label == label[0]).all():
                 break
     return out
 
 
+def linked(groups: list[Generator]) -> list[list[tuple[int, int]]]:
+    """What the ``groups`` of ``linked_within`` return: their pairs are compared together, round by round."""
+    out: list[list[tuple[int, int]]] = [[] for _ in groups]
+    sent: list[list[bool] | None] = [None] * len(groups)
+    open_ = list(range(len(groups)))
+    while open_:
+        asked, pairs = [], []
+        for i in open_:
+            try:
+                some = groups[i].send(sent[i])
+            except StopIteration as e:
+                out[i] = e.value
+                continue
+            asked.append((i, len(pairs), len(pairs) + len(some)))
+            pairs += some
+        found = similar_of(pairs)
+        for i, lo, hi in asked:
+            sent[i] = found[lo:hi]
+        open_ = [i for i, *_ in asked]
+    return out
+
+
 def _texts(docs: DataFrame, places: DataFrame) -> DataFrame:
     """``h, norm`` of the lines at ``places`` (h, rk, pos): only their documents are shuffled.
 
@@ -431,14 +533,15 @@ def links(docs: DataFrame, uniq: DataFrame, width: int) -> DataFrame:
             begin = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1]))).tolist()
             u, v = [], []
             norm = t.column(4)
-            for lo, hi in zip(begin, [*begin[1:], len(g)], strict=True):
-                if hi - lo > 1:
-                    for i, j in linked_within(h[lo:hi], f0[lo:hi], f1[lo:hi], norm.slice(lo, hi - lo).to_pylist()):
-                        u.append(h[lo + i])
-                        v.append(h[lo + j])
+            spans = [(lo, hi) for lo, hi in zip(begin, [*begin[1:], len(g)], strict=True) if hi - lo > 1]
+            found = linked([linked_within(h[lo:hi], f0[lo:hi], f1[lo:hi], norm.slice(lo, hi - lo).to_pylist()) for lo, hi in spans])
+            for (lo, _), pairs in zip(spans, found, strict=True):
+                for i, j in pairs:
+                    u.append(h[lo + i])
+                    v.append(h[lo + j])
             return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], schema=schema)
 
-        for b in batches:
+        for b in gathered(batches, _ROWS):
             t = pa.Table.from_batches([b] if rest is None else [*rest.to_batches(), b])
             g = np.asarray(t.column(0))
             cut = int(np.flatnonzero(g != g[-1])[-1]) + 1 if len(g) and g[0] != g[-1] else 0
